@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, quality
+from . import chat, decontaminate, language_id, packing, quality, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,22 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), packing.Vocabulary.public())
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    template = chat.Template()
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.digests(chat.segments(turns, template), template)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
@@ -34,6 +50,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_quality_rules": op3_quality_rules,
+    "op4_warc": op4_warc,
+    "op7_packing": op7_packing,
+    "op8_chat_formatting": op8_chat_formatting,
     "op10_language_id": op10_language_id,
 }
 
@@ -58,4 +77,30 @@ n AS (SELECT item_id, count(*) AS item_shingles FROM b GROUP BY item_id),
 hits AS (SELECT doc_id, item_id, count(*) AS shared_shingles FROM d JOIN b USING (shingle) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, item_shingles, shared_shingles, shared_shingles::DOUBLE / item_shingles AS containment
 FROM hits JOIN n USING (item_id) WHERE shared_shingles >= 0.8 * item_shingles""",
+    "op4_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS last FROM d),
+r AS (SELECT *, payload_bytes >= 1000 AND last IS NOT NULL AND page_id IS DISTINCT FROM last AS again FROM g)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN last END AS refers_to
+FROM r""",
+    "op8_chat_formatting": r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+),
+t AS (
+  SELECT *, role || chr(10) || text || chr(10) AS said, CASE WHEN role = 'assistant' THEN text ELSE '' END AS learnt,
+    length(regexp_replace(text, '\\|###|</turn>', '\\\0', 'g')) AS inside,
+    lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS nth
+  FROM c
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(said, '' ORDER BY nth)) AS turns_sha256,
+  sum(length(learnt))::BIGINT AS loss_chars, sha256(string_agg(learnt, '' ORDER BY nth)) AS loss_sha256,
+  sum(length('### : </turn>') + 1 + length(role) + inside)::BIGINT AS formatted_chars,
+  bool_and(CASE WHEN before IS NULL THEN role IN ('system', 'user') WHEN before = 'assistant' THEN role = 'user' WHEN before = 'user' THEN role = 'assistant' ELSE before = 'system' AND role = 'user' END)
+    AND arg_max(role, nth) IN ('user', 'assistant') AS valid
+FROM t GROUP BY conv_id""",
 }
