@@ -75,10 +75,10 @@ def base_failed(s: dict[str, np.ndarray]) -> np.ndarray:
 RULES: list[tuple[str, str, str, float, float]] = [
     ("length", "n_words", "one", 40, 20),
     ("symbols", "n_symbols", "n_words", 0.02, 0.1),
-    ("repeats", "n_repeat_words", "n_words", 0.05, 0.2),
-    ("lines", "n_dup_lines", "n_lines", 0.05, 0.2),
+    ("repeats", "n_repeat_words", "n_words", 0.1, 0.25),
+    ("lines", "n_dup_lines", "n_lines", 0.1, 0.4),
     ("capitals", "n_upper", "n_letters", 0.1, 0.4),
-    ("letters", "n_letters", "word_chars", 0.85, 0.7),
+    ("letters", "n_letters", "word_chars", 0.8, 0.65),
     ("short_words", "word_chars", "n_words", 3.5, 2.5),
     ("long_words", "word_chars", "n_words", 12, 20),
 ]
@@ -104,42 +104,53 @@ def pattern_votes(code: np.ndarray) -> np.ndarray:
     return (code[:, None] // 3 ** np.arange(len(RULES))) % 3 - 1
 
 
+#: A rule's drop votes among good documents, at most.
+FALSE_ALARMS = 0.01
+
+
 @dataclass
 class Model:
-    """``accuracy`` of each rule where it votes, by true class (bad, good); ``prior`` of good."""
+    """``chance[c, j, o]``: how often rule j drops (o = 0), abstains (1) or keeps (2) a document of class c (0 bad, 1 good); ``prior`` of good."""
 
-    accuracy: np.ndarray
+    chance: np.ndarray
     prior: float
 
     def posterior(self, v: np.ndarray) -> np.ndarray:
-        """The probability of quality by vote pattern; without any vote it is the prior."""
-        log = np.zeros((len(v), 2))
-        for good in (0, 1):
-            right = (v == (1 if good else -1)) @ np.log(self.accuracy[good])
-            wrong = (v == (-1 if good else 1)) @ np.log(1 - self.accuracy[good])
-            log[:, good] = right + wrong + np.log(self.prior if good else 1 - self.prior)
-        log -= log.max(axis=1, keepdims=True)
-        p = np.exp(log)
+        """The probability of quality by vote pattern."""
+        rules = np.arange(v.shape[1])
+        log = np.log([1 - self.prior, self.prior]) + np.stack([np.log(self.chance[c])[rules, v + 1].sum(axis=1) for c in (0, 1)], axis=1)
+        p = np.exp(log - log.max(axis=1, keepdims=True))
         return p[:, 1] / p.sum(axis=1)
 
+    def accuracy(self) -> np.ndarray:
+        """The share of each rule's votes (not its abstentions) that are right."""
+        share = np.array([1 - self.prior, self.prior])
+        right = share[0] * self.chance[0, :, 0] + share[1] * self.chance[1, :, 2]
+        wrong = share[0] * self.chance[0, :, 2] + share[1] * self.chance[1, :, 0]
+        return right / (right + wrong)
+
 
-def fit(v: np.ndarray, weight: np.ndarray, rounds: int = 200) -> Model:
+def fit(v: np.ndarray, weight: np.ndarray, rounds: int = 500) -> Model:
     """Expectation-maximisation over patterns ``v`` that occur ``weight`` times.
 
-    Rules start as right in 4 of 5 cases and stay better than chance (0.55 to 0.99), which ties the classes to their
-    meaning; a few imagined votes keep rare votes from counting as certain.
+    A drop vote must be at least twice as common among bad documents as among good ones, no more common than
+    ``FALSE_ALARMS`` among good ones, and a keep vote no rarer among good ones, which ties the classes to their meaning; an imagined vote of each kind keeps rare votes from counting as certain.
     """
-    model = Model(np.full((2, v.shape[1]), 0.8), 0.5)
+    chance = np.empty((2, v.shape[1], 3))
+    chance[0], chance[1] = (0.5, 0.25, 0.25), (0.02, 0.28, 0.7)
+    model = Model(chance, 0.8)
     for _ in range(rounds):
         p = model.posterior(v)
-        accuracy = np.empty_like(model.accuracy)
-        for good, share in ((0, (1 - p) * weight), (1, p * weight)):
-            right = share @ (v == (1 if good else -1))
-            total = share @ (v != 0)
-            accuracy[good] = np.clip((right + 4) / (total + 5), 0.55, 0.99)
+        chance = np.empty_like(model.chance)
+        for c, share in ((0, (1 - p) * weight), (1, p * weight)):
+            counts = np.stack([share @ (v == o) for o in (-1, 0, 1)], axis=1) + 1
+            chance[c] = counts / counts.sum(axis=1, keepdims=True)
+        chance[1, :, 0] = np.minimum(np.minimum(chance[1, :, 0], FALSE_ALARMS), chance[0, :, 0] / 2)
+        chance[1, :, 2] = np.maximum(chance[1, :, 2], chance[0, :, 2])
+        chance /= chance.sum(axis=2, keepdims=True)
         prior = float(np.clip((p @ weight + 2) / (weight.sum() + 4), 0.02, 0.98))
-        done = np.abs(accuracy - model.accuracy).max() < 1e-7 and abs(prior - model.prior) < 1e-7
-        model = Model(accuracy, prior)
+        done = np.abs(chance - model.chance).max() < 1e-7 and abs(prior - model.prior) < 1e-7
+        model = Model(chance, prior)
         if done:
             break
     return model
