@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language_id, packing, pii, quality, warc
+from . import chat, decontaminate, jaccard, language_id, packing, pii, quality, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), packing.Vocabulary.public())
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_quality_rules": op3_quality_rules,
     "op4_warc": op4_warc,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_packing": op7_packing,
     "op8_chat_formatting": op8_chat_formatting,
     "op10_language_id": op10_language_id,
@@ -93,6 +98,15 @@ g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) A
 r AS (SELECT *, payload_bytes >= 1000 AND last IS NOT NULL AND page_id IS DISTINCT FROM last AS again FROM g)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN last END AS refers_to
 FROM r""",
+    "op6_ngram_jaccard_join": "WITH RECURSIVE "
+    + _SHINGLES.format(name="d", key="doc_id", table="documents")
+    + """,
+n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM d a JOIN d b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c::DOUBLE / (x.n + y.n - c) >= 0.8),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a)
+SELECT doc_id, class_id, (SELECT count(*) FROM links WHERE a = least.doc_id)::BIGINT AS n_links FROM least""",
     "op8_chat_formatting": r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
