@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, language_id, packing, pii, quality, suffix_dedup, warc
+from . import chat, decontaminate, jaccard, language_id, lm_score, packing, pii, quality, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,12 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.segments(turns, template), template)
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm_score.scored(_table(spark, sf_dir, "documents"))
+    per_word = F.round(F.col("log_score") / F.col("n_words"), 6)
+    return out.select("doc_id", "n_words", F.when(F.col("n_words") > 0, per_word).alias("log_score_per_word"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_packing": op7_packing,
     "op8_chat_formatting": op8_chat_formatting,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_language_id": op10_language_id,
 }
 
@@ -131,4 +138,23 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(said, '' ORDER BY
   bool_and(CASE WHEN before IS NULL THEN role IN ('system', 'user') WHEN before = 'assistant' THEN role = 'user' WHEN before = 'user' THEN role = 'assistant' ELSE before = 'system' AND role = 'user' END)
     AND arg_max(role, nth) IN ('user', 'assistant') AS valid
 FROM t GROUP BY conv_id""",
+    "op9_lm_scoring": """
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT r, i, w[i] AS w1, CASE WHEN i > 1 THEN w[i - 1] END AS w0 FROM t, unnest(range(1, len(w) + 1)) AS u(i)),
+n1 AS (SELECT w1, count(*) AS c FROM g GROUP BY w1), o1 AS (SELECT r, w1, count(*) AS c FROM g GROUP BY r, w1),
+n2 AS (SELECT w0, w1, count(*) AS c FROM g WHERE w0 IS NOT NULL GROUP BY w0, w1), o2 AS (SELECT r, w0, w1, count(*) AS c FROM g WHERE w0 IS NOT NULL GROUP BY r, w0, w1),
+m AS (SELECT (SELECT count(*) FROM g) AS words),
+s AS (
+  SELECT g.r, n2.c - o2.c AS c2, n1.c - o1.c AS c1, b.c - ob.c AS before, greatest(m.words - len(t.w), 1) AS rest, g.i
+  FROM g JOIN t USING (r) CROSS JOIN m JOIN n1 ON n1.w1 = g.w1 JOIN o1 ON o1.r = g.r AND o1.w1 = g.w1
+  LEFT JOIN n2 ON n2.w0 = g.w0 AND n2.w1 = g.w1 LEFT JOIN o2 ON o2.r = g.r AND o2.w0 = g.w0 AND o2.w1 = g.w1
+  LEFT JOIN n1 b ON b.w1 = g.w0 LEFT JOIN o1 ob ON ob.r = g.r AND ob.w1 = g.w0
+),
+l AS (
+  SELECT r, sum(CASE WHEN i > 1 AND c2 > 0 THEN ln(c2::DOUBLE / before) WHEN c1 > 0 THEN ln(c1::DOUBLE / rest) + CASE WHEN i > 1 THEN ln(0.4) ELSE 0 END
+    ELSE -ln(rest::DOUBLE) + ln(0.4) * CASE WHEN i > 1 THEN 2 ELSE 1 END END) AS score
+  FROM s GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, CASE WHEN len(w) > 0 THEN round(score / len(w), 6) END AS log_score_per_word
+FROM t LEFT JOIN l USING (r)""",
 }
