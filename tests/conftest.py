@@ -1,0 +1,60 @@
+import os
+import sys
+from pathlib import Path
+
+import pandas as pd
+import pytest
+
+ROOT = str(Path(__file__).resolve().parents[1])
+sys.path.insert(0, ROOT)
+os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    from pyspark.sql import SparkSession
+
+    shared = tmp_path_factory.mktemp("shared")
+    session = (
+        SparkSession.builder.master("local[8]")
+        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.driver.memory", "6g")
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", f"file://{shared}")
+        .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
+        .getOrCreate()
+    )
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
+
+
+@pytest.fixture(scope="session")
+def duck():
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for path in Path(DATA).glob("*.parquet"):
+        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+    return con
+
+
+def rows(frame):
+    """The rows of a pandas frame in an order and form of their own: columns by name, numbers to 9 places."""
+
+    def plain(v):
+        if v is None or v is pd.NA or v != v:
+            return None
+        if isinstance(v, (bool,)) or type(v).__name__ == "bool_":
+            return bool(v)
+        if isinstance(v, (int,)) or "int" in type(v).__name__:
+            return int(v)
+        if "float" in type(v).__name__:
+            return round(float(v), 9)
+        return v
+
+    names = sorted(frame.columns)
+    return names, sorted(([plain(v) for v in r] for r in frame[names].astype(object).values.tolist()), key=repr)

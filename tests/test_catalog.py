@@ -1,0 +1,38 @@
+import pytest
+
+from tests.conftest import DATA, rows
+from voxlake.plans import catalog
+
+
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+def test_query_matches_duckdb(spark, duck, name):
+    got = catalog.QUERIES[name](spark, DATA).toPandas()
+    assert rows(got) == rows(duck.execute(catalog.ORACLE_SQL[name]).df())
+
+
+def test_flagship_runs(spark):
+    assert catalog.flagship(spark, DATA).count() > 0
+
+
+def test_entry_has_sql_for_every_catalog_query():
+    import __spark_entry__ as entry
+
+    assert set(catalog.QUERIES) <= set(entry.queries()) and set(catalog.QUERIES) <= set(entry.oracle_sql())
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_mapped_range_reaches_the_scan(spark):
+    text = plan(catalog.mapped_predicate(spark, DATA))
+    assert "GreaterThanOrEqual(l_extendedprice" in text and "LessThan(l_extendedprice" in text
+
+
+def test_crop_reaches_the_scan_and_reads_two_columns(spark):
+    text = plan(catalog.crop_box(spark, DATA))
+    assert "GreaterThanOrEqual(vec_id,10)" in text and "ReadSchema: struct<vec_id:bigint,embedding:array<float>>" in text
+
+
+def test_fanout_has_no_join(spark):
+    assert "Join" not in plan(catalog.fanout_except_source(spark, DATA))

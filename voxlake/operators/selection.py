@@ -14,7 +14,7 @@ from ..model import AXES, PLANE_AXES
 def slice_plane(voxels: DataFrame, orientation: str, index: int) -> DataFrame:
     """The samples of an orthogonal plane, with in-plane axes u and v: image_id, u, v, value."""
     u, v, w = (AXES[i] for i in PLANE_AXES[orientation])
-    return voxels.where(F.col(w) == index).select("image_id", F.col(u).alias("u"), F.col(v).alias("v"), F.col("v").alias("value") if v != "v" else F.col("v"))
+    return voxels.where(F.col(w) == index).select("image_id", F.col(u).alias("u"), F.col(v).alias("v"), F.col("v").alias("value"))
 
 
 def slice_range(voxels: DataFrame, orientation: str) -> DataFrame:

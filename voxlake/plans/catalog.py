@@ -451,8 +451,8 @@ def sinusoid_slice(spark, sf_dir):
 
 
 @_query(
-    f"WITH {RASTER}, o AS (SELECT vec_id, pos, least(abs(v), 1) AS o, v AS c FROM r WHERE pos < 6), t AS (SELECT *, coalesce(exp(sum(ln(1 - least(o, 0.999999999))) OVER (PARTITION BY vec_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS left FROM o) "
-    "SELECT vec_id, round(sum(left * o * c), 6) AS colour FROM t GROUP BY vec_id"
+    f"WITH {RASTER}, o AS (SELECT vec_id, pos, least(abs(v), 1) AS o, v AS c FROM r WHERE pos < 6), t AS (SELECT *, coalesce(exp(sum(ln(1 - least(o, 0.999999999))) OVER (PARTITION BY vec_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS clear FROM o) "
+    "SELECT vec_id, round(sum(clear * o * c), 6) AS colour FROM t GROUP BY vec_id"
 )
 def ray_composite(spark, sf_dir):
     cells = _raster(spark, sf_dir).where("pos < 6").select(L(0).alias("image_id"), F.col("vec_id").alias("x"), L(0).alias("y"), F.col("pos").alias("z"), F.least(F.abs("v"), D(1)).alias("o"), F.col("v").alias("c"))
