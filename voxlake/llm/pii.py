@@ -23,19 +23,26 @@ EITHER = ["Dr", "Prof", "Доктор", "DR", "PROF"]
 
 _NAME = r"\p{Lu}[\p{L}'’\-]{1,40}"
 _TITLES = "|".join(sorted(MALE + FEMALE + EITHER, key=len, reverse=True))
-_TITLE = rf"(?<![\p{{L}}\d])(?:{_TITLES})"
-#: What is found, in the order in which alternatives are tried at a place. All repetitions are bounded, and start at a word's edge.
-PATTERNS: dict[str, str] = {
-    "secret": r"(?<![A-Za-z0-9])(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)[\"']?\s{0,4}[=:]\s{0,4}[\"']?[A-Za-z0-9+/_=.\-]{8,128}|(?<![A-Za-z0-9])(?:[0-9a-f]{40}|[0-9a-f]{64}|[0-9a-f]{32})(?![A-Za-z0-9])",
-    "email": r"(?<![\p{L}\d._%+\-])[\p{L}\d._%+\-]{1,64}@[\p{L}\d\-]{1,63}(?:\.[\p{L}\d\-]{1,63}){1,8}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
-    "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "card": r"(?<!\d)\d(?:[ \-]?\d){12,18}(?!\d)",
-    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,5}\)[ .\-]?|\d{2,5}[ .\-])\d{3,4}[ .\-]\d{3,4}(?![ .\-]?\d)|(?<![\d+])\+\d{8,15}(?!\d)",
-    "name": rf"{_TITLE}\.? {_NAME}(?: (?!(?:{_TITLES})\.? ){_NAME}){{0,2}}",
+_TITLE = f"(?:{_TITLES})"
+_INITIALS = "".join(sorted({t[0] for t in MALE + FEMALE + EITHER}))
+#: What is found, in the order in which alternatives are tried at a place; none begins right after an ASCII letter or digit. All repetitions are bounded.
+LETTERED: dict[str, str] = {
+    "secret": r"(?=[tTsSpPaA])(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)[\"']?\s{0,4}[=:]\s{0,4}[\"']?[A-Za-z0-9+/_=.\-]{8,128}",
+    "email": r"(?<![\p{L}._%+\-])[A-Za-z\d._%+\-\p{L}]{1,64}+@[\p{L}\d\-]{1,63}(?:\.[\p{L}\d\-]{1,63}){1,8}",
+    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "hex": r"(?=[a-f]{0,63}\d)[0-9a-f]{32,64}+(?![A-Za-z0-9])",
+    "name": rf"(?=[{_INITIALS}])(?<!\p{{L}}){_TITLE}\.? {_NAME}(?: (?!(?:{_TITLES})\.? ){_NAME}){{0,2}}",
 }
-ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+NUMERIC: dict[str, str] = {
+    "ip": r"(?<!\.)\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
+    "ssn": r"(?<!\-)\d{3}-\d{2}-\d{4}(?![\d\-])",
+    "card": r"\d(?:[ \-]?\d){12,18}(?!\d)",
+    "phone": r"(?<!\+)(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,5}\)[ .\-]?|\d{2,5}[ .\-])\d{3,4}[ .\-]\d{3,4}(?![ .\-]?\d)|(?<!\+)\+\d{8,15}(?!\d)",
+}
+_any = lambda patterns: "|".join(f"(?:{p})" for p in patterns.values())
+ENTITY = rf"(?<![A-Za-z0-9])(?:(?=[0-9+(])(?:{_any(NUMERIC)})|(?:{_any(LETTERED)}))"
+#: What every text with an entity holds; cheap to look for.
+HINT = rf"[0-9@=:]|(?=[{_INITIALS}])(?:{_TITLES})"
 #: Consonants and vowels that invented names are made of, by script.
 SYLLABLES = {"latin": ("bdfgklmnprstvz", "aeiou"), "cyrillic": ("бвгдзклмнпрст", "аеиоу"), "greek": ("βγδζκλμνπρστ", "αεηιο")}
 #: Endings of given names by script and gender.
@@ -54,7 +61,7 @@ def kind(m: Column) -> Column:
     tests = [
         ("email", m.contains("@")),
         ("name", m.rlike(f"^{_TITLE}")),
-        ("secret", m.rlike(r"[=:]") | m.rlike(r"^[0-9a-f]{32,}$") & m.rlike("[a-f]")),
+        ("secret", m.rlike(r"[=:]") | m.rlike(r"^[0-9a-f]{32,}$")),
         ("ip", m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")),
         ("ssn", m.rlike(r"^\d{3}-\d{2}-\d{4}$")),
         ("iban", m.rlike(r"^[A-Z]{2}\d{2}")),
@@ -248,10 +255,11 @@ def with_surrogates(docs: DataFrame, secret: str, count: str | None = None) -> D
     """The rows of ``docs``, all columns, with the entities in ``text`` replaced; ``count`` names a column for their number.
 
     Texts without entities, null and empty ones are unchanged. Equal texts get equal results, repeated rows stay. An empty table stays empty.
-    Only texts with entities are shuffled, by their digest; the largest keys of that join Spark can split.
+    Only texts with a hint of entities are shuffled, by their digest; the largest keys of that join Spark can split.
     """
-    kept = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text")).withColumn("found", matches(F.coalesce("text", F.lit(""))))
-    some, none = kept.where(F.size("found") > 0), kept.where(F.size("found") == 0)
+    kept = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    hinted = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
+    some, none = kept.where(hinted).withColumn("found", matches(F.col("text"))), kept.where(~hinted)
     digest = F.sha2("text", 256)
     uses = some.select(digest.alias("digest"), F.explode(F.flatten(F.transform("found", keys))).alias("key")).distinct()
     uses = stored(uses, "entities")
@@ -259,11 +267,11 @@ def with_surrogates(docs: DataFrame, secret: str, count: str | None = None) -> D
     maps = uses.join(known, "key").groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("key", "made"))).alias("known"))
     pieces, n = F.split("text", ENTITY, -1), F.size("found")
     told = F.zip_with(F.slice(pieces, F.lit(1), n), "found", lambda p, m: F.concat(p, rendered(m, F.col("known"))))
-    replaced = F.concat(F.array_join(told, ""), F.element_at(pieces, -1))
+    replaced = F.when(n > 0, F.concat(F.array_join(told, ""), F.element_at(pieces, -1))).otherwise(F.col("text"))
     names = docs.columns
 
-    def out(df: DataFrame, text: Column) -> DataFrame:
-        more = [F.size("found").cast("long").alias(count)] if count else []
+    def out(df: DataFrame, text: Column, found: Column) -> DataFrame:
+        more = [found.cast("long").alias(count)] if count else []
         return df.select(*(text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in names), *more)
 
-    return out(some.withColumn("digest", digest).join(maps, "digest"), replaced).unionAll(out(none, F.col("text")))
+    return out(some.withColumn("digest", digest).join(maps, "digest", "left"), replaced, n).unionAll(out(none, F.col("text"), F.lit(0)))
