@@ -104,25 +104,25 @@ def patterns(histogram: dict[int, int], most: int = MOST) -> list[tuple[int, lis
     made = 0
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
-        again = []  # each pack takes one piece of a length, and then waits, so that rooms are compared afresh
         while left:
             if open_packs and -open_packs[0][0] >= length:
                 room, _, count, lengths = heapq.heappop(open_packs)
-                used = min(left, count)
+                used = taken = min(left, count)
                 if used < count:
                     made += 1
                     heapq.heappush(open_packs, (room, made, count - used, lengths))
                 fresh = (-room - length, used, [*lengths, length])
-            else:
-                used = left
-                fresh = (most - length, used, [length])
-            left -= used
+            else:  # none has room: the shortest pack is now each new one until it is full of this length
+                each = min(left, most // length)
+                used = left // each
+                taken = used * each
+                fresh = (most - each * length, used, [length] * each)
+            left -= taken
             if fresh[0]:
                 made += 1
                 heapq.heappush(open_packs, (-fresh[0], made, fresh[1], fresh[2]))
             else:
-                again.append((fresh[1], fresh[2]))
-        done += again
+                done.append((fresh[1], fresh[2]))
     return done + [(count, lengths) for _, _, count, lengths in sorted(open_packs, key=lambda x: x[1])]
 
 
