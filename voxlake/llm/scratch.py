@@ -19,14 +19,25 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_made: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all that operators have written to the shared folder in this session. Tables that they returned can't be read any more."""
+    while _made:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def new_dir(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that no other call gets; it is removed when the driver ends."""
+    """A path below the shared folder that no other call gets; it is removed by ``clear``, or when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(at)
     fs.deleteOnExit(at)
+    _made.append(path)
     return path
 
 
