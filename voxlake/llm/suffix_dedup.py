@@ -231,7 +231,7 @@ def _merged(segments: DataFrame, level: int, length: int, shared: int) -> DataFr
                     [part.column("segment").take(pa.array(owner)), pa.array(start), pa.array(rank.view(np.int64)), pa.array(tied), pa.array(map(_digest, data), pa.binary()), pa.array(data, pa.binary()), part.column("times").take(pa.array(owner))], names
                 )
 
-    parts = many.select("segment", "bytes", "times").mapInArrow(split, "segment binary, at long, rank long, tied boolean, child binary, bytes binary, times long")
+    parts = stored(many.select("segment", "bytes", "times").mapInArrow(split, "segment binary, at long, rank long, tied boolean, child binary, bytes binary, times long"), "parts")
     children = parts.groupBy("child").agg(F.first("rank").alias("rank"), F.first("tied").alias("tied"), F.first("bytes").alias("bytes"), F.sum("times").alias("times"))
     counts = parts.groupBy("rank").agg(F.sum("times").alias("all")).where(F.col("all") > 1).select("rank")
     children = children.where("tied").unionByName(children.where("not tied").join(counts, "rank", "left_semi").select(*children.columns))
