@@ -13,17 +13,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbatch import SHINGLE_WORD, U, Words, mix, powers, utf8
+from .textbatch import SHINGLE_WORD, U, Words, mix, powers, slices, utf8
 from .textbatch import _inverse as STEP
 
 ORDER = 2
 BACKOFF = 0.4
 #: Bytes of text in a chunk and n-grams in a bucket, about: what a task holds.
-CHUNK_BYTES = 1 << 24
-BUCKET_GRAMS = 4_000_000
+CHUNK_BYTES = 1 << 23
+BUCKET_GRAMS = 2_000_000
 #: Bytes of text for one word, about; it only sets the number of buckets.
 WORD_BYTES = 6
 TOTAL = -1  # the bucket that adds up the words
@@ -49,20 +50,18 @@ class Grams:
     """The n-grams of a chunk of texts. ``hash`` and ``count`` are those of its distinct n-grams, sorted; ``at[o]`` has the place of the n-gram of o + 1 words that ends at each word (-1 where the text has too few)."""
 
     def __init__(self, texts: pa.Array, order: int):
-        import pyarrow.compute as pc
-
-        buf, offs = utf8(pc.utf8_lower(texts))
-        words = Words(buf, offs, SHINGLE_WORD)
-        n = len(words.hash)
-        self.n_words, self.doc = words.counts, words.doc
-        nth = np.arange(n) - words.off[:-1][words.doc] if n else np.zeros(0, np.int64)
-        self.nth = nth
+        parts = [Words(*utf8(pc.utf8_lower(part.column(0))), SHINGLE_WORD) for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text")]
+        word, self.n_words = np.concatenate([p.hash for p in parts]), np.concatenate([p.counts for p in parts])
+        n = len(word)
+        self.doc = np.repeat(np.arange(len(self.n_words)), self.n_words)
+        self.nth = nth = np.arange(n) - np.repeat(np.cumsum(self.n_words) - self.n_words, self.n_words)
+        del parts
         hashes, places = [], []
         factor = powers(STEP, order + 1)
         total = np.zeros(n, dtype=U)
         for o in range(order):
             # the word o places back times its factor; positions without it aren't used
-            total[o:] += words.hash[: n - o] * factor[o] if o < n else U(0)
+            total[o:] += word[: n - o] * factor[o] if o < n else U(0)
             ends = np.flatnonzero(nth >= o)
             hashes.append(mix(total[ends] + U(o)))
             places.append(ends)
