@@ -308,6 +308,17 @@ def header_projection(spark, sf_dir):
     return n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("r_regionkey").alias("image_id"), header.alias("extent"), D(0.5).alias("spacing"), F.col("n_name").alias("path")).select("image_id", "extent.x0", "extent.x1", "spacing", "path")
 
 
+@_query(
+    "SELECT n_nationkey, (2.0 + 0.5 * (n_nationkey + 4)) * 0.5::DOUBLE AS xz_x, 2.0::DOUBLE + 0.25 * (n_regionkey + 7) AS xz_y, 5.0::DOUBLE AS xz_z, "
+    "5.0::DOUBLE AS xy_z, 1.0::DOUBLE + 0.5 * ((n_nationkey + 4) // 2) AS yz_x FROM nation"
+)
+def slice_camera(spark, sf_dir):
+    extent = [(L(0), F.col("n_nationkey") + 4), (L(2), F.col("n_regionkey") + 7), (L(-3), L(5))]
+    at = {o: geometry.slice_camera(extent, [D(1), D(2), D(3)], [D(0.5), D(0.25), D(2)], o) for o in ("XZ", "XY", "YZ")}
+    n = _table(spark, sf_dir, "nation").select("n_nationkey", *(c.alias(o) for o, c in at.items()))
+    return n.select("n_nationkey", F.col("XZ.x").alias("xz_x"), F.col("XZ.y").alias("xz_y"), F.col("XZ.z").alias("xz_z"), F.col("XY.z").alias("xy_z"), F.col("YZ.x").alias("yz_x"))
+
+
 _PATHS = "p AS (SELECT page_id, url || CASE page_id % 6 WHEN 0 THEN '.ISQ' WHEN 1 THEN '.dcm' WHEN 2 THEN '.aim' WHEN 3 THEN '.txt' WHEN 4 THEN '.DICOM' ELSE '' END AS path, page_id % 7 = 0 AS is_dir, page_id % 11 <> 0 AS permitted FROM pages)"
 
 
