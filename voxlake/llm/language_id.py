@@ -16,11 +16,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
 from .textbatch import slices, utf8
 
 #: n-grams of a profile.
 PROFILE = 300
-#: Labelled documents that are read for each language, those with the least hash of their id.
+#: Labelled documents that are read for each language, about: each is by the hash of its id and text, with the same chance. All are read where there are fewer.
 TRAIN_DOCS = 2_000
 #: Languages learned at most: the most frequent, by name where equally frequent. The bound covers every language code; what is broadcast stays under 400 * 300 n-grams.
 LANGUAGES = 400
@@ -130,17 +131,17 @@ class Profiles:
 def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, size: int = PROFILE) -> Profiles:
     """Profiles from the text and lang of ``docs`` (doc_id, text, lang); rows with a null text or lang teach nothing.
 
-    At most ``train_docs`` documents a language are read. Returned data is bounded by ``LANGUAGES * size`` n-grams.
+    About ``train_docs`` documents a language are read; equal rows are read together or not at all. Returned data is bounded by ``LANGUAGES * size`` n-grams.
     """
+    small_batches(docs.sparkSession)
     known = docs.where("lang is not null and text is not null").select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
-    counted = known.groupBy("lang").count()
-    names = [r.lang for r in counted.orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    if not names:
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    if not counts:
         return Profiles([], np.zeros(0, np.int64), np.zeros((0, 0), np.int64), size)
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # ids alone go through the window; the bounded list is then looked up in the texts
-    chosen = known.where(F.col("lang").isin(names)).select("doc_id", "lang").withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= train_docs).select("doc_id", "lang").distinct()
-    texts = known.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
+    # a document is read if its hash is among the first of so many equal parts; no rows meet to be ranked
+    parts = 1 << 40
+    bound = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(parts, parts * train_docs // n))))
+    texts = known.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)) < F.coalesce(F.try_element_at(bound, F.col("lang")), F.lit(0)))
 
     def count(batches):
         for batch in batches:
@@ -196,6 +197,7 @@ def identified(docs: DataFrame, profiles: Profiles) -> DataFrame:
     A null text, or one without a letter, gets ``und`` and score 0. So does every text if no language was
     learned. Ties go to the language that comes first in alphabetic order. Repeated rows get a row each.
     """
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def tell(batches):
@@ -209,6 +211,7 @@ def identified(docs: DataFrame, profiles: Profiles) -> DataFrame:
 
 def with_language(docs: DataFrame, profiles: Profiles, least_score: float = 0.0) -> DataFrame:
     """The rows of ``docs``, all columns, whose text has a language with a score of at least ``least_score``."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def keep(batches):

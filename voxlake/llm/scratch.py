@@ -8,6 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of an Arrow batch. Spark's own bound is 256 MB, of which a task holds several at once on either side.
+BATCH_BYTES = "4m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session by bytes, unless it has a bound of its own. Texts are handed to Python in these."""
+    if spark.conf.get(_BATCH, "268435456").rstrip("bB") in ("268435456", "256m"):
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where it is unset (tests, one machine), a temporary folder becomes its value."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
