@@ -13,7 +13,8 @@ ROUNDS = 60
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Link each node's larger (or smaller) neighbours to the least node of its neighbourhood. Rows are as many as edges; no neighbourhood is gathered."""
     around = edges.unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))) if large else edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-    least = around.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("least"))
+    # written, so that it is dealt anew for the join, whose large keys Spark can then split
+    least = stored(around.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("least")), "least")
     joined = around.join(least, "src")
     moved = joined.where("dst > src").select(F.col("dst").alias("src"), F.col("least").alias("dst")) if large else joined.select(F.col("dst").alias("src"), F.col("least").alias("dst")).unionAll(least.select("src", F.col("least").alias("dst")))
     return moved.where("src != dst").distinct()
