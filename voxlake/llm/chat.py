@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
+
 START = "start"
 WRONG = "wrong"
 
@@ -103,6 +105,8 @@ def segments(conversations: DataFrame, template: Template) -> DataFrame:
     Other columns are ignored.
     """
 
+    small_batches(conversations.sparkSession)
+
     def form(batches):
         conv, state, turn_no = object(), START, 0
         for batch in batches:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import stored
+from .scratch import small_batches, stored
 from .textbatch import WORD_K, Shingles, U, ragged, seeds, slices
 
 #: Permutations. The least favourable item (just over half of u shingles, 0.8 of them present) has similarity 0.19 with its window, and is missed with probability 0.81**64, about 1e-6.
@@ -72,6 +72,7 @@ def _make_block(rows: list[tuple[int, int, bytes]], permutations: int) -> Block:
 
 def _blocks(items: DataFrame, permutations: int, k: int) -> Iterator[Block]:
     """Blocks of items, one partition of items at a time on the driver. Items without words are in none."""
+    small_batches(items.sparkSession)
 
     def shingled(batches):
         for batch in batches:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .scratch import stored
+from .scratch import small_batches, stored
 from .textbatch import WORD_K, Shingles, U, mix, seeds, slices
 
 SIMILARITY = 0.8
@@ -60,6 +60,8 @@ def _lookup() -> Column:
 def sketched(docs: DataFrame, k: int = WORD_K) -> DataFrame:
     """doc_id, lookup, digest (of the shingle set; null without shingles), n_shingles (distinct), labels."""
 
+    small_batches(docs.sparkSession)
+
     def sketch(batches):
         for batch in batches:
             for part in slices(batch, "text"):

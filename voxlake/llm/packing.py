@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from .scratch import small_batches, stored
 from .textbatch import slices
 
 MOST = 2048
@@ -79,6 +79,8 @@ def encoder(vocabulary: Vocabulary):
 def pieces(docs: DataFrame, vocabulary: Vocabulary, most: int = MOST, end_id: int = END_ID) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens of each piece; task and nth, its number among those of its length there."""
 
+    small_batches(docs.sparkSession)
+
     def cut(batches):
         encode = encoder(vocabulary)
         task, seen = TaskContext.get().partitionId(), np.zeros(most + 1, dtype=np.int64)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from .scratch import small_batches, stored
 from .textbatch import BLANK_WORD, U, Words, mix, range_hash, slices, table, utf8, window_hash
 
 SYMBOL = table(b"#*$%&|<>", False)
@@ -163,6 +163,7 @@ def scored(docs: DataFrame, least: float = 0.5) -> DataFrame:
     zero statistics and fail the base rule. Repeated rows count each, an empty table gives no rows, and other columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
 
     def look(batches):
         for batch in batches:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from .scratch import small_batches, stored
 from .textbatch import U, prefix_sums, range_hash, slices, utf8
 
 LENGTH = 200
@@ -153,6 +153,7 @@ def _lists(owner: np.ndarray, n: int, values: np.ndarray) -> pa.Array:
 
 
 def _sketched(docs: DataFrame, length: int) -> DataFrame:
+    small_batches(docs.sparkSession)
     k = lengths(length)[0]
 
     def sketch(batches):

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import new_dir, stored
+from .scratch import new_dir, small_batches, stored
 
 #: Of the skippable frame that holds a dictionary, and of a Zstandard frame.
 DICT_MAGIC, ZSTD_MAGIC = 0x184D2A5D, 0xFD2FB528
@@ -159,6 +159,8 @@ def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", archi
     gives an empty manifest. A task writes under a name of its attempt, and only the manifest's files count, so retried and speculative tasks do no harm.
     """
 
+    small_batches(pages.sparkSession)
+
     def save(batches):
         where, base = pafs.FileSystem.from_uri(path)
         context = TaskContext.get()
@@ -189,6 +191,8 @@ def read(manifest: DataFrame, path: str) -> DataFrame:
     A response whose payload hasn't its digest is an error.
     """
 
+    small_batches(manifest.sparkSession)
+
     def load(batches):
         where, _ = pafs.FileSystem.from_uri(path)
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
