@@ -107,12 +107,9 @@ def repeated(buf: np.ndarray, offs: np.ndarray, length: int) -> np.ndarray:
             made = np.full(n, -1, dtype=np.int64)
             made[live] = rank[live] << (8 * have) | rank[live + step]
         else:
-            _, pair = np.unique(rank[live], return_inverse=True)
-            top = int(rank.max()) + 1
-            if top < 1 << 31:
-                keys = rank[live] * top + rank[live + step]
-            else:
-                keys = pair.astype(np.int64) * (1 << 32) + rank[live + step]
+            # ranks of up to four bytes take 32 bits, later ones are places in the order
+            bits = 32 if have <= 4 else int(n).bit_length()
+            keys = rank[live].astype(U) << U(bits) | rank[live + step].astype(U)
             order = np.argsort(keys)
             keys = keys[order]
             new = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
