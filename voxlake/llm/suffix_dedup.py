@@ -321,7 +321,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, shared: int = SHARED)
     from ``length`` bytes on all of them go. Rows without an id and repeated ids are rows like others; other columns are ignored.
     """
     rows, texts, left = removed_ranges(docs, length, shared)
-    facts = texts.select("digest", "copies").join(left.drop("kept"), "digest", "left")
+    # written, so that it is dealt anew for the join, whose large keys Spark can then split
+    facts = stored(texts.select("digest", "copies").join(left.drop("kept"), "digest", "left"), "facts")
     out = rows.select("doc_id", "digest", "n_bytes", "sha256").join(facts, "digest")
     copied = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     return out.select(
