@@ -55,9 +55,11 @@ def new_dir(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
-    This cuts the lineage, lets several readers use one computation, and outlives the executors that made it.
+    This cuts the lineage, lets several readers use one computation, and outlives the executors that made it. The shuffle files of the
+    finished job are of no use any more; Spark deletes them when the driver's garbage is collected, which is asked for here.
     """
     spark = df.sparkSession
     path = f"{new_dir(spark, name)}/data"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
