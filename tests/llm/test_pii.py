@@ -7,11 +7,12 @@ from voxlake.llm import pii
 CASES = [
     "Mail Jo.81@Mail7.example.com or jo.81@mail7.example.com, else JO.81@MAIL7.EXAMPLE.COM",
     "call +1 (124) 555-4766 or 124-555-4766 or 124.555.4766!",
-    'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" and 24be64439e3e49cf46b2d7c90f3602a3d0b907ff',
+    'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" and 24be64439e3e49cf46b2d7c90f3602a3d0b907ff, 24BE64439E3E49CF46B2D7C90F3602A3D0B907FF',
     "ip 152.143.123.131### and 10.1.2.3.",
     "card 4111 1111 1111 1111, 4111-1111-1111-1111 and 4785380592391139$$$",
     "Dear Mr. John Smith and Mrs Smith, Frau Müller-Meier, DR SMITH and Господин Иванов",
     "ssn 123-45-6789 iban DE89 3704 0044 0532 0130 00, DE89370400440532013000",
+    "+1 (843) 555-7672 127.52.15.62 and +1 (843) 555-7672 4785380592391139",
 ]
 CLEAN = ["Version 2.0 of 2024-01-02, 10:20. Licensed under the Apache License.", "3.14 and 1,000,000 or 12345", "", None]
 
@@ -28,7 +29,9 @@ def test_formats_and_coreference(replaced):
     assert a == b == c.lower() and c == c.upper() and a.endswith(".example") and re.match(r"[a-z]{2}\.\d\d@", a)
     one, two, three = re.search(r"\+1 \((\d{3})\) (\d{3})-(\d{4}) or (\d{3}-\d{3}-\d{4}) or (\d{3}\.\d{3}\.\d{4})!$", out[1]).group(0), *re.findall(r" (\d{3}[-.]\d{3}[-.]\d{4})", out[1])
     assert len({re.sub(r"\D", "", x)[-10:] for x in (two, three)}) == 1 and "124" not in two[:3]
-    assert len(set(re.findall(r"[0-9a-f]{40}", out[2]))) == 1 and "24be" not in out[2]
+    assert len(set(re.findall(r"[0-9a-f]{40}", out[2]))) == 1 == len(set(re.findall(r"[0-9a-f]{40}", out[2].lower()))) and "24be" not in out[2].lower()
+    beside = replaced[len(CASES) - 1].text
+    assert "(843)" not in beside and "127.52" not in beside and "4785380592391139" not in beside
     assert out[3].count(".") == CASES[3].count(".") and " 10." in out[3] and "152.143" not in out[3]
     x, y = re.search(r"card (\d{4} \d{4} \d{4} \d{4}), (\d{4}-\d{4}-\d{4}-\d{4}) and \d{16}\$\$\$", out[4]).groups()
     assert x.replace(" ", "") == y.replace("-", "") and luhn(x.replace(" ", ""))

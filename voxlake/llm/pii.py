@@ -30,14 +30,14 @@ LETTERED: dict[str, str] = {
     "secret": r"(?=[tTsSpPaA])(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)[\"']?\s{0,4}[=:]\s{0,4}[\"']?[A-Za-z0-9+/_=.\-]{8,128}",
     "email": r"(?<![\p{L}._%+\-])[A-Za-z\d._%+\-\p{L}]{1,64}+@[\p{L}\d\-]{1,63}(?:\.[\p{L}\d\-]{1,63}){1,8}",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "hex": r"(?=[a-f]{0,63}\d)[0-9a-f]{32,64}+(?![A-Za-z0-9])",
+    "hex": r"(?=[a-fA-F]{0,63}\d)[0-9a-fA-F]{32,64}+(?![A-Za-z0-9])",
     "name": rf"(?=[{_INITIALS}])(?<!\p{{L}}){_TITLE}\.? {_NAME}(?: (?!(?:{_TITLES})\.? ){_NAME}){{0,2}}",
 }
 NUMERIC: dict[str, str] = {
     "ip": r"(?<!\.)\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
     "ssn": r"(?<!\-)\d{3}-\d{2}-\d{4}(?![\d\-])",
     "card": r"\d(?:[ \-]?\d){12,18}(?!\d)",
-    "phone": r"(?<!\+)(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,5}\)[ .\-]?|\d{2,5}[ .\-])\d{3,4}[ .\-]\d{3,4}(?![ .\-]?\d)|(?<!\+)\+\d{8,15}(?!\d)",
+    "phone": r"(?<!\+)(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,5}\)[ .\-]?|\d{2,5}[ .\-])\d{3,4}[ .\-]\d{3,4}(?!\d)|(?<!\+)\+\d{8,15}(?!\d)",
 }
 _any = lambda patterns: "|".join(f"(?:{p})" for p in patterns.values())
 ENTITY = rf"(?<![A-Za-z0-9])(?:(?=[0-9+(])(?:{_any(NUMERIC)})|(?:{_any(LETTERED)}))"
@@ -61,7 +61,7 @@ def kind(m: Column) -> Column:
     tests = [
         ("email", m.contains("@")),
         ("name", m.rlike(f"^{_TITLE}")),
-        ("secret", m.rlike(r"[=:]") | m.rlike(r"^[0-9a-f]{32,}$")),
+        ("secret", m.rlike(r"[=:]") | m.rlike(r"^[0-9a-fA-F]{32,}$")),
         ("ip", m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")),
         ("ssn", m.rlike(r"^\d{3}-\d{2}-\d{4}$")),
         ("iban", m.rlike(r"^[A-Z]{2}\d{2}")),
@@ -90,6 +90,10 @@ def _secret_value(m: Column) -> Column:
     return F.regexp_extract(m, r"^(?:[A-Za-z_\-]+[\"']?\s*[=:]\s*[\"']?)?(.*)$", 1)
 
 
+def _is_hex(value: Column) -> Column:
+    return value.rlike("^([0-9a-f]{16,}|[0-9A-F]{16,})$") & value.rlike("[a-fA-F]")
+
+
 def keys(m: Column) -> Column:
     """The entities that a match stands for, as an array of 'type|normal form'.
 
@@ -99,7 +103,7 @@ def keys(m: Column) -> Column:
     k = kind(m)
     plain = (
         F.when(k == "email", F.lower(m))
-        .when(k == "secret", _secret_value(m))
+        .when(k == "secret", F.when(_is_hex(_secret_value(m)), F.lower(_secret_value(m))).otherwise(_secret_value(m)))
         .when(k.isin("ssn", "card"), _digits(m))
         .when(k == "phone", F.right(_digits(m), F.lit(10)))
         .otherwise(F.regexp_replace(m, " ", ""))
@@ -123,8 +127,8 @@ def _number(stream: Column, i: Column) -> Column:
 
 
 def _shape(value: Column, stream: Column) -> Column:
-    """Letters and digits replaced by others of their class; lower-case hexadecimal values stay hexadecimal."""
-    is_hex = value.rlike("^[0-9a-f]{16,}$") & value.rlike("[a-f]")
+    """Letters and digits replaced by others of their class; hexadecimal values stay hexadecimal (their normal form is lower case)."""
+    is_hex = _is_hex(value)
 
     def one(i):
         c, x = F.substring(value, i + 1, F.lit(1)), _number(stream, i)
@@ -213,7 +217,7 @@ def rendered(m: Column, known: Column) -> Column:
     grouped = F.when(m.contains(" "), F.trim(F.regexp_replace(made, "(.{4})", "$1 "))).otherwise(made)
     return (
         F.when(k == "name", name)
-        .when(k == "secret", F.concat(F.substring(m, F.lit(1), F.length(m) - F.length(value)), made))
+        .when(k == "secret", F.concat(F.substring(m, F.lit(1), F.length(m) - F.length(value)), F.when(_is_hex(value) & (F.upper(value) == value), F.upper(made)).otherwise(made)))
         .when(k.isin("card", "ssn", "phone"), numeric)
         .when(k == "iban", grouped)
         .when((k == "email") & (F.upper(m) == m), F.upper(made))
@@ -263,7 +267,8 @@ def with_surrogates(docs: DataFrame, secret: str, count: str | None = None) -> D
     digest = F.sha2("text", 256)
     uses = some.select(digest.alias("digest"), F.explode(F.flatten(F.transform("found", keys))).alias("key")).distinct()
     uses = stored(uses, "entities")
-    known = assigned(uses.select("key").distinct(), secret)
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a surrogate costs more than its bytes tell
+    known = assigned(uses.select("key").distinct().repartition(tasks, "key"), secret)
     maps = uses.join(known, "key").groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("key", "made"))).alias("known"))
     pieces, n = F.split("text", ENTITY, -1), F.size("found")
     told = F.zip_with(F.slice(pieces, F.lit(1), n), "found", lambda p, m: F.concat(p, rendered(m, F.col("known"))))
