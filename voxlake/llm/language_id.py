@@ -25,6 +25,8 @@ PROFILE = 300
 TRAIN_DOCS = 2_000
 #: Languages learned at most: the most frequent, by name where equally frequent. The bound covers every language code; what is broadcast stays under 400 * 300 n-grams.
 LANGUAGES = 400
+#: Bytes of text whose n-grams are counted at once: each takes some hundred bytes for a moment.
+SLICE = 1 << 18
 UNKNOWN = "und"
 BITS = 21  # of a code point
 
@@ -145,7 +147,7 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, size: int = PROFILE) ->
 
     def count(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 doc, gram, n, _ = ngram_counts(part.column("text"))
                 langs = pc.dictionary_encode(part.column("lang"))
                 code = np.asarray(langs.indices)[doc].astype(np.int64)
@@ -202,7 +204,7 @@ def identified(docs: DataFrame, profiles: Profiles) -> DataFrame:
 
     def tell(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 names, score = predict(part.column("text"), held.value)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
@@ -216,7 +218,7 @@ def with_language(docs: DataFrame, profiles: Profiles, least_score: float = 0.0)
 
     def keep(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 names, score = predict(part.column("text"), held.value)
                 yield part.filter(pa.array([name != UNKNOWN and s >= least_score for name, s in zip(names, score.tolist(), strict=True)]))
 

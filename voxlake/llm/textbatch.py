@@ -18,7 +18,7 @@ BASE = 0x9E3779B97F4A7C15 | 1
 _inverse = pow(BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 #: Texts are handled in groups of about so many bytes; one longer text is a group of its own.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 WORD_K = 5
 
 
