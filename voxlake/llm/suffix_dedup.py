@@ -17,17 +17,20 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import small_batches, stored
-from .textbatch import U, prefix_sums, range_hash, slices, utf8
+from .textbatch import SLICE_BYTES, U, prefix_sums, range_hash, slices, utf8
 
 LENGTH = 200
 #: Positions of a segment at most; longer runs (of periodic text) are cut.
 SEGMENT = 4096
 #: Different segments of a rank that are ranked in one task; more are refined first.
 SHARED = 1000
+#: Compressed bytes of the texts that are handled at once.
+SQUEEZED_BYTES = SLICE_BYTES // 3
 #: Bytes that are ranked at once.
 CHUNK = 1 << 22
 
@@ -145,6 +148,20 @@ def _lookup() -> Column:
     return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("~"), F.sha2(F.coalesce("text", F.lit("")), 256)))
 
 
+def _squeezed(texts: pa.Array) -> pa.Array:
+    """Each text's bytes compressed: texts are shuffled twice and stored once, and Spark's own codec is made for speed."""
+    buf, offs = utf8(texts)
+    pack = zstandard.ZstdCompressor(level=3, write_content_size=True).compress
+    return pa.array([pack(buf[a:b].tobytes()) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], pa.binary())
+
+
+def _texts(squeezed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts and their offsets."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    raw = [unpack(x) for x in squeezed.to_pylist()]
+    return np.frombuffer(b"".join(raw), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw], dtype=np.int64)])
+
+
 def _lists(owner: np.ndarray, n: int, values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)), pa.array(values))
 
@@ -252,16 +269,22 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, shared: int = SHARED)
     active = spans.where("not tied").join(again, "rank", "left_semi").select(*columns).unionAll(spans.where("tied").select(*columns))
     per_row = active.groupBy("row").agg(F.collect_list(F.struct("start", "n", "rank")).alias("spans"))
     wanted = per_row.join(texts, "row").select("row", "digest", "lookup", "spans")
-    plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("lookup", _lookup()).select("lookup", "text")
+    plain = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("lookup", _lookup()).select("lookup", "text")
+
+    def squeeze(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("lookup"), _squeezed(batch.column("text"))], ["lookup", "text"])
+
+    plain = plain.mapInArrow(squeeze, "lookup string, text binary")
 
     def same(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
-                buf, offs = utf8(part.column("text"))
+            for part in slices(batch, "text", SQUEEZED_BYTES):
+                buf, offs = _texts(part.column("text"))
                 good = [_digest(buf[a:b].tobytes()) == want for a, b, want in zip(offs[:-1].tolist(), offs[1:].tolist(), part.column("digest").to_pylist(), strict=True)]
                 yield part.select(["row", "digest", "text", "spans"]).filter(pa.array(good, pa.bool_()))
 
-    found = plain.join(wanted, "lookup").select("row", "digest", "text", "spans").mapInArrow(same, "row long, digest binary, text string, spans array<struct<start: int, n: int, rank: long>>")
+    found = plain.join(wanted, "lookup").select("row", "digest", "text", "spans").mapInArrow(same, "row long, digest binary, text binary, spans array<struct<start: int, n: int, rank: long>>")
     if not rows.groupBy("digest", "lookup").count().where("count > 1").isEmpty():
         found = found.dropDuplicates(["row"])  # rows that repeat an id and a text
     found = stored(found, "active")
@@ -269,8 +292,8 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, shared: int = SHARED)
     def cut(wide: bool):
         def segments(batches):
             for batch in batches:
-                for part in slices(batch, "text"):
-                    buf, offs = utf8(part.column("text"))
+                for part in slices(batch, "text", SQUEEZED_BYTES):
+                    buf, offs = _texts(part.column("text"))
                     spans = part.column("spans")
                     owner = np.repeat(np.arange(len(part)), np.diff(spans.offsets.to_numpy()))
                     flat = spans.flatten()
@@ -294,9 +317,9 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, shared: int = SHARED)
 
     def remove(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SQUEEZED_BYTES):
                 out = []
-                buf, offs = utf8(part.column("text"))
+                buf, offs = _texts(part.column("text"))
                 for i, (digest, starts, ends) in enumerate(zip(part.column("digest").to_pylist(), part.column("starts").to_pylist(), part.column("ends").to_pylist(), strict=True)):
                     own = buf[offs[i] : offs[i + 1]]
                     steps = np.zeros(len(own) + 1, dtype=np.int64)
