@@ -14,10 +14,18 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)``, with value evaluated once and not copied into the expression wherever it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normalize(a: Column) -> Column:
     """The unit vector; a zero vector stays as it is."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+
+    def unit(v):
+        return bound(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double"))))
+
+    return bound(a, unit)
 
 
 def cross(a: Column, b: Column) -> Column:
@@ -27,7 +35,6 @@ def cross(a: Column, b: Column) -> Column:
 
 def camera_basis(direction: Column, up: Column) -> tuple[Column, Column]:
     """Right and true-up unit vectors of a camera; an up vector along the direction is replaced by the y axis."""
-    right = cross(direction, up)
     y = F.array(F.lit(0.0), F.lit(1.0), F.lit(0.0))
-    right = normalize(F.when(norm(right) < 1e-12, cross(direction, y)).otherwise(right))
-    return right, normalize(cross(right, direction))
+    right = bound(cross(direction, up), lambda r: normalize(F.when(norm(r) < 1e-12, cross(direction, y)).otherwise(r)))
+    return right, bound(right, lambda r: normalize(cross(r, direction)))

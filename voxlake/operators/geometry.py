@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import centre_index
-from ..functions.vector import camera_basis, dot, norm
+from ..functions.vector import bound, camera_basis, dot, norm
 from ..model import ORIENTATIONS, PLANE_AXES
 
 
@@ -81,8 +81,12 @@ def fit_view(bounds: list[Column], direction: Column, up: Column, width: Column,
     aspect = F.when((width > 0) & (height > 0), width / height).otherwise(1.0)
     tan_v = F.tan(F.radians(view_angle) * 0.5)
     tan_h = tan_v * aspect
-    far = F.greatest(F.when(tan_v > 1e-12, v / tan_v).otherwise(distance), F.when(tan_h > 1e-12, u / tan_h).otherwise(distance))
-    return F.struct((F.greatest(v, u / aspect) * 1.05).alias("parallel_scale"), (far * 1.05).alias("distance"))
+
+    def fitted(e):
+        far = F.greatest(F.when(tan_v > 1e-12, e["v"] / tan_v).otherwise(distance), F.when(tan_h > 1e-12, e["u"] / tan_h).otherwise(distance))
+        return F.struct((F.greatest(e["v"], e["u"] / aspect) * 1.05).alias("parallel_scale"), (far * 1.05).alias("distance"))
+
+    return bound(F.struct(u.alias("u"), v.alias("v")), fitted)
 
 
 def slice_camera(extent: list[tuple[Column, Column]], origin: list[Column], spacing: list[Column], orientation: str, index: Column | None = None) -> Column:
