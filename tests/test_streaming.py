@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ def source(spark, tmp_path):
     """Events in time order, in files that a stream reads one by one."""
     e = spark.read.parquet(f"{DATA}/events.parquet").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
     e.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(str(tmp_path / "in"))
+    for i, part in enumerate(sorted((tmp_path / "in").glob("part-*"))):  # files are taken by their time of change
+        os.utime(part, (1_700_000_000 + i, 1_700_000_000 + i))
     stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     return e, stream, str(tmp_path)
 
