@@ -53,6 +53,30 @@ def test_production_length(spark):
     assert sorted((x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got.values()) == gone(cases, 200)
 
 
+def periodic(seed, length):
+    """A text for each level whose block is exactly as long as that level's reach, and one of two blocks."""
+    r = rng(seed)
+    blocks = ["".join(r.choices("abcdefgh", k=length - k + 1)) for k in s.lengths(length)]
+    return [b * (3 + 2 * length // len(b)) for b in blocks] + [b * 2 for b in blocks]
+
+
+@pytest.mark.parametrize("length,shared", [(20, 1000), (20, 0), (200, 1000), (200, 0)])
+def test_period_of_the_reach(spark, length, shared):
+    texts = [t for seed in range(4) for t in periodic(seed, length)]
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in s.without_repeats(table(spark, list(enumerate(texts))), length, shared).collect())
+    assert got == gone(texts, length)
+
+
+@pytest.mark.parametrize("length", [20, 200])
+def test_runs_of_a_period_of_the_reach_are_tied(length):
+    for seed in range(10):
+        for k, text in zip(s.lengths(length), periodic(seed, length), strict=False):
+            buf = np.frombuffer(text.encode(), dtype=np.uint8)
+            rank, tied = s.runs(buf, np.array([0, len(buf)]), k, length)[3:]
+            values, count = np.unique(rank, return_counts=True)
+            assert all(t or count[values == x] > 1 for x, t in zip(rank, tied, strict=True))
+
+
 def test_repeated_in_segments():
     r = rng(7)
     for _ in range(150):

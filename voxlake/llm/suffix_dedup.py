@@ -81,7 +81,7 @@ def runs(buf: np.ndarray, offs: np.ndarray, k: int, length: int) -> tuple[np.nda
     chosen = np.flatnonzero(most == x)
     order = np.lexsort((chosen, x[chosen]))
     c = chosen[order]
-    near = (x[c][1:] == x[c][:-1]) & (c[1:] - c[:-1] < w)
+    near = (x[c][1:] == x[c][:-1]) & (c[1:] - c[:-1] <= w)  # at a gap of w the two reaches still adjoin: one run
     tied = np.isin(rank, x[c][1:][near])
     if (n > SEGMENT).any():
         parts = -(-n // SEGMENT)
