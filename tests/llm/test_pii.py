@@ -85,3 +85,32 @@ def test_odd_rows_repeated_rows_and_columns(spark):
 def test_no_python_on_the_main_path(spark):
     text = pii.with_surrogates(table(spark, [(1, CASES[0])]), "k")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in text and "Arrow" not in text
+
+
+def test_entities_are_taken_to_their_end(spark):
+    r = rng(9)
+    token = "".join(r.choices("ABCDEFabcdefghijkXYZ0123456789_-", k=400))
+    key = "".join(r.choices("0123456789abcdef", k=128))
+    rows = [
+        (0, f"token={token} end"),
+        (1, f"key {key} end"),
+        (2, "Frau Anna Maria Luise Schmidt kam, Frau Schmidt ging"),
+        (3, "1234567890123" + "ab" * 42 + "c end"),
+        (4, "x" * 100 + "@" + ".".join(["mail"] * 12) + " end"),
+        (5, "Mr " + "A" + "b" * 90 + " end"),
+        (6, "token=" + "q" * 50_000 + " end"),
+    ]
+    out = {x.doc_id: x.text for x in pii.with_surrogates(table(spark, rows), "k").collect()}
+    made = re.fullmatch(r"token=([\w\-]{400}) end", out[0]).group(1)
+    assert not any(made[i : i + 12] == token[i : i + 12] for i in range(389))
+    assert len({made[i : i + 32] for i in range(0, 384, 32)}) == 12
+    hexed = re.fullmatch(r"key ([0-9a-f]{128}) end", out[1]).group(1)
+    assert not any(hexed[i : i + 12] == key[i : i + 12] for i in range(117))
+    full, short = re.fullmatch(r"Frau ((?:\w+ ){4})kam, Frau (\w+) ging", out[2]).groups()
+    assert full.split()[-1] == short and not set(full.split()) & set("Anna Maria Luise Schmidt".split())
+    assert "1234567890123" not in out[3] and "abababab" not in out[3]
+    assert "mail" not in out[4] and "xxxx" not in out[4] and out[4].endswith(".example end")
+    assert "bbbb" not in out[5]
+    # letters drawn by a stream that goes on: no period of the first 128 numbers
+    long = out[6][6:-4]
+    assert len(long) == 50_000 and long[:128] != long[128:256] and long.count("q") < 5000

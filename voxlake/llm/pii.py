@@ -21,19 +21,20 @@ MALE = ["Mr", "Herr", "Herrn", "Monsieur", "Señor", "Господин", "MR", "
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mademoiselle", "Señora", "Señorita", "Госпожа", "MRS", "MS", "FRAU"]
 EITHER = ["Dr", "Prof", "Доктор", "DR", "PROF"]
 
-_NAME = r"\p{Lu}[\p{L}'’\-]{1,40}"
+_NAME = r"\p{Lu}[\p{L}'’\-]++"
 _TITLES = "|".join(sorted(MALE + FEMALE + EITHER, key=len, reverse=True))
 _TITLE = f"(?:{_TITLES})"
 _INITIALS = "".join(sorted({t[0] for t in MALE + FEMALE + EITHER}))
-#: What is found, in the order in which alternatives are tried at a place; none begins right after an ASCII letter or digit. All repetitions are bounded.
+#: What is found, in the order in which alternatives are tried at a place; none begins right after an ASCII letter or digit. Repetitions without a bound are possessive: an entity is taken to its end, in one pass.
 LETTERED: dict[str, str] = {
-    "secret": r"(?=[tTsSpPaA])(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)[\"']?\s{0,4}[=:]\s{0,4}[\"']?[A-Za-z0-9+/_=.\-]{8,128}",
-    "email": r"(?<![\p{L}._%+\-])[A-Za-z\d._%+\-\p{L}]{1,64}+@[\p{L}\d\-]{1,63}(?:\.[\p{L}\d\-]{1,63}){1,8}",
+    "secret": r"(?=[tTsSpPaA])(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)[\"']?\s{0,4}[=:]\s{0,4}[\"']?[A-Za-z0-9+/_=.\-]{8,}+",
+    "email": r"(?<![\p{L}._%+\-])[A-Za-z\d._%+\-\p{L}]++@[\p{L}\d\-]++(?:\.[\p{L}\d\-]++)++",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "hex": r"(?=[a-fA-F]{0,63}\d)[0-9a-fA-F]{32,64}+(?![A-Za-z0-9])",
-    "name": rf"(?=[{_INITIALS}])(?<!\p{{L}}){_TITLE}\.? {_NAME}(?: (?!(?:{_TITLES})\.? ){_NAME}){{0,2}}",
+    "hex": r"(?=[a-fA-F]*+\d)[0-9a-fA-F]{32,}+(?![A-Za-z0-9])",
+    "name": rf"(?=[{_INITIALS}])(?<!\p{{L}}){_TITLE}\.? {_NAME}(?: (?!(?:{_TITLES})\.? ){_NAME})*+",
 }
 NUMERIC: dict[str, str] = {
+    "hex": LETTERED["hex"],  # before the numbers that it may begin with
     "ip": r"(?<!\.)\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
     "ssn": r"(?<!\-)\d{3}-\d{2}-\d{4}(?![\d\-])",
     "card": r"\d(?:[ \-]?\d){12,18}(?!\d)",
@@ -51,6 +52,11 @@ ATTEMPTS = 40
 STREAM = 4  # digests of 64 hexadecimal digits each
 
 
+def _bound(value: Column, f) -> Column:
+    """f(value), with the value computed once however often f's lambdas use it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _digits(c: Column) -> Column:
     return F.regexp_replace(c, r"[^0-9]", "")
 
@@ -109,8 +115,8 @@ def keys(m: Column) -> Column:
         .otherwise(F.regexp_replace(m, " ", ""))
     )
     words = F.split(F.substring(m, F.length(_title(m)) + 1, F.length(m)), " ")
-    last = F.size(words) - 1
-    named = F.transform(words, lambda w, i: F.concat(F.when(i == last, F.lit("surname")).otherwise(F.concat(F.lit("given_"), _gender(m))), F.lit("|"), F.lower(w)))
+    group = lambda x, i: F.when(i == F.size(x["words"]) - 1, F.lit("surname")).otherwise(F.concat(F.lit("given_"), x["gender"]))
+    named = _bound(F.struct(words.alias("words"), _gender(m).alias("gender")), lambda x: F.transform(x["words"], lambda w, i: F.concat(group(x, i), F.lit("|"), F.lower(w))))
     return F.when(k == "name", named).otherwise(F.array(F.concat(k, F.lit("|"), plain)))
 
 
@@ -128,19 +134,26 @@ def _number(stream: Column, i: Column) -> Column:
 
 def _shape(value: Column, stream: Column) -> Column:
     """Letters and digits replaced by others of their class; hexadecimal values stay hexadecimal (their normal form is lower case)."""
-    is_hex = _is_hex(value)
 
-    def one(i):
-        c, x = F.substring(value, i + 1, F.lit(1)), _number(stream, i)
+    def one(x, c, n):
         return (
-            F.when(is_hex, F.lower(F.hex((x % 16).cast("long"))))
-            .when(c.rlike("[0-9]"), (x % 10).cast("string"))
-            .when(c.rlike(r"\p{Lu}"), F.char((x % 26 + 65).cast("long")))
-            .when(c.rlike(r"\p{L}"), F.char((x % 26 + 97).cast("long")))
+            F.when(x["is_hex"], F.lower(F.hex((n % 16).cast("long"))))
+            .when(c.rlike("[0-9]"), (n % 10).cast("string"))
+            .when(c.rlike(r"\p{Lu}"), F.char((n % 26 + 65).cast("long")))
+            .when(c.rlike(r"\p{L}"), F.char((n % 26 + 97).cast("long")))
             .otherwise(c)
         )
 
-    return F.when(F.length(value) == 0, value).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.length(value) - 1), one), ""))
+    def block(x, b):
+        # 32 numbers: the stream's own, and after its end digests of it and of the block's place
+        own = F.when(b < STREAM, F.substring(x["stream"], b * 64 + 1, F.lit(64))).otherwise(F.sha2(F.concat_ws("|", x["stream"], b.cast("string")), 256))
+        piece = F.substring(x["value"], b * 32 + 1, F.lit(32))
+        each = lambda y: F.transform(F.sequence(F.lit(0), F.length(y["piece"]) - 1), lambda i: one(x, F.substring(y["piece"], i + 1, F.lit(1)), _number(y["own"], i)))
+        return F.array_join(_bound(F.struct(own.alias("own"), piece.alias("piece")), each), "")
+
+    parts = F.struct(value.alias("value"), stream.alias("stream"), _is_hex(value).alias("is_hex"))
+    shaped = _bound(parts, lambda x: F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.length(x["value"]) - 1) / 32).cast("int")), lambda b: block(x, b)), ""))
+    return F.when(F.length(value) == 0, value).otherwise(shaped)
 
 
 def _numerals(n: Column, stream: Column) -> Column:
@@ -213,7 +226,7 @@ def rendered(m: Column, known: Column) -> Column:
     value = _secret_value(m)
     title = _title(m)
     rest = F.substring(m, F.length(title) + 1, F.length(m))
-    name = F.concat(title, F.array_join(F.transform(F.split(rest, " "), lambda w, i: _like(w, F.element_at(known, F.get(own, i)))), " "))
+    name = F.concat(title, F.array_join(F.zip_with(F.split(rest, " "), own, lambda w, key: _like(w, F.element_at(known, key))), " "))
     grouped = F.when(m.contains(" "), F.trim(F.regexp_replace(made, "(.{4})", "$1 "))).otherwise(made)
     return (
         F.when(k == "name", name)
