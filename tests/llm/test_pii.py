@@ -114,3 +114,28 @@ def test_entities_are_taken_to_their_end(spark):
     # letters drawn by a stream that goes on: no period of the first 128 numbers
     long = out[6][6:-4]
     assert len(long) == 50_000 and long[:128] != long[128:256] and long.count("q") < 5000
+
+
+PHONES = [
+    ["+33 6 12 34 56 78", "06 12 34 56 78", "06.12.34.56.78", "06-12-34-56-78", "+33 (0)6 12 34 56 78", "+33612345678"],
+    ["+49 30 901820", "+49 (0)30 901820", "030 901820", "030/901820", "(030) 901820"],
+    ["+49 171 12345678", "0171 12345678", "0171-12345678"],
+    ["+34 612 34 56 78", "612 34 56 78", "+34 612 345 678"],
+    ["+1 (124) 555-4766", "124-555-4766", "+11245554766"],
+]
+NO_PHONES = ["am 01.02.2024 um 10:20, le 06/12/2024, 2024-06-12 10:20:30", "1 234 567 euros, 12 34 56, 3.030 90182, 0.12 34567 et 1.06 12", "Seiten 030 bis 901820, de 612 a 678, art. 12 34"]
+
+
+def test_phones_of_all_languages(spark):
+    rows = [(i, " ; ".join(same)) for i, same in enumerate(PHONES)] + [(10 + i, t) for i, t in enumerate(NO_PHONES)]
+    out = {x.doc_id: (x.text, x.n) for x in pii.with_surrogates(table(spark, rows).select("doc_id", "text"), "k", "n").collect()}
+    for i, same in enumerate(PHONES):
+        text, n = out[i]
+        made = text.split(" ; ")
+        assert n == len(same), (same, text)
+        assert [re.sub(r"\d", "9", x) for x in made] == [re.sub(r"\d", "9", x) for x in same]
+        # all spellings of one number get one surrogate
+        size = min(len(re.sub(r"\D", "", x).lstrip("0")) for x in same)
+        assert len({re.sub(r"\D", "", x)[-size:] for x in made}) == 1 and re.sub(r"\D", "", made[0])[-size:] != re.sub(r"\D", "", same[0])[-size:]
+    for i, t in enumerate(NO_PHONES):
+        assert out[10 + i] == (t, 0)

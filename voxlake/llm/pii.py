@@ -33,12 +33,24 @@ LETTERED: dict[str, str] = {
     "hex": r"(?=[a-fA-F]*+\d)[0-9a-fA-F]{32,}+(?![A-Za-z0-9])",
     "name": rf"(?=[{_INITIALS}])(?<!\p{{L}}){_TITLE}\.? {_NAME}(?: (?!(?:{_TITLES})\.? ){_NAME})*+",
 }
+_PAIRS = lambda n: "(?:" + "|".join(rf"(?:{sep}\d{{2}}){{{n}}}" for sep in (" ", r"\.", "-")) + ")"
+_END = r"(?!\d|[.,]\d)"
+#: Phone numbers of groups of two digits (French, Spanish), and of an area code and 5 to 8 digits (German), with a country code and without.
+_PHONES = [
+    rf"(?<!\+)\+\d{{1,3}}[ .\-]?(?:\(0\)[ .\-]?)?\d{{1,3}}{_PAIRS('3,4')}{_END}",
+    rf"(?<!\+)\+\d{{1,3}}[ .\-]?(?:\(0\)[ .\-]?)?(?:\(\d{{2,5}}\) ?|\d{{2,5}}(?: ?/ ?|[ .\-]))\d{{5,8}}(?:-\d{{1,4}})?{_END}",
+    rf"(?<![.,])0[1-9]{_PAIRS(4)}{_END}",
+    rf"(?<![.,])[6-9]\d{{2}}{_PAIRS(3)}{_END}",
+    rf"(?<![.,])(?:\(0[1-9]\d{{1,3}}\) ?|0[1-9]\d{{1,3}}(?: ?/ ?|[ \-]))\d{{5,8}}(?:-\d{{1,4}})?{_END}",
+]
+#: Country codes as they are assigned: of one, two, or else three digits.
+_COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 NUMERIC: dict[str, str] = {
     "hex": LETTERED["hex"],  # before the numbers that it may begin with
     "ip": r"(?<!\.)\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
     "ssn": r"(?<!\-)\d{3}-\d{2}-\d{4}(?![\d\-])",
     "card": r"\d(?:[ \-]?\d){12,18}(?!\d)",
-    "phone": r"(?<!\+)(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,5}\)[ .\-]?|\d{2,5}[ .\-])\d{3,4}[ .\-]\d{3,4}(?!\d)|(?<!\+)\+\d{8,15}(?!\d)",
+    "phone": r"(?<!\+)(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,5}\)[ .\-]?|\d{2,5}[ .\-])\d{3,4}[ .\-]\d{3,4}(?!\d)|(?<!\+)\+\d{8,15}(?!\d)|" + "|".join(_PHONES),
 }
 _any = lambda patterns: "|".join(f"(?:{p})" for p in patterns.values())
 ENTITY = rf"(?<![A-Za-z0-9])(?:(?=[0-9+(])(?:{_any(NUMERIC)})|(?:{_any(LETTERED)}))"
@@ -111,7 +123,7 @@ def keys(m: Column) -> Column:
         F.when(k == "email", F.lower(m))
         .when(k == "secret", F.when(_is_hex(_secret_value(m)), F.lower(_secret_value(m))).otherwise(_secret_value(m)))
         .when(k.isin("ssn", "card"), _digits(m))
-        .when(k == "phone", F.right(_digits(m), F.lit(10)))
+        .when(k == "phone", F.right(F.regexp_replace(_digits(F.regexp_replace(m, _COUNTRY, "")), "^0", ""), F.lit(10)))
         .otherwise(F.regexp_replace(m, " ", ""))
     )
     words = F.split(F.substring(m, F.length(_title(m)) + 1, F.length(m)), " ")
