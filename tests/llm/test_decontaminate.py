@@ -58,3 +58,13 @@ def test_empty_tables(spark, cases):
     assert d.contained_items(empty(spark), items_table(spark, items)).isEmpty()
     assert d.contained_items(table(spark, docs), items_table(spark, [])).isEmpty()
     assert d.without_contaminated(table(spark, docs), items_table(spark, [])).count() == len(docs)
+
+
+def test_short_and_repetitive_items(spark):
+    """Items with few distinct shingles for their length, whose similarity with a window of their size is low."""
+    r = rng(4)
+    item = lambda n: " ".join("".join(r.choices("abcdefghijklmnop", k=7)) for _ in range(n))
+    items = [item(5) for _ in range(250)] + [item(6) for _ in range(50)] + [" ".join([item(8)] * 25) for _ in range(15)] + [" ".join([item(1)] * 200) for _ in range(15)]
+    items = list(enumerate(items))
+    docs = [(1000 + i, f"{prose(r, 40)} {text} {prose(r, 600 if len(text) > 99 else 40)}") for i, text in items]
+    assert as_rows(d.contained_items(table(spark, docs), items_table(spark, items))) == brute(docs, items)

@@ -1,6 +1,6 @@
 """Benchmark decontamination: find short test items inside long documents.
 
-Size-partitioned MinHash containment search. Items are partitioned by their number of shingles, up to
+Size-partitioned MinHash containment search. Items are partitioned by their number of shingle positions, up to
 each power of two. For the partition with upper bound u, documents are read in windows of two
 consecutive blocks of u shingles, so that an item that lies in a document lies in one window of
 comparable size, and its Jaccard similarity with that window is high however long the document is.
@@ -8,6 +8,10 @@ Each permutation's minimum is a key of its own: a window that agrees with an ite
 makes the document a candidate. Candidates are verified by exact containment of the item's shingle set
 in the whole document.
 
+That similarity is of distinct shingles. It is low for items with few of them, or with many repetitions, so items with no more than
+half as many distinct shingles as their partition's bound are looked up exactly: of an item with d shingles of which c must be in the document,
+any d - c + 1 include one that is, so the rarest so many are keys.
+
 Items are a stated query set. They are taken in blocks of a bounded number of shingles; each block is
 broadcast and all documents pass it, with no shuffle.
 """
@@ -26,7 +30,8 @@ from pyspark.sql import types as T
 from .scratch import small_batches, stored
 from .textbatch import WORD_K, Shingles, U, ragged, seeds, slices
 
-#: Permutations. The least favourable item (just over half of u shingles, 0.8 of them present) has similarity 0.19 with its window, and is missed with probability 0.81**64, about 1e-6.
+#: Permutations. The least favourable item that is left to them (just over u / 2 distinct shingles) has similarity 0.19 with a window that holds 0.8 of them, and is missed with probability 0.81**64, about 1e-6. An item
+#: whose shingles lie farther apart in a document than a window has no such bound.
 PERMUTATIONS = 64
 #: An item's containment at which it counts as found.
 CONTAINMENT = 0.8
@@ -47,18 +52,42 @@ PAIRS = T.StructType(
 
 @dataclass
 class Block:
-    """Items of one block; ``levels`` has for each size partition u its keys: per permutation the sorted minima and the items they belong to."""
+    """Items of one block; ``levels`` has for each size partition u its keys: per permutation the sorted minima and the items they belong to; ``exact`` the sorted shingles, and their items, of those looked up by shingles."""
 
     ids: np.ndarray
     sets: list[np.ndarray]
     levels: dict[int, list[tuple[np.ndarray, np.ndarray]]]
-
-
-def _make_block(rows: list[tuple[int, int, bytes]], permutations: int) -> Block:
+    exact: tuple[np.ndarray, np.ndarray]
+
+
+def _rarest(sets: list[np.ndarray], few: list[int], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, sorted, and items: enough of each item's that a document which contains the item has one of them. Rare is what few of the items have."""
+    if not few:
+        return np.zeros(0, U), np.zeros(0, np.int64)
+    values, inverse, times = np.unique(np.concatenate([sets[i] for i in few]), return_inverse=True, return_counts=True)
+    keys, owner, at = [], [], 0
+    for i in few:
+        d = len(sets[i])
+        needed = next((c for c in range(max(1, int(threshold * d) - 1), d) if c >= threshold * d), d)
+        order = np.argsort(times[inverse[at : at + d]], kind="stable")[: d - needed + 1]
+        keys.append(sets[i][order])
+        owner.append(np.full(len(order), i, dtype=np.int64))
+        at += d
+    keys, owner = np.concatenate(keys), np.concatenate(owner)
+    order = np.argsort(keys, kind="stable")
+    return keys[order], owner[order]
+
+
+def _make_block(rows: list[tuple[int, int, bytes]], permutations: int, threshold: float) -> Block:
     sets = [np.unique(np.frombuffer(raw, dtype=U)) for _, _, raw in rows]
     level: dict[int, list[int]] = {}
+    few = []
     for i, (_, n, _) in enumerate(rows):
-        level.setdefault(1 << max(3, (n - 1).bit_length()), []).append(i)
+        u = 1 << max(3, (n - 1).bit_length())
+        if len(sets[i]) * 2 <= u:
+            few.append(i)
+        else:
+            level.setdefault(u, []).append(i)
     levels = {}
     for u, members in sorted(level.items()):
         keys = []
@@ -67,10 +96,10 @@ def _make_block(rows: list[tuple[int, int, bytes]], permutations: int) -> Block:
             order = np.argsort(least, kind="stable")
             keys.append((least[order], np.array(members)[order]))
         levels[u] = keys
-    return Block(np.array([x[0] for x in rows]), sets, levels)
+    return Block(np.array([x[0] for x in rows]), sets, levels, _rarest(sets, few, threshold))
 
 
-def _blocks(items: DataFrame, permutations: int, k: int) -> Iterator[Block]:
+def _blocks(items: DataFrame, permutations: int, threshold: float, k: int) -> Iterator[Block]:
     """Blocks of items, one partition of items at a time on the driver. Items without words are in none."""
     small_batches(items.sparkSession)
 
@@ -84,21 +113,46 @@ def _blocks(items: DataFrame, permutations: int, k: int) -> Iterator[Block]:
     made = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(shingled, "item_id long, n long, shingles binary").where("n > 0 and item_id is not null")
     for r in made.toLocalIterator():
         if rows and (size + r.n > BLOCK_SHINGLES or len(rows) >= BLOCK_ITEMS):
-            yield _make_block(rows, permutations)
+            yield _make_block(rows, permutations, threshold)
             rows, size = [], 0
         rows.append((r.item_id, r.n, bytes(r.shingles)))
         size += r.n
     if rows:
-        yield _make_block(rows, permutations)
+        yield _make_block(rows, permutations, threshold)
+
+
+def _hits(keys: tuple[np.ndarray, np.ndarray], wanted: np.ndarray, own: np.ndarray, n_items: int) -> list[np.ndarray]:
+    """Distinct numbers of (text, item) where a wanted value, of text ``own``, is a key."""
+    values, members = keys
+    left = np.searchsorted(values, wanted)
+    hit = np.flatnonzero(values[np.minimum(left, len(values) - 1)] == wanted)
+    if not len(hit):
+        return []
+    n = np.searchsorted(values, wanted[hit], "right") - left[hit]
+    at = np.repeat(left[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return [np.unique(np.repeat(own[hit], n) * n_items + members[at])]
 
 
 def _candidates(s: Shingles, block: Block, permutations: int) -> tuple[np.ndarray, np.ndarray]:
-    """Texts and items that share a minimum in one of the windows."""
+    """Texts and items that share a minimum in one of the windows, or a shingle that is a key."""
     none = np.zeros(0, np.int64)
     counts = np.diff(s.off)
     if not len(s.hash):
         return none, none
     found = []
+    if len(block.exact[0]):
+        found += _hits(block.exact, s.hash, np.repeat(np.arange(len(counts)), counts), len(block.ids))
+    if block.levels:
+        found += _windowed(s, block, permutations, counts)
+    if not found:
+        return none, none
+    pairs = np.unique(np.concatenate(found))
+    return pairs // len(block.ids), pairs % len(block.ids)
+
+
+def _windowed(s: Shingles, block: Block, permutations: int, counts: np.ndarray) -> list[np.ndarray]:
+    """Numbers of (text, item) that share a minimum in one of the windows."""
+    found = []
     least = min(block.levels)
     n_blocks = -(-counts // least)
     owner = np.repeat(np.arange(len(counts)), n_blocks)
@@ -116,18 +170,8 @@ def _candidates(s: Shingles, block: Block, permutations: int) -> tuple[np.ndarra
             low = np.minimum.reduceat(small, lead) if u > least else small
             window = low.copy()
             np.minimum(low[:-1], low[1:], out=window[:-1], where=joined)
-            values, members = keys[h]
-            left = np.searchsorted(values, window)
-            hit = np.flatnonzero(values[np.minimum(left, len(values) - 1)] == window)
-            if len(hit):
-                right = np.searchsorted(values, window[hit], "right")
-                n = right - left[hit]
-                at = np.repeat(left[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                found.append(np.unique(np.repeat(own[hit], n) * len(block.ids) + members[at]))
-    if not found:
-        return none, none
-    pairs = np.unique(np.concatenate(found))
-    return pairs // len(block.ids), pairs % len(block.ids)
+            found += _hits(keys[h], window, own, len(block.ids))
+    return found
 
 
 def _matches(texts: pa.Array, block: Block, permutations: int, threshold: float, k: int) -> list[tuple[int, int, int, int]]:
@@ -156,7 +200,7 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = CONTAI
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out, waiting = None, None
-    for block in _blocks(items, permutations, k):
+    for block in _blocks(items, permutations, threshold, k):
         if waiting is not None:  # with several blocks, each result is written before the next block is made
             out = stored(waiting, "decontaminate") if out is None else out.unionAll(stored(waiting, "decontaminate"))
         held = spark.sparkContext.broadcast(block)
@@ -179,7 +223,7 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = CONTAI
 
 def without_contaminated(docs: DataFrame, items: DataFrame, threshold: float = CONTAINMENT, permutations: int = PERMUTATIONS, k: int = WORD_K) -> DataFrame:
     """The rows of ``docs``, all columns, that contain no item. Rows with null texts or ids stay."""
-    for block in _blocks(items, permutations, k):
+    for block in _blocks(items, permutations, threshold, k):
         held = docs.sparkSession.sparkContext.broadcast(block)
 
         def keep(batches, held=held):
