@@ -36,3 +36,19 @@ def test_crop_reaches_the_scan_and_reads_two_columns(spark):
 
 def test_fanout_has_no_join(spark):
     assert "Join" not in plan(catalog.fanout_except_source(spark, DATA))
+
+
+def test_whole_queries_take_every_sample(spark, duck):
+    """All samples of every ray, against front-to-back compositing one by one."""
+    want, cells = {}, 0
+    for vec, values in duck.execute("SELECT vec_id, embedding FROM embeddings").fetchall():
+        clear, colour = 1.0, 0.0
+        for v in values:
+            o = min(abs(v), 1.0)
+            colour, clear, cells = colour + clear * o * v, clear * (1 - o), cells + 1
+        want[vec] = colour
+    got = {r.vec_id: r.colour for r in catalog.QUERIES["ray_composite_whole"](spark, DATA).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    for name in ("index_to_world_whole", "index_to_world_directed_whole"):
+        assert catalog.QUERIES[name](spark, DATA).count() == cells
+    assert catalog.QUERIES["header_projection_whole"](spark, DATA).count() == duck.execute("SELECT count(*) FROM nation").fetchone()[0]

@@ -236,15 +236,24 @@ def interval_edit(spark, sf_dir):
 
 @_query(f"WITH {RASTER} SELECT vec_id, pos, -12.5::DOUBLE + 0.25::DOUBLE * vec_id AS wx, 3.0::DOUBLE + 0.5::DOUBLE * pos AS wy FROM r WHERE pos < 8")
 def index_to_world(spark, sf_dir):
-    r = _raster(spark, sf_dir).where("pos < 8")
-    return r.select("vec_id", "pos", geometry.index_to_world(F.col("vec_id"), D(-12.5), D(0.25)).alias("wx"), geometry.index_to_world(F.col("pos"), D(3), D(0.5)).alias("wy"))
+    return index_to_world_whole(spark, sf_dir).where("pos < 8")
+
+
+@_query(f"WITH {RASTER} SELECT vec_id, pos, -12.5::DOUBLE + 0.25::DOUBLE * vec_id AS wx, 3.0::DOUBLE + 0.5::DOUBLE * pos AS wy FROM r")
+def index_to_world_whole(spark, sf_dir):
+    return _raster(spark, sf_dir).select("vec_id", "pos", geometry.index_to_world(F.col("vec_id"), D(-12.5), D(0.25)).alias("wx"), geometry.index_to_world(F.col("pos"), D(3), D(0.5)).alias("wy"))
 
 
 @_query(f"WITH {RASTER} SELECT vec_id, pos, 1.0::DOUBLE - 0.5::DOUBLE * pos AS wx, 2.0::DOUBLE + 0.25::DOUBLE * vec_id AS wy, 3.0::DOUBLE + 2.0::DOUBLE * 4 AS wz FROM r WHERE pos < 4")
 def index_to_world_directed(spark, sf_dir):
+    return index_to_world_directed_whole(spark, sf_dir).where("pos < 4")
+
+
+@_query(f"WITH {RASTER} SELECT vec_id, pos, 1.0::DOUBLE - 0.5::DOUBLE * pos AS wx, 2.0::DOUBLE + 0.25::DOUBLE * vec_id AS wy, 3.0::DOUBLE + 2.0::DOUBLE * 4 AS wz FROM r")
+def index_to_world_directed_whole(spark, sf_dir):
     doubles = lambda *x: F.array(*map(D, x))
     w = geometry.index_to_world_directed(F.array(F.col("vec_id").cast("double"), F.col("pos").cast("double"), D(4)), doubles(1, 2, 3), doubles(0.25, 0.5, 2), doubles(0, -1, 0, 1, 0, 0, 0, 0, 1))
-    return _raster(spark, sf_dir).where("pos < 4").select("vec_id", "pos", w.alias("w")).select("vec_id", "pos", *(F.col("w")[i].alias(f"w{a}") for i, a in enumerate("xyz")))
+    return _raster(spark, sf_dir).select("vec_id", "pos", w.alias("w")).select("vec_id", "pos", *(F.col("w")[i].alias(f"w{a}") for i, a in enumerate("xyz")))
 
 
 @_query(
@@ -303,7 +312,12 @@ def plane_outline(spark, sf_dir):
 
 @_query("SELECT r_regionkey AS image_id, n_nationkey::INT AS x0, (n_nationkey + 9)::INT AS x1, 0.5::DOUBLE AS spacing, n_name AS path FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey < 20")
 def header_projection(spark, sf_dir):
-    n, r = _table(spark, sf_dir, "nation").where("n_nationkey < 20"), _table(spark, sf_dir, "region").select("r_regionkey")
+    return header_projection_whole(spark, sf_dir).where("x0 < 20")
+
+
+@_query("SELECT r_regionkey AS image_id, n_nationkey::INT AS x0, (n_nationkey + 9)::INT AS x1, 0.5::DOUBLE AS spacing, n_name AS path FROM nation JOIN region ON n_regionkey = r_regionkey")
+def header_projection_whole(spark, sf_dir):
+    n, r = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "region").select("r_regionkey")
     header = F.struct(F.col("n_nationkey").cast("int").alias("x0"), (F.col("n_nationkey") + 9).cast("int").alias("x1"))
     return n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("r_regionkey").alias("image_id"), header.alias("extent"), D(0.5).alias("spacing"), F.col("n_name").alias("path")).select("image_id", "extent.x0", "extent.x1", "spacing", "path")
 
@@ -466,7 +480,19 @@ def sinusoid_slice(spark, sf_dir):
     "SELECT vec_id, round(sum(clear * o * c), 6) AS colour FROM t GROUP BY vec_id"
 )
 def ray_composite(spark, sf_dir):
-    cells = _raster(spark, sf_dir).where("pos < 6").select(L(0).alias("image_id"), F.col("vec_id").alias("x"), L(0).alias("y"), F.col("pos").alias("z"), F.least(F.abs("v"), D(1)).alias("o"), F.col("v").alias("c"))
+    return _composited(_raster(spark, sf_dir).where("pos < 6"))
+
+
+@_query(
+    f"WITH {RASTER}, o AS (SELECT vec_id, pos, least(abs(v), 1) AS o, v AS c FROM r), t AS (SELECT *, coalesce(exp(sum(ln(1 - least(o, 0.999999999))) OVER (PARTITION BY vec_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS clear FROM o) "
+    "SELECT vec_id, round(sum(clear * o * c), 6) AS colour FROM t GROUP BY vec_id"
+)
+def ray_composite_whole(spark, sf_dir):
+    return _composited(_raster(spark, sf_dir))
+
+
+def _composited(r: DataFrame) -> DataFrame:
+    cells = r.select(L(0).alias("image_id"), F.col("vec_id").alias("x"), L(0).alias("y"), F.col("pos").alias("z"), F.least(F.abs("v"), D(1)).alias("o"), F.col("v").alias("c"))
     return transfer.composite(cells, "o", "c").select(F.col("x").alias("vec_id"), F.round("colour", 6).alias("colour"))
 
 
