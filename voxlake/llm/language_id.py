@@ -23,7 +23,7 @@ from .textbatch import slices, utf8
 PROFILE = 300
 #: Labelled documents that are read for each language, about: each is by the hash of its id and text, with the same chance. All are read where there are fewer.
 TRAIN_DOCS = 2_000
-#: Languages learned at most: the most frequent, by name where equally frequent. The bound covers every language code; what is broadcast stays under 400 * 300 n-grams.
+#: Languages learned at most: the most frequent, by name where equally frequent. Others are not learned, so their documents get another language: ISO 639-3 has over 7000 codes, and tags of regions and scripts are more. What is broadcast stays under 400 * 300 n-grams.
 LANGUAGES = 400
 #: Bytes of text whose n-grams are counted at once: each takes some hundred bytes for a moment.
 SLICE = 1 << 18
