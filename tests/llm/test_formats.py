@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from tests.llm.helpers import empty, odd_rows, prose, rng, table
 from voxlake.llm import chat, packing, scratch, warc
@@ -44,6 +44,12 @@ def test_pieces_are_the_tokenizers_ids(spark, tokenizer):
     assert packing.pack(empty(spark), packing.Vocabulary.public()).isEmpty()
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.text(st.characters(codec="utf-8"), max_size=20) | st.sampled_from(["'s", "'LL", "  ", "\n\n", "\u00a0", "\u2028", "\r\n", "12345", "<|endoftext|>", "\u200d", "e\u0301", "\u1e9e"]), max_size=8).map("".join))
+def test_both_encoders_agree_on_any_text(tokenizer, text):
+    assert packing.encoder(packing.Vocabulary.public())(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 500), max_size=30))
 def test_patterns_place_every_length(histogram):
     packs = packing.patterns(histogram, 64)
@@ -150,3 +156,34 @@ def test_frames_of_an_archive():
     assert [f["X-Page-ID"] for f, _ in warc.read_records(io.BytesIO(data))] == [str(i) for i in range(3000)]
     plain = sum(len(zstandard.ZstdCompressor(level=3).compress(r)) for r in recs)
     assert len(data) < plain  # what the dictionary is for
+
+
+def test_archives_are_read_by_as_many_tasks(spark, tmp_path):
+    """Paths are few bytes, so Spark would merge their partitions into one task if they had no number of their own."""
+    pages = spark.createDataFrame([(i, "u", prose(rng(i), 300)) for i in range(40)], "page_id long, url string, html string").repartition(8)
+    manifest = warc.write(pages, f"file://{tmp_path}", archive_bytes=4000)
+    read = warc.read(manifest, f"file://{tmp_path}")
+    assert manifest.count() > 8 and read.rdd.getNumPartitions() == manifest.count()
+    assert "REPARTITION_BY_NUM" in read._jdf.queryExecution().executedPlan().toString() and read.count() == 40
+
+
+def test_the_shared_folder(spark, monkeypatch):
+    """Unset on a cluster it is an error; what a stage has made can be removed from a mark on."""
+    mark = scratch.mark()
+    table_ = scratch.stored(spark.range(10), "x")
+    assert scratch.mark() == mark + 1 and spark.conf.get(scratch._CLEANUP, None) in (None, "false")
+    scratch.clear(spark, mark)
+    with pytest.raises(Exception, match="(?i)exist"):
+        table_.collect()
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(dict)
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.shared_dir(Cluster)

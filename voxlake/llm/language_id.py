@@ -15,16 +15,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .scratch import small_batches
+from .scratch import small_batches, stored
 from .textbatch import slices, utf8
 
 #: n-grams of a profile.
 PROFILE = 300
 #: Labelled documents that are read for each language, about: each is by the hash of its id and text, with the same chance. All are read where there are fewer.
 TRAIN_DOCS = 2_000
-#: Languages learned at most: the most frequent, by name where equally frequent. Others are not learned, so their documents get another language: ISO 639-3 has over 7000 codes, and tags of regions and scripts are more. What is broadcast stays under 400 * 300 n-grams.
-LANGUAGES = 400
+#: Languages of a block: profiles are broadcast block by block, each of at most so many times ``PROFILE`` n-grams (under 60 MB). All languages are learned, however many.
+BLOCK_LANGUAGES = 10_000
 #: Bytes of text whose n-grams are counted at once: each takes some hundred bytes for a moment.
 SLICE = 1 << 18
 UNKNOWN = "und"
@@ -122,28 +123,38 @@ def ngram_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 @dataclass
 class Profiles:
-    """``grams`` sorted; ``ranks[g, l]`` is the rank of gram g in language l, or ``size`` if it lacks it."""
+    """Languages in order of their names. ``grams`` is sorted; gram g is in the profiles of ``lang[off[g] : off[g + 1]]``, with the ranks ``rank[off[g] : off[g + 1]]``."""
 
     languages: list[str]
     grams: np.ndarray
-    ranks: np.ndarray
+    off: np.ndarray
+    lang: np.ndarray
+    rank: np.ndarray
     size: int
 
+    @staticmethod
+    def of(rows: list[tuple[str, int, int]], size: int) -> Profiles:
+        """From (language, n-gram, rank from 0)."""
+        languages = sorted({x[0] for x in rows})
+        number = {x: i for i, x in enumerate(languages)}
+        lang, gram, rank = (np.array(x, dtype=np.int64) for x in zip(*((number[a], g, r) for a, g, r in rows), strict=True)) if rows else [np.zeros(0, np.int64)] * 3
+        order = np.lexsort((lang, gram))
+        grams, first = np.unique(gram[order], return_index=True)
+        return Profiles(languages, grams, np.append(first, len(rows)), lang[order].astype(np.int32), rank[order].astype(np.int32), size)
 
-def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, size: int = PROFILE) -> Profiles:
-    """Profiles from the text and lang of ``docs`` (doc_id, text, lang); rows with a null text or lang teach nothing.
 
-    About ``train_docs`` documents a language are read; equal rows are read together or not at all. Returned data is bounded by ``LANGUAGES * size`` n-grams.
+def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, size: int = PROFILE) -> list[Profiles]:
+    """Profiles from the text and lang of ``docs`` (doc_id, text, lang), in blocks of ``BLOCK_LANGUAGES``; rows with a null text or lang teach nothing.
+
+    Every label is learned. About ``train_docs`` documents a language are read; equal rows are read together or not at all. What comes to the driver
+    are ``size`` n-grams a language.
     """
     small_batches(docs.sparkSession)
     known = docs.where("lang is not null and text is not null").select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
-        return Profiles([], np.zeros(0, np.int64), np.zeros((0, 0), np.int64), size)
     # a document is read if its hash is among the first of so many equal parts; no rows meet to be ranked
     parts = 1 << 40
-    bound = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(parts, parts * train_docs // n))))
-    texts = known.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)) < F.coalesce(F.try_element_at(bound, F.col("lang")), F.lit(0)))
+    bounds = stored(known.groupBy("lang").agg(F.least(F.lit(parts), F.floor(F.lit(parts * train_docs) / F.count("*")).cast("long")).alias("bound")), "languages")
+    texts = known.join(bounds, "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)) < F.col("bound"))
 
     def count(batches):
         for batch in batches:
@@ -159,67 +170,80 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, size: int = PROFILE) ->
 
     totals = texts.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = totals.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= size)
-    rows = ranked.select("lang", "gram", "rank").collect()
-    languages = sorted({r.lang for r in rows})
-    grams = np.array(sorted({r.gram for r in rows}), dtype=np.int64)
-    ranks = np.full((len(grams), len(languages)), size, dtype=np.int64)
-    for r in rows:
-        ranks[np.searchsorted(grams, r.gram), languages.index(r.lang)] = r.rank - 1
-    return Profiles(languages, grams, ranks, size)
-
-
-def predict(texts: pa.Array, profiles: Profiles) -> tuple[list[str], np.ndarray]:
-    """Language and score of each text. The score is 1 less the distance as a share of the greatest possible."""
+    out, rows, last, languages = [], [], None, 0
+    for r in stored(ranked.select("lang", "gram", "rank"), "profiles").orderBy("lang").toLocalIterator():
+        if r.lang != last:
+            if languages == BLOCK_LANGUAGES:
+                out.append(Profiles.of(rows, size))
+                rows, languages = [], 0
+            last, languages = r.lang, languages + 1
+        rows.append((r.lang, r.gram, r.rank - 1))
+    return [*out, Profiles.of(rows, size)] if rows else out
+
+
+def distances(texts: pa.Array, profiles: Profiles) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nearest language's number and its distance for each text, and the greatest distance that the text could have (0 without a letter)."""
     doc, gram, _, n_letters = ngram_counts(texts)
     n = len(texts)
-    names, score = [UNKNOWN] * n, np.zeros(n)
+    best, least, most = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
     if not len(doc) or not profiles.languages:
-        return names, score
-    start = np.searchsorted(doc, np.arange(n))
-    rank = np.arange(len(doc)) - start[doc]
+        return best, least, most
+    rank = np.arange(len(doc)) - np.searchsorted(doc, np.arange(n))[doc]
     top = rank < profiles.size
     doc, gram, rank = doc[top], gram[top], rank[top]
+    most = np.bincount(doc, minlength=n) * profiles.size * (n_letters > 0)
     at = np.minimum(np.searchsorted(profiles.grams, gram), len(profiles.grams) - 1)
-    known = profiles.grams[at] == gram
-    where = np.where(known[:, None], profiles.ranks[at], profiles.size)
-    apart = np.where(where >= profiles.size, profiles.size, np.abs(where - rank[:, None]))
-    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-    total = np.add.reduceat(apart, first, axis=0)
-    grams = np.diff(np.concatenate([first, [len(doc)]]))
-    best = total.argmin(axis=1)
-    for d, b, t, g in zip(doc[first].tolist(), best.tolist(), total.min(axis=1).tolist(), grams.tolist(), strict=True):
-        if n_letters[d]:
-            names[d], score[d] = profiles.languages[b], 1 - t / (g * profiles.size)
-    return names, score
-
-
-def identified(docs: DataFrame, profiles: Profiles) -> DataFrame:
+    hit = np.flatnonzero(profiles.grams[at] == gram)
+    begin, held = profiles.off[at[hit]], np.diff(profiles.off)[at[hit]]
+    entry = np.repeat(begin - np.cumsum(held) + held, held) + np.arange(held.sum())
+    # an n-gram that a profile has is nearer than one that it lacks by so much
+    nearer = profiles.size - np.abs(profiles.rank[entry] - np.repeat(rank[hit], held))
+    owner, languages = np.repeat(doc[hit], held), len(profiles.languages)
+    wide = max(1, (1 << 22) // languages)  # texts whose distances are summed at once
+    for a in range(0, n, wide):
+        b = min(n, a + wide)
+        x, y = np.searchsorted(owner, [a, b])
+        total = np.bincount((owner[x:y] - a) * languages + profiles.lang[entry[x:y]], weights=nearer[x:y], minlength=(b - a) * languages).reshape(b - a, languages)
+        best[a:b] = total.argmax(axis=1)
+        least[a:b] = most[a:b] - total.max(axis=1).astype(np.int64)
+    return best, least, most
+
+
+def _told(docs: DataFrame, blocks: list[Profiles]) -> DataFrame:
+    """``docs`` (with a column text) with lang_pred and score. Each block of languages is a map over the texts that keeps the nearer language; nothing is shuffled."""
+    small_batches(docs.sparkSession)
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    names = [*docs.columns, "lang_pred", "score"]
+    out = docs.select("*", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    for block in blocks:
+        held = docs.sparkSession.sparkContext.broadcast(block)
+
+        def tell(batches, held=held):
+            languages = held.value.languages
+            for batch in batches:
+                for part in slices(batch, "text", SLICE):
+                    best, least, most = distances(part.column("text"), held.value)
+                    pred, score = part.column("lang_pred").to_pylist(), part.column("score").to_numpy().copy()
+                    for d in np.flatnonzero(most).tolist():
+                        now = 1 - least[d] / most[d]
+                        if pred[d] == UNKNOWN or now > score[d]:  # of equals the first by name, which is in an earlier block
+                            pred[d], score[d] = languages[best[d]], now
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(pred, pa.string()), pa.array(score)], names)
+
+        out = out.mapInArrow(tell, schema)
+    return out
+
+
+def identified(docs: DataFrame, profiles: list[Profiles]) -> DataFrame:
     """doc_id, text's language ``lang_pred`` and ``score`` in 0..1 for every row of ``docs`` (doc_id, text).
 
-    A null text, or one without a letter, gets ``und`` and score 0. So does every text if no language was
+    The score is 1 less the distance as a share of the greatest possible. A null text, or one without a letter, gets ``und`` and score 0. So does every text if no language was
     learned. Ties go to the language that comes first in alphabetic order. Repeated rows get a row each.
     """
-    small_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(profiles)
-
-    def tell(batches):
-        for batch in batches:
-            for part in slices(batch, "text", SLICE):
-                names, score = predict(part.column("text"), held.value)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tell, "doc_id long, lang_pred string, score double")
+    return _told(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), profiles).select("doc_id", "lang_pred", "score")
 
 
-def with_language(docs: DataFrame, profiles: Profiles, least_score: float = 0.0) -> DataFrame:
+def with_language(docs: DataFrame, profiles: list[Profiles], least_score: float = 0.0) -> DataFrame:
     """The rows of ``docs``, all columns, whose text has a language with a score of at least ``least_score``."""
-    small_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(profiles)
-
-    def keep(batches):
-        for batch in batches:
-            for part in slices(batch, "text", SLICE):
-                names, score = predict(part.column("text"), held.value)
-                yield part.filter(pa.array([name != UNKNOWN and s >= least_score for name, s in zip(names, score.tolist(), strict=True)]))
-
-    return docs.mapInArrow(keep, docs.schema)
+    told = _told(docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text")), profiles)
+    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select("row.*")

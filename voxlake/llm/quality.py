@@ -23,14 +23,17 @@ SYMBOL = table(b"#*$%&|<>", False)
 UPPER = table(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", False)
 LETTER = table(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", True)
 WINDOW = 8
-STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters"]
+ALNUM = table(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", True)
+STOP = table(b".,;:!?", False)
+STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_bare", "n_short", "n_echoes", "n_ends"]
 
 
 def text_stats(texts: pa.Array) -> dict[str, np.ndarray]:
     """The statistics of ``STATS`` for each text; words are runs of anything but ASCII white space. A null text counts as empty.
 
     n_repeat_words counts the words in 8-word windows that occur at least twice in the text. n_dup_lines counts lines
-    with a word that equal an earlier line; n_lines counts lines with a word.
+    with a word that equal an earlier line; n_lines counts lines with a word. Of words, n_bare have no letter or digit, n_short have one to
+    three letters, n_echoes equal the word before, and n_ends end in a punctuation mark. Letters are ASCII letters and all that isn't ASCII.
     """
     buf, offs = utf8(texts)
     n = len(offs) - 1
@@ -38,6 +41,13 @@ def text_stats(texts: pa.Array) -> dict[str, np.ndarray]:
     per = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[offs])
     lead = (buf & 0xC0) != 0x80
     out = {"n_words": words.counts, "word_chars": per(lead & BLANK_WORD[buf]), "n_symbols": per(SYMBOL[buf]), "n_upper": per(UPPER[buf]), "n_letters": per(LETTER[buf] & lead)}
+    # words
+    within = lambda flags: (lambda c: c[words.end] - c[words.start])(np.concatenate([[0], np.cumsum(flags)]))
+    count = lambda flags: np.bincount(words.doc[flags], minlength=n)[:n]
+    letters = within(LETTER[buf] & lead)
+    echo = np.zeros(len(words.hash), dtype=bool)
+    echo[1:] = (words.hash[1:] == words.hash[:-1]) & (words.doc[1:] == words.doc[:-1])
+    out |= {"n_bare": count(within(ALNUM[buf]) == 0), "n_short": count((letters > 0) & (letters <= 3)), "n_echoes": count(echo), "n_ends": count(STOP[buf[words.end - 1]])}
     # lines
     breaks = np.flatnonzero(buf == 10)
     start = np.sort(np.concatenate([offs[:-1], breaks + 1]))
@@ -73,14 +83,14 @@ def base_failed(s: dict[str, np.ndarray]) -> np.ndarray:
 
 #: A rule: its name, the statistic as a share of another, the value up to which (or from which) it votes keep, and that from which (or up to which) it votes drop.
 RULES: list[tuple[str, str, str, float, float]] = [
-    ("length", "n_words", "one", 40, 20),
     ("symbols", "n_symbols", "n_words", 0.02, 0.1),
-    ("repeats", "n_repeat_words", "n_words", 0.1, 0.25),
+    ("bare", "n_bare", "n_words", 0.05, 0.2),
+    ("echoes", "n_echoes", "n_words", 0.02, 0.1),
     ("lines", "n_dup_lines", "n_lines", 0.1, 0.4),
     ("capitals", "n_upper", "n_letters", 0.1, 0.4),
     ("letters", "n_letters", "word_chars", 0.8, 0.65),
-    ("short_words", "word_chars", "n_words", 3.5, 2.5),
-    ("long_words", "word_chars", "n_words", 12, 20),
+    ("short", "n_short", "n_words", 0.15, 0.05),
+    ("ends", "n_ends", "n_words", 0.04, 0.01),
 ]
 
 
@@ -104,10 +114,6 @@ def pattern_votes(code: np.ndarray) -> np.ndarray:
     return (code[:, None] // 3 ** np.arange(len(RULES))) % 3 - 1
 
 
-#: A rule's drop votes among good documents, at most.
-FALSE_ALARMS = 0.01
-
-
 @dataclass
 class Model:
     """``chance[c, j, o]``: how often rule j drops (o = 0), abstains (1) or keeps (2) a document of class c (0 bad, 1 good); ``prior`` of good."""
@@ -130,29 +136,28 @@ class Model:
         return right / (right + wrong)
 
 
-def fit(v: np.ndarray, weight: np.ndarray, rounds: int = 500) -> Model:
+def fit(v: np.ndarray, weight: np.ndarray, rounds: int = 1000) -> Model:
     """Expectation-maximisation over patterns ``v`` that occur ``weight`` times.
 
-    A drop vote must be at least twice as common among bad documents as among good ones, no more common than
-    ``FALSE_ALARMS`` among good ones, and a keep vote no rarer among good ones, which ties the classes to their meaning; an imagined vote of each kind keeps rare votes from counting as certain.
+    It starts from the votes: a pattern with any drop vote is good with probability 0.1, one with keep votes alone with 0.9, any
+    other is either. (A start from the majority ends where one kind of fault is the bad class and all others are good.) Nothing is held to a bound; an imagined vote of each kind keeps rare votes from counting as certain. The class
+    whose rules drop less is the good one.
     """
-    chance = np.empty((2, v.shape[1], 3))
-    chance[0], chance[1] = (0.5, 0.25, 0.25), (0.02, 0.28, 0.7)
-    model = Model(chance, 0.8)
+    p = np.where((v < 0).any(axis=1), 0.1, np.where((v > 0).any(axis=1), 0.9, 0.5))
+    model = None
     for _ in range(rounds):
-        p = model.posterior(v)
-        chance = np.empty_like(model.chance)
+        chance = np.empty((2, v.shape[1], 3))
         for c, share in ((0, (1 - p) * weight), (1, p * weight)):
             counts = np.stack([share @ (v == o) for o in (-1, 0, 1)], axis=1) + 1
             chance[c] = counts / counts.sum(axis=1, keepdims=True)
-        chance[1, :, 0] = np.minimum(np.minimum(chance[1, :, 0], FALSE_ALARMS), chance[0, :, 0] / 2)
-        chance[1, :, 2] = np.maximum(chance[1, :, 2], chance[0, :, 2])
-        chance /= chance.sum(axis=2, keepdims=True)
-        prior = float(np.clip((p @ weight + 2) / (weight.sum() + 4), 0.02, 0.98))
-        done = np.abs(chance - model.chance).max() < 1e-7 and abs(prior - model.prior) < 1e-7
-        model = Model(chance, prior)
+        prior = (p @ weight + 1) / (weight.sum() + 2)
+        done = model is not None and np.abs(chance - model.chance).max() < 1e-7 and abs(prior - model.prior) < 1e-7
+        model = Model(chance, float(prior))
         if done:
             break
+        p = model.posterior(v)
+    if model.chance[1, :, 0].sum() > model.chance[0, :, 0].sum():
+        model = Model(model.chance[::-1].copy(), 1 - model.prior)
     return model
 
 

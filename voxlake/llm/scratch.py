@@ -20,10 +20,12 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests, one machine), a temporary folder becomes its value."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset and the master is local (tests, one machine), a temporary folder becomes its value. On a cluster an unset one is an error: no folder of one machine would do."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         kept = spark.sparkContext.getCheckpointDir()
+        if not kept and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = kept.rsplit("/", 1)[0] if kept else "file://" + tempfile.mkdtemp(prefix="voxlake-")
         if not kept:
             spark.sparkContext.setCheckpointDir(root)
@@ -33,9 +35,14 @@ def shared_dir(spark: SparkSession) -> str:
 _made: list[str] = []
 
 
-def clear(spark: SparkSession) -> None:
-    """Remove all that operators have written to the shared folder in this session. Tables that they returned can't be read any more."""
-    while _made:
+def mark() -> int:
+    """How many folders have been made so far: what ``clear`` can go back to."""
+    return len(_made)
+
+
+def clear(spark: SparkSession, since: int = 0) -> None:
+    """Remove all that operators have written to the shared folder in this session, or since a mark. Tables that they returned can't be read any more."""
+    while len(_made) > since:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
@@ -52,14 +59,22 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Spark's own removal of a query's shuffle files at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts the lineage, lets several readers use one computation, and outlives the executors that made it. The shuffle files of the
-    finished job are of no use any more; Spark deletes them when the driver's garbage is collected, which is asked for here.
+    finished job are of no use any more, so Spark is told to remove them at its end; the session's own setting is as before afterwards.
     """
     spark = df.sparkSession
     path = f"{new_dir(spark, name)}/data"
-    df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -34,6 +34,8 @@ LEVEL = 3
 LEAST_REVISIT = 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNK = 1 << 20
+#: Tasks that read archives, at most; each takes one archive after the other.
+MOST_TASKS = 20_000
 
 
 def _record_id(page_id: int | None, n: str) -> str:
@@ -216,7 +218,9 @@ def read(manifest: DataFrame, path: str) -> DataFrame:
                 if rows:
                     yield pack(rows)
 
-    return manifest.select("path").repartition("path").mapInArrow(load, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    # a path is few bytes, an archive is many: the number keeps Spark from merging the partitions by the paths' size
+    tasks = max(1, min(manifest.count(), MOST_TASKS))
+    return manifest.select("path").repartition(tasks).mapInArrow(load, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
