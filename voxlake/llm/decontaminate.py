@@ -10,10 +10,11 @@ in the whole document.
 
 That similarity is of distinct shingles. It is low for items with few of them, or with many repetitions, so items with no more than
 half as many distinct shingles as their partition's bound are looked up exactly: of an item with d shingles of which c must be in the document,
-any d - c + 1 include one that is, so the rarest so many are keys.
+any d - c + 1 include one that is, so the rarest so many are keys. An item of fewer than k words is one shingle of all its words, which is
+looked up among the documents' runs of as many words.
 
 Items are a stated query set. They are taken in blocks of a bounded number of shingles; each block is
-broadcast and all documents pass it, with no shuffle.
+broadcast and all documents pass it, with no shuffle. Executors make the items' shingles and signatures.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import small_batches, stored
-from .textbatch import WORD_K, Shingles, U, ragged, seeds, slices
+from .textbatch import WORD_K, Shingles, U, seeds, slices, window_hash
 
 #: Permutations. The least favourable item that is left to them (just over u / 2 distinct shingles) has similarity 0.19 with a window that holds 0.8 of them, and is missed with probability 0.81**64, about 1e-6. An item
 #: whose shingles lie farther apart in a document than a window has no such bound.
@@ -52,12 +53,13 @@ PAIRS = T.StructType(
 
 @dataclass
 class Block:
-    """Items of one block; ``levels`` has for each size partition u its keys: per permutation the sorted minima and the items they belong to; ``exact`` the sorted shingles, and their items, of those looked up by shingles."""
+    """Items of one block; ``levels`` has for each size partition u its keys: per permutation the sorted minima and the items they belong to; ``exact`` the sorted shingles, and their items, of those looked up by shingles; ``short`` by number of words the same of items with fewer than k."""
 
     ids: np.ndarray
     sets: list[np.ndarray]
     levels: dict[int, list[tuple[np.ndarray, np.ndarray]]]
     exact: tuple[np.ndarray, np.ndarray]
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
 
 
 def _rarest(sets: list[np.ndarray], few: list[int], threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -78,25 +80,25 @@ def _rarest(sets: list[np.ndarray], few: list[int], threshold: float) -> tuple[n
     return keys[order], owner[order]
 
 
-def _make_block(rows: list[tuple[int, int, bytes]], permutations: int, threshold: float) -> Block:
-    sets = [np.unique(np.frombuffer(raw, dtype=U)) for _, _, raw in rows]
-    level: dict[int, list[int]] = {}
-    few = []
-    for i, (_, n, _) in enumerate(rows):
-        u = 1 << max(3, (n - 1).bit_length())
-        if len(sets[i]) * 2 <= u:
-            few.append(i)
-        else:
-            level.setdefault(u, []).append(i)
+def _make_block(rows: list[tuple[int, int, int, bytes, bytes]], threshold: float, k: int) -> Block:
+    """From (item, words, shingle positions, distinct shingles, signature)."""
+    sets = [np.frombuffer(raw, dtype=U) for *_, raw, _ in rows]
+    words, n, distinct = (np.array(x, dtype=np.int64) for x in ([r[1] for r in rows], [r[2] for r in rows], [len(x) for x in sets]))
+    signature = np.frombuffer(b"".join(r[4] for r in rows), dtype=U).reshape(len(rows), -1)
+    u = np.array([1 << max(3, (x - 1).bit_length()) for x in n.tolist()], dtype=np.int64)
+    few = distinct * 2 <= u
     levels = {}
-    for u, members in sorted(level.items()):
-        keys = []
-        for a in seeds(permutations, 2):
-            least = np.array([(sets[i] * a).min() for i in members], dtype=U)
-            order = np.argsort(least, kind="stable")
-            keys.append((least[order], np.array(members)[order]))
-        levels[u] = keys
-    return Block(np.array([x[0] for x in rows]), sets, levels, _rarest(sets, few, threshold))
+    for bound in np.unique(u[~few & (words >= k)]).tolist():
+        members = np.flatnonzero((u == bound) & ~few & (words >= k))
+        order = np.argsort(signature[members], axis=0, kind="stable")
+        levels[bound] = [(signature[members[order[:, h]], h], members[order[:, h]]) for h in range(signature.shape[1])]
+    short = {}
+    for size in np.unique(words[words < k]).tolist():
+        members = np.flatnonzero(words == size)
+        keys = np.array([sets[i][0] for i in members], dtype=U)
+        order = np.argsort(keys, kind="stable")
+        short[size] = (keys[order], members[order])
+    return Block(np.array([r[0] for r in rows]), sets, levels, _rarest(sets, np.flatnonzero(few & (words >= k)).tolist(), threshold), short)
 
 
 def _blocks(items: DataFrame, permutations: int, threshold: float, k: int) -> Iterator[Block]:
@@ -107,18 +109,35 @@ def _blocks(items: DataFrame, permutations: int, threshold: float, k: int) -> It
         for batch in batches:
             for part in slices(batch, "text"):
                 s = Shingles(part.column("text"), k)
-                yield pa.RecordBatch.from_arrays([part.column("item_id"), pa.array(np.diff(s.off)), ragged(s.hash, s.off)], ["item_id", "n", "shingles"])
+                sets = [np.unique(s.hash[a:b]) for a, b in zip(s.off[:-1].tolist(), s.off[1:].tolist(), strict=True)]
+                # a short item's only shingle is that of its words; documents are asked for their runs of as many
+                for size in range(1, k):
+                    hashes, first = window_hash(s.words, size)
+                    whole = s.words.counts[s.words.doc[first]] == size
+                    for d, h in zip(s.words.doc[first[whole]].tolist(), hashes[whole], strict=True):
+                        sets[d] = np.array([h], dtype=U)
+                flat = np.concatenate([np.zeros(0, U), *sets])
+                full = np.flatnonzero([len(x) > 0 for x in sets])
+                least = np.zeros((len(sets), permutations), dtype=U)
+                if len(full):
+                    start = np.concatenate([[0], np.cumsum([len(sets[i]) for i in full])[:-1]]).astype(np.int64)
+                    for h, a in enumerate(seeds(permutations, 2)):
+                        least[full, h] = np.minimum.reduceat(flat * a, start)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("item_id"), pa.array(s.words.counts), pa.array(np.diff(s.off)), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([x.tobytes() for x in least], pa.binary())],
+                    ["item_id", "words", "n", "shingles", "signature"],
+                )
 
     rows, size = [], 0
-    made = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(shingled, "item_id long, n long, shingles binary").where("n > 0 and item_id is not null")
+    made = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(shingled, "item_id long, words long, n long, shingles binary, signature binary").where("n > 0 and item_id is not null")
     for r in made.toLocalIterator():
         if rows and (size + r.n > BLOCK_SHINGLES or len(rows) >= BLOCK_ITEMS):
-            yield _make_block(rows, permutations, threshold)
+            yield _make_block(rows, threshold, k)
             rows, size = [], 0
-        rows.append((r.item_id, r.n, bytes(r.shingles)))
+        rows.append((r.item_id, r.words, r.n, bytes(r.shingles), bytes(r.signature)))
         size += r.n
     if rows:
-        yield _make_block(rows, permutations, threshold)
+        yield _make_block(rows, threshold, k)
 
 
 def _hits(keys: tuple[np.ndarray, np.ndarray], wanted: np.ndarray, own: np.ndarray, n_items: int) -> list[np.ndarray]:
@@ -140,6 +159,10 @@ def _candidates(s: Shingles, block: Block, permutations: int) -> tuple[np.ndarra
     if not len(s.hash):
         return none, none
     found = []
+    for size, keys in block.short.items():
+        hashes, first = window_hash(s.words, size)
+        if len(hashes):
+            found += _hits(keys, hashes, s.words.doc[first], len(block.ids))
     if len(block.exact[0]):
         found += _hits(block.exact, s.hash, np.repeat(np.arange(len(counts)), counts), len(block.ids))
     if block.levels:
@@ -177,11 +200,15 @@ def _windowed(s: Shingles, block: Block, permutations: int, counts: np.ndarray)
 def _matches(texts: pa.Array, block: Block, permutations: int, threshold: float, k: int) -> list[tuple[int, int, int, int]]:
     """(text, item, item's shingles, shared shingles) for every item contained in a text of the batch."""
     s = Shingles(texts, k)
+    short = {i for _, members in block.short.values() for i in members.tolist()}
     out, have, last = [], None, -1
     for d, i in zip(*(x.tolist() for x in _candidates(s, block, permutations)), strict=True):
         if d != last:
             have, last = np.unique(s.hash[s.off[d] : s.off[d + 1]]), d
         item = block.sets[i]
+        if i in short:  # that its run of words is there is what made it a candidate
+            out.append((d, i, 1, 1))
+            continue
         at = np.minimum(np.searchsorted(have, item), len(have) - 1)
         shared = int((have[at] == item).sum())
         if shared >= threshold * len(item):
@@ -193,8 +220,8 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = CONTAI
     """Pairs of documents (doc_id, text) and items (item_id, text) whose containment is at least ``threshold``.
 
     Containment is the share of an item's distinct k-word shingles (lower case, punctuation dropped) that
-    are in the document. A text of fewer than k words has one shingle, of all its words; null, empty and
-    wordless texts match nothing, as do items without an id. Repeated rows are answered each. Other columns are ignored.
+    are in the document. An item of fewer than k words has one shingle, of all its words, which is in a document that has these words in a row; a document
+    of fewer than k words has no longer items. Null, empty and wordless texts match nothing, as do items without an id. Repeated rows are answered each. Other columns are ignored.
     An empty table on either side gives no rows.
     """
     spark = docs.sparkSession
@@ -202,7 +229,9 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = CONTAI
     out, waiting = None, None
     for block in _blocks(items, permutations, threshold, k):
         if waiting is not None:  # with several blocks, each result is written before the next block is made
-            out = stored(waiting, "decontaminate") if out is None else out.unionAll(stored(waiting, "decontaminate"))
+            done = stored(waiting, "decontaminate")
+            held.destroy()
+            out = done if out is None else out.unionAll(done)
         held = spark.sparkContext.broadcast(block)
 
         def search(batches, held=held):

@@ -53,8 +53,8 @@ def _labels(s: Shingles, docs: np.ndarray) -> np.ndarray:
 
 
 def _lookup() -> Column:
-    """A document's id as text; without an id, its text's digest."""
-    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("~"), F.sha2(F.coalesce("text", F.lit("")), 256)))
+    """A document's id and a hash of its text, as text, so that rows which share an id but not the text don't meet."""
+    return F.concat_ws("~", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.hex(F.xxhash64(F.coalesce("text", F.lit("")))))
 
 
 def sketched(docs: DataFrame, k: int = WORD_K) -> DataFrame:

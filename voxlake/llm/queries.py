@@ -100,7 +100,11 @@ ORACLE_SQL: dict[str, str] = {
     + _SHINGLES.format(name="b", key="item_id", table="benchmark")
     + """,
 n AS (SELECT item_id, count(*) AS item_shingles FROM b GROUP BY item_id),
-hits AS (SELECT doc_id, item_id, count(*) AS shared_shingles FROM d JOIN b USING (shingle) GROUP BY doc_id, item_id)
+short AS (SELECT DISTINCT item_id, array_to_string(w, ' ') AS words FROM b_words WHERE len(w) BETWEEN 1 AND 4),
+hits AS (
+  SELECT doc_id, item_id, count(*) AS shared_shingles FROM d JOIN b USING (shingle) WHERE item_id NOT IN (SELECT item_id FROM short) GROUP BY doc_id, item_id
+  UNION ALL SELECT DISTINCT doc_id, item_id, 1 FROM d_words JOIN short ON contains(' ' || array_to_string(w, ' ') || ' ', ' ' || words || ' ')
+)
 SELECT doc_id, item_id, item_shingles, shared_shingles, shared_shingles::DOUBLE / item_shingles AS containment
 FROM hits JOIN n USING (item_id) WHERE shared_shingles >= 0.8 * item_shingles""",
     "op4_warc": """

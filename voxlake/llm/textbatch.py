@@ -141,7 +141,7 @@ class Shingles:
 
     def __init__(self, texts: pa.Array, k: int = WORD_K):
         buf, offs = utf8(pc.utf8_lower(texts))
-        words = Words(buf, offs, SHINGLE_WORD)
+        self.words = words = Words(buf, offs, SHINGLE_WORD)
         hashes, first = window_hash(words, k)
         doc = words.doc[first] if len(first) else np.zeros(0, np.int64)
         short = np.flatnonzero((words.counts > 0) & (words.counts < k))
@@ -152,7 +152,6 @@ class Shingles:
             doc, hashes = doc[order], hashes[order]
         self.hash, self.doc = hashes, doc
         self.off = np.searchsorted(doc, np.arange(len(offs)))
-        self.n_words = words.counts
 
 
 def _short(words: np.ndarray) -> int:
