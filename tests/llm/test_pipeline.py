@@ -80,3 +80,26 @@ def test_run_is_the_stages(spark, corpus):
     rows, _, where = corpus
     pieces = lambda df: sorted(((r.doc_id, r.start, r.length, r.ids_crc32) for r in df.collect()), key=repr)
     assert pieces(corpus_pipeline.run(spark, where)) == pieces(spark.read.parquet(f"{where}/stage4"))
+
+
+def test_empty_tables(spark, corpus, tmp_path):
+    """Without documents every stage gives no rows, with its columns; without items nothing is contaminated."""
+    rows, _, where = corpus
+    items = spark.createDataFrame([], "item_id long, text string")
+    table(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.isEmpty() and (k == 4 or out.columns == docs.columns)
+    assert corpus_pipeline.run(spark, str(tmp_path)).isEmpty()
+    whole = spark.read.parquet(f"{where}/documents.parquet")
+    assert corpus_pipeline.drop_contaminated(spark, whole, str(tmp_path)).count() == len(rows)
+
+
+def test_what_stages_write_on_their_way_is_removed(spark, corpus):
+    from voxlake.llm import scratch
+
+    before = scratch.mark()
+    assert corpus_pipeline.run(spark, corpus[2]).count() > 0
+    assert scratch.mark() - before <= 3  # the last stage's input, and what packing reads

@@ -40,11 +40,12 @@ def mark() -> int:
     return len(_made)
 
 
-def clear(spark: SparkSession, since: int = 0) -> None:
-    """Remove all that operators have written to the shared folder in this session, or since a mark. Tables that they returned can't be read any more."""
-    while len(_made) > since:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+def clear(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Remove what operators have written to the shared folder in this session, or since a mark, but for the last ``keep`` folders. Tables read from removed ones can't be read any more."""
+    for path in _made[since : len(_made) - keep]:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    del _made[since : len(_made) - keep]
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
