@@ -47,8 +47,8 @@ def test_whole_queries_take_every_sample(spark, duck):
             o = min(abs(v), 1.0)
             colour, clear, cells = colour + clear * o * v, clear * (1 - o), cells + 1
         want[vec] = colour
-    got = {r.vec_id: r.colour for r in catalog.QUERIES["ray_composite_whole"](spark, DATA).collect()}
+    got = {r.vec_id: r.colour for r in catalog.QUERIES["ray_composite"](spark, DATA).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
-    for name in ("index_to_world_whole", "index_to_world_directed_whole"):
+    for name in ("index_to_world", "index_to_world_directed"):
         assert catalog.QUERIES[name](spark, DATA).count() == cells
-    assert catalog.QUERIES["header_projection_whole"](spark, DATA).count() == duck.execute("SELECT count(*) FROM nation").fetchone()[0]
+    assert catalog.QUERIES["header_projection"](spark, DATA).count() == duck.execute("SELECT count(*) FROM nation").fetchone()[0]

@@ -182,3 +182,98 @@ def test_recent_list_survives_a_round_trip(spark, tmp_path):
     ev.save_recent(spark, out, str(tmp_path / "recent"))
     got = [r.path for r in ev.restore_recent(spark, str(tmp_path / "recent")).orderBy("rank").collect()]
     assert got == [f"/d/f{i % 13}.isq" for i in range(39, 29, -1)]
+
+
+def test_recent_list_is_cleared(spark, tmp_path):
+    opened = spark.createDataFrame([(1, "a.isq")], "n long, path string")
+    ev.save_recent(spark, ev.mru_topk(opened, [], "path", ["n"]), str(tmp_path / "recent"))
+    ev.clear_recent(spark, str(tmp_path / "recent"))
+    assert ev.restore_recent(spark, str(tmp_path / "recent")).isEmpty() and ev.restore_recent(spark, str(tmp_path / "recent")).columns == ["path", "rank"]
+
+
+DRAGS = [  # lo, hi, of 0..20
+    (lambda lo, hi, *b: selection.drag_both(lo, hi, F.lit(-5), *b), (2, 8), (0, 3)),
+    (lambda lo, hi, *b: selection.drag_both(lo, hi, F.lit(0), *b), (2, 7), (2, 7)),
+    (lambda lo, hi, *b: selection.drag_both(lo, hi, F.lit(15), *b), (2, 8), (17, 20)),
+    (lambda lo, hi, *b: selection.drag_lower(lo, hi, F.lit(10), *b, symmetric=True), (2, 8), (2, 8)),
+    (lambda lo, hi, *b: selection.drag_lower(lo, hi, F.lit(4), *b, symmetric=True), (2, 8), (4, 6)),
+    (lambda lo, hi, *b: selection.drag_lower(lo, hi, F.lit(1), *b, symmetric=True), (2, 8), (1, 9)),
+    (lambda lo, hi, *b: selection.drag_upper(lo, hi, F.lit(1), *b), (2, 8), (2, 2)),
+    (lambda lo, hi, *b: selection.drag_upper(lo, hi, F.lit(12), *b, symmetric=True), (2, 8), (0, 12)),
+    (lambda lo, hi, *b: selection.set_lower(lo, hi, F.lit(25), *b), (2, 8), (20, 20)),
+    (lambda lo, hi, *b: selection.set_upper(lo, hi, F.lit(-3), *b), (2, 8), (0, 0)),
+]
+
+
+@pytest.mark.parametrize("move,before,after", DRAGS)
+def test_drags(spark, move, before, after):
+    assert one(spark, *move(*map(F.lit, before), F.lit(0), F.lit(20))) == after
+
+
+def test_handles(spark):
+    near = lambda at: selection.nearest_handle(F.lit(at), F.lit(2), F.lit(8))
+    assert one(spark, near(4), near(5), near(6)) == ("lower", "upper", "upper")
+    assert one(spark, selection.step(F.lit(5), F.lit(-9), F.lit(0), F.lit(20)), selection.rescale(D(3), D(0), D(6), D(10), D(20)), selection.rescale(D(3), D(2), D(2), D(7), D(9))) == (0, 15, 7)
+
+
+def test_cubic_goes_through_the_samples_and_keeps_lines(spark):
+    v = spark.createDataFrame([(1, 0, 0, z, 3.0 * z + 1) for z in range(9)], "image_id long, x int, y int, z int, v double")
+    for at in (2.0, 2.5, 4.3, 6.9):
+        assert selection.sampled(v, at, "z", "Cubic").first().v == pytest.approx(3 * at + 1)
+
+
+def test_planes_outside_the_extent(spark):
+    v = synthetic.sinusoid(spark, 3, 4, 5)
+    extent = {"x": (0, 2), "y": (0, 3), "z": (0, 4)}
+    shown = selection.three_planes(v, -7, 9, 2, extent)
+    assert {(r.plane, r.at) for r in shown.select("plane", F.when(F.col("plane") == "YZ", F.col("x")).when(F.col("plane") == "XZ", F.col("y")).otherwise(F.col("z")).alias("at")).distinct().collect()} == {("YZ", 0), ("XZ", 3), ("XY", 2)}
+
+
+def test_colours(spark):
+    c = lambda v, nodes: one(spark, transfer.evaluate_colour(nodes, D(v)))[0]
+    assert tuple(c(65535 / 4, transfer.default_colours())) == (0.25, 0.25, 0.25) and tuple(c(70000, transfer.default_colours())) == (1, 1, 1)
+    nodes = one(spark, transfer.tf_remap(transfer.range_colours(D(0), D(100)), D(10), D(2)))[0]
+    assert [n.x for n in nodes] == [22, 218] and [(n.red, n.green, n.blue, n.midpoint) for n in nodes] == [(0, 0, 0, 0.5), (1, 1, 1, 0.5)]
+    flat = one(spark, transfer.range_colours(D(5), D(5)))[0]
+    assert [n.x for n in flat] == [5, 5]
+    assert one(spark, transfer.mapped_opacity(transfer.default_nodes(), D(-4)))[0] == 0
+
+
+def test_positions_without_tracking_leave_the_values(spark):
+    rows = [(1, 0, 2, 8, True), (2, 1, 8, 2, True), (3, 2, 5, 30, False), (4, 3, 5, 20, True), (5, 4, -1, 20, True)]
+    e = spark.createDataFrame(rows, "event_id long, ts long, lo int, hi int, tracking boolean").withColumn("k", F.lit(1))
+    out = ev.positions(e, ["k"], ["ts", "event_id"], "lo", "hi", (0, 20), F.col("tracking"), (0, 20)).orderBy("event_id")
+    assert [(r.event_id, r.position_lo, r.position_hi, r.value_lo, r.value_hi) for r in out.collect()] == [(1, 2, 8, 2, 8), (3, 5, 20, 2, 8), (5, 0, 20, 0, 20)]
+
+
+def test_linked_views(spark):
+    rows = [(1, "edit", "YZ", 10.0), (2, "link", "XY", 0.0), (3, "edit", "XZ", 7.0), (4, "link", "XY", 0.0), (5, "edit", "VOLUME", 9.0), (6, "unlink", "XY", 0.0), (7, "edit", "XY", 3.0)]
+    e = spark.createDataFrame(rows, "event_id long, kind string, view string, window double").select("*", (-F.col("window")).alias("level"), F.lit(1).alias("k"))
+    got = {(r.event_id, r.target): (r.shown_window, r.shown_level) for r in ev.linked(e, ["k"], ["event_id"]).collect()}
+    assert got[1, "YZ"] == (10, -10) and got[1, "XY"] == (None, None)
+    assert all(got[2, t] == (1000, 500) and got[n, t] == (7, -7) for n in (3, 4, 5, 6) for t in ("YZ", "XZ", "XY"))
+    assert got[7, "XY"] == (3, -3) and got[7, "YZ"] == (7, -7)
+
+
+def test_written_voxels_are_pruned(spark, tmp_path):
+    synthetic.write_voxels(synthetic.sinusoid(spark, 8, 8, 8), str(tmp_path / "v"), 4)
+    back = spark.read.parquet(str(tmp_path / "v"))
+    assert back.count() == 512 and selection.slice_plane(back, "XY", 3).count() == 64
+    assert "EqualTo(z,3)" in selection.slice_plane(back, "XY", 3)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shared_folder(spark):
+    from voxlake.sources import shared
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(dict)
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Cluster)
+    assert shared.new_dir(spark, "x") != shared.new_dir(spark, "x")

@@ -72,3 +72,61 @@ def test_probe_and_errors(spark, tmp_path):
         vf.headers(spark, [str(tmp_path / "bad.isq")]).collect()
     with pytest.raises(Exception, match="FileNotFoundError"):
         vf.bricks(spark, [str(tmp_path / "none.dcm")]).collect()
+
+
+def test_explicit_format_and_one_table_of_planes(spark, tmp_path):
+    isq(tmp_path / "scan.dat", (2, 2, 3), np.arange(12, dtype=np.int16))
+    with pytest.raises(Exception, match="not a DICOM file"):
+        vf.headers(spark, [str(tmp_path / "scan.dat")]).collect()
+    planes = vf.planes(spark, [str(tmp_path / "scan.dat")], explicit="ISQ")
+    assert vf.headers(spark, planes).first().extent.z1 == 2
+    assert [r.data for r in vf.bricks(spark, planes).orderBy("z").collect()] == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9, 10, 11]]
+
+
+def test_files_are_opened_by_many_tasks(spark, tmp_path):
+    """Listings and planes are few bytes, so their exchanges have numbers of their own."""
+    dicom(tmp_path / "a.dcm", "1.2", 1, np.ones((2, 2)))
+    df = vf.bricks(spark, [str(tmp_path)])
+    assert df._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 3 and df.rdd.getNumPartitions() == 4
+
+
+def test_a_directory_without_series_is_an_error(spark, tmp_path):
+    (tmp_path / "note.txt").write_text("no image, but long enough to look into" * 9)
+    with pytest.raises(Exception, match="no series"):
+        vf.headers(spark, [str(tmp_path)]).collect()
+
+
+def test_outcomes(spark, tmp_path):
+    isq(tmp_path / "good.isq", (1, 1, 1), np.zeros(1))
+    (tmp_path / "bad.isq").write_bytes(b"x" * 600)
+    (tmp_path / "bad.dcm").write_bytes(b"x" * 600)
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "a.txt").write_bytes(b"x" * 600)
+    names = ["good.isq", "bad.isq", "bad.dcm", "empty", "none.dcm"]
+    got = {r.path.rsplit("/", 1)[1]: (r.outcome, r.detail) for r in vf.outcomes(spark, [str(tmp_path / n) for n in names]).collect()}
+    assert got == {"good.isq": ("loaded", None), "bad.isq": ("rejected", None), "bad.dcm": ("error", "not a DICOM file"), "empty": ("invalid", None), "none.dcm": ("rejected", None)}
+
+
+def test_written_volumes_are_read_back(spark, tmp_path):
+    sizes = spark.createDataFrame([(i, 3, 2, 4, 30, 20, 40) for i in range(5)], "image_id long, nx int, ny int, nz int, ux int, uy int, uz int")
+    data = [(i, z, [float(i * 100 + z * 10 + k - 250) for k in range(6)]) for i in range(5) for z in range(4)]
+    files = vf.write_isq(spark.createDataFrame(data, vf.BRICK).repartition(7), sizes, f"file://{tmp_path}")
+    assert sorted(map(tuple, vf.bricks(spark, files).collect())) == data
+    assert sorted(p.name for p in tmp_path.iterdir()) == [f"{i}.isq" for i in range(5)]
+
+
+def test_data_source(spark, tmp_path):
+    from voxlake.sources import volume_source
+
+    volume_source.register(spark)
+    isq(tmp_path / "a.isq", (2, 2, 3), np.arange(12, dtype=np.int16))
+    (tmp_path / "d").mkdir()
+    for k in (2, 1):
+        dicom(tmp_path / "d" / f"{k}.dcm", "1.2", k, np.full((2, 3), k))
+    read = spark.read.format("volume").option("path", f"{tmp_path}/a.isq,{tmp_path}/d")
+    assert sorted(map(tuple, read.load().collect())) == sorted(map(tuple, vf.bricks(spark, [f"{tmp_path}/a.isq", f"{tmp_path}/d"]).collect()))
+    some = read.load().where("image_id = 0 and z > 0")
+    assert [r.z for r in some.orderBy("z").collect()] == [1, 2] and some.rdd.getNumPartitions() == 2
+    heads = read.option("content", "headers").load()
+    assert sorted(map(str, heads.collect())) == sorted(map(str, vf.headers(spark, [f"{tmp_path}/a.isq", f"{tmp_path}/d"]).collect()))
+    assert heads.select("path").orderBy("image_id").first().path.endswith("a.isq")

@@ -26,6 +26,7 @@ VOLUME = T.StructType(
 VOXEL = T.StructType([T.StructField("image_id", T.LongType()), *(T.StructField(a, T.IntegerType()) for a in "xyz"), T.StructField("v", T.DoubleType())])
 BRICK = T.StructType([T.StructField("image_id", T.LongType()), T.StructField("z", T.IntegerType()), T.StructField("data", T.ArrayType(T.DoubleType()))])
 NODE = T.StructType([T.StructField(c, T.DoubleType()) for c in ("x", "y", "midpoint", "sharpness")])
+COLOUR_NODE = T.StructType([T.StructField(c, T.DoubleType()) for c in ("x", "red", "green", "blue", "midpoint", "sharpness")])
 UI_EVENT = T.StructType(
     [
         T.StructField("event_id", T.LongType()),
@@ -53,3 +54,5 @@ DEFAULT_LINK_MODE = "Disabled"
 U16_MAX = 65535
 RECENT = 10
 DEBOUNCE_MS = 60
+#: Window and level, in the mapped domain, that linked slice views begin with.
+LINKED_WINDOW, LINKED_LEVEL = 1000.0, 500.0

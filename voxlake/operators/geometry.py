@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import centre_index
 from ..functions.vector import bound, camera_basis, dot, norm
 from ..model import ORIENTATIONS, PLANE_AXES
 
@@ -89,11 +88,24 @@ def fit_view(bounds: list[Column], direction: Column, up: Column, width: Column,
     return bound(F.struct(u.alias("u"), v.alias("v")), fitted)
 
 
-def slice_camera(extent: list[tuple[Column, Column]], origin: list[Column], spacing: list[Column], orientation: str, index: Column | None = None) -> Column:
-    """Focal point of a slice view: the plane's middle, at the slice's place along the normal (the middle slice by default; for XZ the far y face)."""
+def _point(x: list[Column]) -> Column:
+    return F.struct(*(c.cast("double").alias(n) for c, n in zip(x, "xyz", strict=True)))
+
+
+def slice_camera(extent: list[tuple[Column, Column]], origin: list[Column], spacing: list[Column], orientation: str) -> Column:
+    """A slice view's camera at first: focal, position, up. It looks at the middle of the plane at the extent's low face (for XZ the high face), from a sample's distance along the normal; the second in-plane axis is up."""
     u, v, w = PLANE_AXES[orientation]
-    middle = [(origin[i] + spacing[i] * extent[i][0] + origin[i] + spacing[i] * extent[i][1]) * 0.5 for i in range(3)]
-    if index is None:
-        index = extent[w][1] if orientation == "XZ" else centre_index(*extent[w])
-    middle[w] = origin[w] + spacing[w] * index
-    return F.struct(*(m.alias(n) for m, n in zip(middle, "xyz", strict=True)))
+    focal = [origin[i] + 0.5 * spacing[i] * (extent[i][0] + extent[i][1]) for i in range(3)]
+    focal[w] = origin[w] + spacing[w] * (extent[w][1] if orientation == "XZ" else extent[w][0])
+    position = list(focal)
+    position[w] = focal[w] + spacing[w]
+    return F.struct(_point(focal).alias("focal"), _point(position).alias("position"), _point([F.lit(1.0 if i == v else 0.0) for i in range(3)]).alias("up"))
+
+
+def follow_slice(camera: Column, origin: list[Column], spacing: list[Column], orientation: str, index: Column, distance: Column) -> Column:
+    """The camera moved along the normal to a slice, at a distance from it. The first slice shown is ``centre_index`` of the extent."""
+    w = PLANE_AXES[orientation][2]
+    axis = "xyz"[w]
+    focal = camera["focal"].withField(axis, (origin[w] + spacing[w] * index).cast("double"))
+    position = focal.withField(axis, focal[axis] + distance)
+    return F.struct(focal.alias("focal"), position.alias("position"), camera["up"].alias("up"))

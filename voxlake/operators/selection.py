@@ -41,29 +41,36 @@ def interval_normalize(lo: Column, hi: Column, bound_lo: Column, bound_hi: Colum
     return F.least(a, b), F.greatest(a, b)
 
 
-def set_lower(lo: Column, hi: Column, new: Column) -> tuple[Column, Column]:
-    """The interval with a new lower end, which pushes the upper one along."""
-    return new, F.greatest(hi, new)
+def set_lower(lo: Column, hi: Column, new: Column, bound_lo: Column, bound_hi: Column) -> tuple[Column, Column]:
+    """The interval with a new lower end, which pushes the upper one along; both inside the bounds."""
+    return interval_normalize(new, F.greatest(hi, new), bound_lo, bound_hi)
 
 
-def set_upper(lo: Column, hi: Column, new: Column) -> tuple[Column, Column]:
-    return F.least(lo, new), new
+def set_upper(lo: Column, hi: Column, new: Column, bound_lo: Column, bound_hi: Column) -> tuple[Column, Column]:
+    return interval_normalize(F.least(lo, new), new, bound_lo, bound_hi)
 
 
-def drag_both(lo: Column, hi: Column, delta: Column, bound_lo: Column, bound_hi: Column) -> tuple[Column, Column]:
-    """The interval moved by delta with its width kept, as far as the bounds allow."""
-    d = clamp(delta, bound_lo - lo, bound_hi - hi)
-    return lo + d, hi + d
+def drag_lower(lo: Column, hi: Column, new: Column, bound_lo: Column, bound_hi: Column, symmetric: bool = False) -> tuple[Column, Column]:
+    """The lower handle dragged, as far as the upper one; if symmetric, the upper one goes as far the other way. Each end stops at its bound."""
+    at = F.least(new, hi)
+    return interval_normalize(at, hi + lo - at if symmetric else hi, bound_lo, bound_hi)
+
+
+def drag_upper(lo: Column, hi: Column, new: Column, bound_lo: Column, bound_hi: Column, symmetric: bool = False) -> tuple[Column, Column]:
+    """The upper handle dragged, as far as the lower one; if symmetric, the lower one goes as far the other way."""
+    at = F.greatest(lo, new)
+    return interval_normalize(lo - (at - hi) if symmetric else lo, at, bound_lo, bound_hi)
 
 
-def drag_symmetric(lo: Column, hi: Column, new_lo: Column, bound_lo: Column, bound_hi: Column) -> tuple[Column, Column]:
-    """The lower end moved and the upper end by as much the other way."""
-    return interval_normalize(new_lo, hi + lo - new_lo, bound_lo, bound_hi)
+def drag_both(lo: Column, hi: Column, delta: Column, bound_lo: Column, bound_hi: Column) -> tuple[Column, Column]:
+    """The interval moved by delta: half its width on either side of its moved middle. Each end stops at its bound, so the interval shrinks there."""
+    middle = F.floor((lo + hi) / 2).cast("int") + delta
+    return interval_normalize(middle - F.floor((hi - lo) / 2).cast("int"), middle + F.ceil((hi - lo) / 2).cast("int"), bound_lo, bound_hi)
 
 
 def nearest_handle(at: Column, lo: Column, hi: Column) -> Column:
-    """Which end of an interval is nearer: 'lower' (also if both are) or 'upper'."""
-    return F.when(F.abs(at - lo) <= F.abs(at - hi), "lower").otherwise("upper")
+    """Which end of an interval is nearer: 'lower', or 'upper' (also if both are)."""
+    return F.when(F.abs(at - lo) < F.abs(at - hi), "lower").otherwise("upper")
 
 
 def step(value: Column, by: Column, bound_lo: Column, bound_hi: Column) -> Column:
@@ -80,19 +87,27 @@ def clamp_index(index: Column, lo: Column, hi: Column) -> Column:
     return clamp(index, lo, hi)
 
 
-def three_planes(voxels: DataFrame, x: int, y: int, z: int) -> DataFrame:
+def three_planes(voxels: DataFrame, x: int, y: int, z: int, extent: dict[str, tuple[int, int]] | None = None) -> DataFrame:
     """The three orthogonal planes through an index, tagged by orientation; samples on two of them come twice.
 
-    One scan: each sample is exploded to the planes it is on.
+    With an extent (inclusive ranges by axis), indices outside it are taken to its ends. One scan: each sample is exploded to the planes it is on.
     """
-    on = F.filter(F.array(*(F.when(F.col(a) == i, F.lit(p)) for p, a, i in (("YZ", "x", x), ("XZ", "y", y), ("XY", "z", z)))), lambda p: p.isNotNull())
-    return voxels.where((F.col("x") == x) | (F.col("y") == y) | (F.col("z") == z)).select(F.explode(on).alias("plane"), *voxels.columns)
+    at = {"x": x, "y": y, "z": z}
+    for axis, (lo, hi) in (extent or {}).items():
+        at[axis] = min(max(at[axis], lo), hi)
+    on = F.filter(F.array(*(F.when(F.col(a) == at[a], F.lit(p)) for p, a in (("YZ", "x"), ("XZ", "y"), ("XY", "z")))), lambda p: p.isNotNull())
+    return voxels.where((F.col("x") == at["x"]) | (F.col("y") == at["y"]) | (F.col("z") == at["z"])).select(F.explode(on).alias("plane"), *voxels.columns)
+
+
+def shown_mode(mode: Column, view: Column) -> Column:
+    """The interpolation that a view shows: volumes have no cubic one and show linear."""
+    return F.when((view == "VOLUME") & (mode == "Cubic"), "Linear").otherwise(mode)
 
 
 def sampled(plane: DataFrame, position: float, axis: str, mode: str = "Linear") -> DataFrame:
-    """A slice at a fractional position along ``axis`` (of voxel rows): nearest takes the rounded index, linear blends the two around it.
+    """A slice at a fractional position along ``axis`` (of voxel rows): nearest takes the rounded index, linear blends the two around it, cubic the four around it.
 
-    Cubic is displayed as linear. Both read the neighbouring planes only.
+    Cubic is the convolution with the parameter -1/2. Planes that aren't there have no weight. Only the neighbouring planes are read.
     """
     from math import floor
 
@@ -100,7 +115,11 @@ def sampled(plane: DataFrame, position: float, axis: str, mode: str = "Linear")
     if mode == "Nearest":
         return plane.where(F.col(axis) == floor(position + 0.5)).select("image_id", *others, "v")
     lo = floor(position)
-    part = position - lo
-    weight = F.when(F.col(axis) == lo, 1.0 - part).otherwise(part)
-    near = plane.where(F.col(axis).isin(lo, lo + 1) if part else F.col(axis) == lo)
-    return near.groupBy("image_id", *others).agg((F.sum(F.col("v") * weight) / F.sum(weight)).alias("v"))
+    t = position - lo
+    if mode == "Cubic":
+        parts = {lo - 1: -t / 2 + t**2 - t**3 / 2, lo: 1 - 2.5 * t**2 + 1.5 * t**3, lo + 1: t / 2 + 2 * t**2 - 1.5 * t**3, lo + 2: -(t**2) / 2 + t**3 / 2}
+    else:
+        parts = {lo: 1 - t, lo + 1: t}
+    parts = {k: w for k, w in parts.items() if w}
+    weight = F.element_at(F.create_map(*(F.lit(x) for pair in parts.items() for x in pair)), F.col(axis))
+    return plane.where(F.col(axis).isin(*parts)).groupBy("image_id", *others).agg((F.sum(F.col("v") * weight) / F.sum(weight)).alias("v"))

@@ -39,10 +39,35 @@ def node(x: Column, y: Column, midpoint: float = 0.5, sharpness: float = 0.0) ->
 
 
 def default_nodes() -> Column:
-    """0 to 1 over the mapped domain; as red, green and blue, black to white."""
+    """Opacity 0 to 1 over the mapped domain."""
     return F.array(node(F.lit(0.0), F.lit(0.0)), node(F.lit(float(U16_MAX)), F.lit(1.0)))
 
 
+def colour_node(x: Column, red: Column, green: Column, blue: Column, midpoint: float = 0.5, sharpness: float = 0.0) -> Column:
+    parts = {"x": x, "red": red, "green": green, "blue": blue}
+    return F.struct(*(c.cast("double").alias(n) for n, c in parts.items()), F.lit(midpoint).alias("midpoint"), F.lit(sharpness).alias("sharpness"))
+
+
+def _black_to_white(lo: Column, hi: Column) -> Column:
+    return F.array(*(colour_node(x, *[F.lit(y)] * 3) for x, y in ((lo, 0.0), (hi, 1.0))))
+
+
+def default_colours() -> Column:
+    """Black to white over the mapped domain."""
+    return _black_to_white(F.lit(0.0), F.lit(float(U16_MAX)))
+
+
+def range_colours(vmin: Column, vmax: Column) -> Column:
+    """Black to white over an image's range without 1 % at either end (an empty range as it is)."""
+    return _black_to_white(*trimmed(vmin, vmax))
+
+
+def evaluate_colour(nodes: Column, v: Column) -> Column:
+    """Red, green and blue of colour nodes at v, each linear between nodes."""
+    channel = lambda name: evaluate(F.transform(nodes, lambda n: F.struct(n["x"].alias("x"), n[name].alias("y"))), v)
+    return F.struct(*(channel(name).alias(name) for name in ("red", "green", "blue")))
+
+
 def gray_ramp(v: Column, vmin: Column, vmax: Column) -> Column:
     """Grey value over the range without 1 % at either end; it doesn't follow window and level."""
     lb, ub = trimmed(vmin, vmax)
@@ -50,7 +75,7 @@ def gray_ramp(v: Column, vmin: Column, vmax: Column) -> Column:
 
 
 def tf_remap(nodes: Column, shift: Column, scale: Column) -> Column:
-    """Nodes with mapped positions; values and shape parameters stay."""
+    """Nodes, of opacity or colour, with mapped positions; values and shape parameters stay."""
     return F.transform(nodes, lambda n: n.withField("x", (n["x"] + shift) * scale))
 
 

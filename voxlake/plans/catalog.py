@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar, vector
+from ..model import INTERPOLATIONS, PLANE_AXES
 from ..operators import geometry, mapping, selection, transfer
-from ..sources import paths, synthetic
+from ..sources import paths, shared, synthetic, volume_files
 from ..streaming import events as ev
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,6 +135,35 @@ def tf_remap(spark, sf_dir):
     return out.select("p_partkey", "node", "n.x", "n.y", "n.midpoint", "n.sharpness")
 
 
+@_query("SELECT l_orderkey, l_linenumber, least(l_extendedprice / 65535, 1) AS opacity, least(l_extendedprice / 65535, 1) AS red, least(l_extendedprice / 65535, 1) AS blue FROM lineitem")
+def default_functions(spark, sf_dir):
+    """Opacity and colour of the default nodes over the mapped domain."""
+    v = F.col("l_extendedprice")
+    out = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", transfer.mapped_opacity(transfer.default_nodes(), v).alias("opacity"), transfer.evaluate_colour(transfer.default_colours(), v).alias("c"))
+    return out.select("l_orderkey", "l_linenumber", "opacity", "c.red", "c.blue")
+
+
+@_query(
+    f"WITH w AS ({_PART_WL}), k AS (SELECT p_partkey, level, level + 500 AS hi FROM w) "
+    "SELECT p_partkey, u.i::INT AS node, (CASE u.i WHEN 0 THEN level + (hi - level) * 0.01::DOUBLE ELSE hi - (hi - level) * 0.01::DOUBLE END + 200) * 0.5::DOUBLE AS x, u.i::DOUBLE AS red, u.i::DOUBLE AS green, u.i::DOUBLE AS blue, 0.5::DOUBLE AS midpoint, 0.0::DOUBLE AS sharpness FROM k, unnest(range(0, 2)) AS u(i)"
+)
+def colour_remap(spark, sf_dir):
+    """An image's black-to-white nodes, in the mapped domain."""
+    nodes = transfer.range_colours(F.col("level"), F.col("level") + 500)
+    return _part_wl(spark, sf_dir).select("p_partkey", F.posexplode(transfer.tf_remap(nodes, D(200), D(0.5))).alias("node", "n")).select("p_partkey", "node", "n.*")
+
+
+@_query(
+    "WITH p AS (SELECT p_partkey, p_retailprice AS v FROM part) SELECT p_partkey, "
+    + ", ".join(f"CASE WHEN v < 1000 THEN {a} WHEN v >= 2000 THEN {c} WHEN v < 1500 THEN {a} + ({b} - {a}) * (v - 1000) / 500 ELSE {b} + ({c} - {b}) * (v - 1500) / 500 END::DOUBLE AS {n}" for n, a, b, c in (("red", 0.0, 1.0, 0.5), ("green", 0.25, 0.0, 1.0), ("blue", 1.0, 0.5, 0.0)))
+    + " FROM p"
+)
+def colour_function(spark, sf_dir):
+    rgb = ((1000, 0, 0.25, 1), (1500, 1, 0, 0.5), (2000, 0.5, 1, 0))
+    nodes = F.array(*(transfer.colour_node(*map(D, n)) for n in rgb))
+    return _table(spark, sf_dir, "part").select("p_partkey", transfer.evaluate_colour(nodes, F.col("p_retailprice")).alias("c")).select("p_partkey", "c.*")
+
+
 @_query(f"WITH w AS ({_PART_WL}) SELECT p_partkey, abs(win) * 0.25::DOUBLE AS win_mapped, greatest(abs(win) * 0.25::DOUBLE, 1) AS win_shown, (level + 50) * 0.25::DOUBLE AS level_mapped FROM w")
 def wl_native_to_mapped(spark, sf_dir):
     w, l = mapping.wl_native_to_mapped(F.col("win"), F.col("level"), D(50), D(0.25))
@@ -162,14 +193,32 @@ def wl_drag(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", win.alias("win"), level.alias("level"))
 
 
+def _cells(spark, sf_dir) -> DataFrame:
+    """The raster as voxels: x the vector, z the position."""
+    return _raster(spark, sf_dir).select(L(0).alias("image_id"), F.col("vec_id").alias("x"), L(0).alias("y"), F.col("pos").alias("z"), "v")
+
+
 @_query(f"WITH {RASTER} SELECT vec_id, v FROM r WHERE pos = 15")
 def slice_xy(spark, sf_dir):
-    return _table(spark, sf_dir, "embeddings").select("vec_id", F.get("embedding", L(15)).cast("double").alias("v"))
+    return selection.slice_plane(_cells(spark, sf_dir), "XY", 15).select(F.col("u").alias("vec_id"), F.col("value").alias("v"))
 
 
 @_query(f"WITH {RASTER} SELECT pos, v FROM r WHERE vec_id = 7")
 def slice_yz(spark, sf_dir):
-    return synthetic.raster(_table(spark, sf_dir, "embeddings").where("vec_id = 7"), "vec_id", "embedding").select("pos", "v")
+    return selection.slice_plane(_cells(spark, sf_dir), "YZ", 7).select(F.col("v").alias("pos"), F.col("value").alias("v"))
+
+
+@_query(f"WITH {RASTER} SELECT vec_id, pos, v FROM r")
+def crop_reset(spark, sf_dir):
+    """A crop that is switched off is no predicate."""
+    return selection.crop_box(_raster(spark, sf_dir), {})
+
+
+@_query(f"WITH {RASTER} SELECT 'XY' AS plane, vec_id, pos, v FROM r WHERE pos = 63 UNION ALL SELECT 'YZ', vec_id, pos, v FROM r WHERE vec_id = 3 UNION ALL SELECT 'XZ', vec_id, pos, v FROM r")
+def three_planes_clamped(spark, sf_dir):
+    """Indices outside the extent show its ends."""
+    p = selection.three_planes(_cells(spark, sf_dir), 3, 9, 1000, {"x": (0, 400), "y": (0, 0), "z": (0, 63)})
+    return p.select("plane", F.col("x").alias("vec_id"), F.col("z").alias("pos"), "v")
 
 
 @_query(f"WITH {RASTER} SELECT vec_id, pos, v FROM r WHERE vec_id BETWEEN 10 AND 40 AND pos BETWEEN 5 AND 11")
@@ -196,6 +245,20 @@ def slice_linear(spark, sf_dir):
     return selection.sampled(cells, 4.25, "z").select(F.col("x").alias("vec_id"), "v")
 
 
+_CUBIC = "CASE pos WHEN 3 THEN -0.0703125 WHEN 4 THEN 0.8671875 WHEN 5 THEN 0.2265625 ELSE -0.0234375 END::DOUBLE"
+
+
+@_query(f"WITH {RASTER} SELECT vec_id, sum(v * {_CUBIC}) AS v FROM r WHERE pos BETWEEN 3 AND 6 GROUP BY vec_id")
+def slice_cubic(spark, sf_dir):
+    return selection.sampled(_cells(spark, sf_dir), 4.25, "z", "Cubic").select(F.col("x").alias("vec_id"), "v")
+
+
+@_query("SELECT event_id, CASE WHEN event_id % 4 = 0 AND event_id % 3 = 2 THEN 'Linear' ELSE ['Nearest', 'Linear', 'Cubic'][event_id % 3 + 1] END AS mode FROM events")
+def shown_interpolation(spark, sf_dir):
+    mode = F.get(F.array(*map(L, INTERPOLATIONS)), (F.col("event_id") % 3).cast("int"))
+    return _events(spark, sf_dir).select("event_id", selection.shown_mode(mode, _view()).alias("mode"))
+
+
 _LINE_INTS = "SELECT l_orderkey, l_linenumber, (l_quantity::INT - 10) AS lo, (l_linenumber * 7 - 3)::INT AS hi FROM lineitem"
 
 
@@ -223,34 +286,95 @@ def clamp_index(spark, sf_dir):
     return _line_ints(spark, sf_dir).select("l_orderkey", "l_linenumber", selection.clamp_index(F.col("lo"), L(2), L(30)).alias("idx"), scalar.centre_index(F.col("lo"), F.col("hi")).alias("centre"))
 
 
+_ORDERED = f"o AS (SELECT l_orderkey, l_linenumber, least(lo, hi) AS lo, greatest(lo, hi) AS hi FROM ({_LINE_INTS}))"
+_IN = lambda x: f"least(greatest({x}, -5), 35)"
+
+
+def _line_ranges(spark, sf_dir):
+    return _line_ints(spark, sf_dir).select("l_orderkey", "l_linenumber", F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi"))
+
+
 @_query(
-    f"WITH i AS ({_LINE_INTS}), o AS (SELECT l_orderkey, l_linenumber, least(lo, hi) AS lo, greatest(lo, hi) AS hi FROM i) SELECT l_orderkey, l_linenumber, greatest(hi, 12) AS pushed_hi, least(lo, 12) AS pushed_lo, "
-    "lo + least(greatest(3, -20 - lo), 60 - hi) AS moved_lo, hi + least(greatest(3, -20 - lo), 60 - hi) AS moved_hi, CASE WHEN abs(12 - lo) <= abs(12 - hi) THEN 'lower' ELSE 'upper' END AS handle FROM o"
+    f"WITH {_ORDERED} SELECT l_orderkey, l_linenumber, {_IN('12')} AS lower_lo, {_IN('greatest(hi, 12)')} AS lower_hi, {_IN('least(lo, 40)')} AS upper_lo, {_IN('40')} AS upper_hi, "
+    f"CASE WHEN abs(12 - lo) < abs(12 - hi) THEN 'lower' ELSE 'upper' END AS handle, {_IN('lo + l_linenumber')} AS stepped FROM o"
 )
 def interval_edit(spark, sf_dir):
-    i = _line_ints(spark, sf_dir).select("l_orderkey", "l_linenumber", F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi"))
-    lo, hi = F.col("lo"), F.col("hi")
-    moved = selection.drag_both(lo, hi, L(3), L(-20), L(60))
-    return i.select("l_orderkey", "l_linenumber", selection.set_lower(lo, hi, L(12))[1].alias("pushed_hi"), selection.set_upper(lo, hi, L(12))[0].alias("pushed_lo"), moved[0].alias("moved_lo"), moved[1].alias("moved_hi"), selection.nearest_handle(L(12), lo, hi).alias("handle"))
+    """One end set, which pushes the other; the nearest handle, the upper one of equals; a step."""
+    lo, hi, bounds = F.col("lo"), F.col("hi"), (L(-5), L(35))
+    lower, upper = selection.set_lower(lo, hi, L(12), *bounds), selection.set_upper(lo, hi, L(40), *bounds)
+    ends = [c.alias(f"{n}_{e}") for n, pair in (("lower", lower), ("upper", upper)) for e, c in zip(("lo", "hi"), pair, strict=True)]
+    return _line_ranges(spark, sf_dir).select("l_orderkey", "l_linenumber", *ends, selection.nearest_handle(L(12), lo, hi).alias("handle"), selection.step(lo, F.col("l_linenumber"), *bounds).alias("stepped"))
 
 
-@_query(f"WITH {RASTER} SELECT vec_id, pos, -12.5::DOUBLE + 0.25::DOUBLE * vec_id AS wx, 3.0::DOUBLE + 0.5::DOUBLE * pos AS wy FROM r WHERE pos < 8")
-def index_to_world(spark, sf_dir):
-    return index_to_world_whole(spark, sf_dir).where("pos < 8")
+_MOVES = {
+    "lower": ("least(12, hi)", "hi"),
+    "mirrored": ("least(12, hi)", "hi + lo - least(12, hi)"),
+    "upper": ("lo", "greatest(lo, 3)"),
+    "widened": ("lo - (greatest(lo, 3) - hi)", "greatest(lo, 3)"),
+    "moved": ("floor((lo + hi) / 2)::INT - 7 - (hi - lo) // 2", "floor((lo + hi) / 2)::INT - 7 + (hi - lo + 1) // 2"),
+}
 
 
-@_query(f"WITH {RASTER} SELECT vec_id, pos, -12.5::DOUBLE + 0.25::DOUBLE * vec_id AS wx, 3.0::DOUBLE + 0.5::DOUBLE * pos AS wy FROM r")
-def index_to_world_whole(spark, sf_dir):
-    return _raster(spark, sf_dir).select("vec_id", "pos", geometry.index_to_world(F.col("vec_id"), D(-12.5), D(0.25)).alias("wx"), geometry.index_to_world(F.col("pos"), D(3), D(0.5)).alias("wy"))
+@_query(
+    f"WITH {_ORDERED}, m AS (SELECT l_orderkey, l_linenumber, " + ", ".join(f"{a} AS {k}_a, {b} AS {k}_b" for k, (a, b) in _MOVES.items()) + " FROM o) SELECT l_orderkey, l_linenumber, "
+    + ", ".join(f"{f}({_IN(k + '_a')}, {_IN(k + '_b')}) AS {k}_{e}" for k in _MOVES for e, f in (("lo", "least"), ("hi", "greatest"))) + " FROM m"
+)
+def interval_drag(spark, sf_dir):
+    """Handles dragged one by one, mirrored, and both."""
+    lo, hi, bounds = F.col("lo"), F.col("hi"), (L(-5), L(35))
+    moves = {
+        "lower": selection.drag_lower(lo, hi, L(12), *bounds),
+        "mirrored": selection.drag_lower(lo, hi, L(12), *bounds, symmetric=True),
+        "upper": selection.drag_upper(lo, hi, L(3), *bounds),
+        "widened": selection.drag_upper(lo, hi, L(3), *bounds, symmetric=True),
+        "moved": selection.drag_both(lo, hi, L(-7), *bounds),
+    }
+    return _line_ranges(spark, sf_dir).select("l_orderkey", "l_linenumber", *(c.alias(f"{k}_{e}") for k, pair in moves.items() for e, c in zip(("lo", "hi"), pair, strict=True)))
 
 
-@_query(f"WITH {RASTER} SELECT vec_id, pos, 1.0::DOUBLE - 0.5::DOUBLE * pos AS wx, 2.0::DOUBLE + 0.25::DOUBLE * vec_id AS wy, 3.0::DOUBLE + 2.0::DOUBLE * 4 AS wz FROM r WHERE pos < 4")
-def index_to_world_directed(spark, sf_dir):
-    return index_to_world_directed_whole(spark, sf_dir).where("pos < 4")
+@_query(
+    "WITH e AS (SELECT event_id, user_id, ts, (event_id % 30)::INT - 5 AS lo, floor(value)::INT AS hi, event_type <> 'view' AS tracking FROM events), b AS (SELECT *, least(greatest(lo, 0), 20) AS a, least(greatest(hi, 0), 20) AS z FROM e), "
+    "o AS (SELECT event_id, user_id, ts, tracking, least(a, z) AS lo, greatest(a, z) AS hi FROM b), "
+    "m AS (SELECT *, lo <> coalesce(lag(lo) OVER w, 3) OR hi <> coalesce(lag(hi) OVER w, 9) AS moved FROM o WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), "
+    "v AS (SELECT *, last_value(CASE WHEN moved AND tracking THEN lo END IGNORE NULLS) OVER w AS vl, last_value(CASE WHEN moved AND tracking THEN hi END IGNORE NULLS) OVER w AS vh FROM m WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) "
+    "SELECT event_id, lo AS position_lo, hi AS position_hi, coalesce(vl, 3) AS value_lo, coalesce(vh, 9) AS value_hi FROM v WHERE moved"
+)
+def range_positions(spark, sf_dir):
+    e = _events(spark, sf_dir).select("event_id", "user_id", "ts", ((F.col("event_id") % 30).cast("int") - 5).alias("lo"), F.floor("value").cast("int").alias("hi"), (F.col("event_type") != "view").alias("tracking"))
+    return ev.positions(e, ["user_id"], ["ts", "event_id"], "lo", "hi", (0, 20), F.col("tracking"), (3, 9)).select("event_id", "position_lo", "position_hi", "value_lo", "value_hi")
+
+
+@_query("SELECT l_orderkey, l_linenumber, -50 + (l_quantity - 1) * 450::DOUBLE / 49 AS value, 7.0::DOUBLE AS flat FROM lineitem")
+def rescale(spark, sf_dir):
+    """Pixels to values, and an empty range of pixels."""
+    x = F.col("l_quantity")
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", selection.rescale(x, D(1), D(50), D(-50), D(400)).alias("value"), selection.rescale(x, D(1), D(1), D(7), D(9)).alias("flat"))
+
+
+@_query("SELECT vec_id, (abs(embedding[1]::DOUBLE) + abs(embedding[2]::DOUBLE) + abs(embedding[3]::DOUBLE)) / 3 AS distance FROM embeddings")
+def mean_spacing(spark, sf_dir):
+    return _table(spark, sf_dir, "embeddings").select("vec_id", scalar.mean_spacing(*(F.abs(F.get("embedding", L(i)).cast("double")) for i in range(3))).alias("distance"))
+
+
+@_query("SELECT page_id, regexp_extract(url, '[^/]*$') || ' (' || left(md5(url), 7) || ')' AS title FROM pages")
+def window_title(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", scalar.window_title(scalar.basename(F.col("url")), F.md5(F.col("url"))).alias("title"))
+
+
+@_query("WITH e AS (SELECT event_id, CASE WHEN event_id % 6 = 0 THEN 0.0 WHEN event_id % 6 = 3 THEN 0.0 ELSE 30 - value END::DOUBLE AS a, CASE event_id % 5 WHEN 0 THEN 1.0 ELSE value END::DOUBLE AS b FROM events) SELECT event_id, least(a, b) AS lo, greatest(a, b) AS hi FROM e")
+def ordered_range(spark, sf_dir):
+    odd = F.when(F.col("event_id") % 6 == 0, D("nan")).when(F.col("event_id") % 3 == 0, D("-inf")).otherwise(30 - F.col("value"))
+    lo, hi = mapping.ordered_range(odd, F.when(F.col("event_id") % 5 == 0, D("inf")).otherwise(F.col("value")))
+    return _events(spark, sf_dir).select("event_id", lo.alias("lo"), hi.alias("hi"))
+
+
+@_query(f"WITH {RASTER} SELECT vec_id, pos, -12.5::DOUBLE + 0.25::DOUBLE * vec_id AS wx, 3.0::DOUBLE + 0.5::DOUBLE * pos AS wy FROM r")
+def index_to_world(spark, sf_dir):
+    return _raster(spark, sf_dir).select("vec_id", "pos", geometry.index_to_world(F.col("vec_id"), D(-12.5), D(0.25)).alias("wx"), geometry.index_to_world(F.col("pos"), D(3), D(0.5)).alias("wy"))
 
 
 @_query(f"WITH {RASTER} SELECT vec_id, pos, 1.0::DOUBLE - 0.5::DOUBLE * pos AS wx, 2.0::DOUBLE + 0.25::DOUBLE * vec_id AS wy, 3.0::DOUBLE + 2.0::DOUBLE * 4 AS wz FROM r")
-def index_to_world_directed_whole(spark, sf_dir):
+def index_to_world_directed(spark, sf_dir):
     doubles = lambda *x: F.array(*map(D, x))
     w = geometry.index_to_world_directed(F.array(F.col("vec_id").cast("double"), F.col("pos").cast("double"), D(4)), doubles(1, 2, 3), doubles(0.25, 0.5, 2), doubles(0, -1, 0, 1, 0, 0, 0, 0, 1))
     return _raster(spark, sf_dir).select("vec_id", "pos", w.alias("w")).select("vec_id", "pos", *(F.col("w")[i].alias(f"w{a}") for i, a in enumerate("xyz")))
@@ -310,27 +434,83 @@ def plane_outline(spark, sf_dir):
     return _table(spark, sf_dir, "nation").select("n_nationkey", F.posexplode(o).alias("point", "p")).select("n_nationkey", "point", "p.x", "p.z", "p.y")
 
 
-@_query("SELECT r_regionkey AS image_id, n_nationkey::INT AS x0, (n_nationkey + 9)::INT AS x1, 0.5::DOUBLE AS spacing, n_name AS path FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey < 20")
+def _isq_of_nations(spark, sf_dir) -> DataFrame:
+    """A small ISQ file for each nation, in the shared folder: image_id, path."""
+    n, k, r = _table(spark, sf_dir, "nation"), F.col("n_nationkey"), F.col("n_regionkey")
+    size = {"nx": k % 5 + 2, "ny": r + 2, "nz": k % 3 + 1}
+    sizes = n.select(k.cast("long").alias("image_id"), *(c.cast("int").alias(x) for x, c in size.items()))
+    sizes = sizes.select("*", (F.col("nx") * 20).alias("ux"), (F.col("ny") * 30).alias("uy"), (F.col("nz") * 40).alias("uz"))
+    z = F.explode(F.sequence(L(0), F.col("nz") - 1))
+    cell = F.transform(F.sequence(L(0), F.col("nx") * F.col("ny") - 1), lambda i: (F.col("image_id") * 1000 + F.col("z") * 100 + i - 12000).cast("double"))
+    planes = sizes.select("image_id", "nx", "ny", z.alias("z")).select("image_id", "z", cell.alias("data"))
+    return volume_files.write_isq(planes, sizes, shared.new_dir(spark, "isq"))
+
+
+_NATION_SIZES = "n AS (SELECT n_nationkey::BIGINT AS image_id, (n_nationkey % 5 + 2)::INT AS nx, (n_regionkey + 2)::INT AS ny, (n_nationkey % 3 + 1)::INT AS nz FROM nation)"
+
+
+@_query(
+    f"WITH {_NATION_SIZES} SELECT image_id, image_id || '.isq' AS name, 'ISQ' AS format, 'short' AS scalar_type, 0 AS x0, nx - 1 AS x1, ny - 1 AS y1, nz - 1 AS z1, "
+    "0.02::DOUBLE AS spacing_x, 0.03::DOUBLE AS spacing_y, 0.04::DOUBLE AS spacing_z, 0.0::DOUBLE AS origin_x, 9 AS entries FROM n"
+)
 def header_projection(spark, sf_dir):
-    return header_projection_whole(spark, sf_dir).where("x0 < 20")
+    """Files written to the shared folder, and their headers alone read back."""
+    h = volume_files.headers(spark, _isq_of_nations(spark, sf_dir))
+    spacing = [F.round(f"spacing.{a}", 9).alias(f"spacing_{a}") for a in "xyz"]
+    return h.select("image_id", scalar.basename(F.col("path")).alias("name"), "format", "scalar_type", "extent.x0", "extent.x1", "extent.y1", "extent.z1", *spacing, F.col("origin.x").alias("origin_x"), F.size("direction").alias("entries"))
+
+
+@_query(f"WITH {_NATION_SIZES} SELECT image_id, u.z::INT AS z, v.i::INT AS i, (image_id * 1000 + u.z * 100 + v.i - 12000)::DOUBLE AS v FROM n, unnest(range(0, nz)) AS u(z), unnest(range(0, nx * ny)) AS v(i)")
+def pixel_scan(spark, sf_dir):
+    """The same files' samples, plane by plane."""
+    return volume_files.bricks(spark, _isq_of_nations(spark, sf_dir)).select("image_id", "z", F.posexplode("data").alias("i", "v"))
+
+
+@_query(f"WITH {_NATION_SIZES} SELECT image_id, u.z::INT AS z, (image_id * 1000 + u.z * 100 - 12000)::DOUBLE AS first FROM n, unnest(range(0, nz)) AS u(z) WHERE u.z BETWEEN 1 AND 2")
+def plane_range_scan(spark, sf_dir):
+    """Planes chosen before any sample is read; the table of planes serves headers and samples."""
+    planes = volume_files.planes(spark, _isq_of_nations(spark, sf_dir), "ISQ")
+    return volume_files.bricks(spark, planes, planes=(1, 2)).select("image_id", "z", F.get("data", L(0)).alias("first"))
+
+
+@_query(f"WITH {_NATION_SIZES} SELECT image_id FROM n WHERE nx > 1 AND ny > 1 AND nz > 1")
+def loadable_volumes(spark, sf_dir):
+    return synthetic.loadable(volume_files.headers(spark, _isq_of_nations(spark, sf_dir))).select("image_id")
 
 
-@_query("SELECT r_regionkey AS image_id, n_nationkey::INT AS x0, (n_nationkey + 9)::INT AS x1, 0.5::DOUBLE AS spacing, n_name AS path FROM nation JOIN region ON n_regionkey = r_regionkey")
-def header_projection_whole(spark, sf_dir):
-    n, r = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "region").select("r_regionkey")
-    header = F.struct(F.col("n_nationkey").cast("int").alias("x0"), (F.col("n_nationkey") + 9).cast("int").alias("x1"))
-    return n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("r_regionkey").alias("image_id"), header.alias("extent"), D(0.5).alias("spacing"), F.col("n_name").alias("path")).select("image_id", "extent.x0", "extent.x1", "spacing", "path")
+@_query("SELECT r_regionkey::BIGINT AS image_id, ['rejected', 'rejected', 'error', 'invalid', 'loaded'][r_regionkey % 5 + 1] AS outcome, CASE r_regionkey % 5 WHEN 2 THEN 'not a DICOM file' END AS detail FROM region")
+def load_outcomes(spark, sf_dir):
+    """A missing file, an ISQ file with a bad header, a DICOM file that is none, a directory without images, and a good file."""
+    folder = shared.new_dir(spark, "outcomes")
+    where, base = volume_files._open(folder)
+    where.create_dir(f"{base}/empty")
+    for name, data in (("bad.isq", b"x" * 600), ("bad.dcm", b"x" * 600), ("empty/note.txt", b"x" * 600), ("good.isq", volume_files.ISQ_MAGIC + bytes(28) + struct.pack("<6i", 1, 1, 1, 20, 20, 20) + bytes(444 + 2))):
+        with where.open_output_stream(f"{base}/{name}") as f:
+            f.write(data)
+    names = F.array(*map(L, ("none.isq", "bad.isq", "bad.dcm", "empty", "good.isq")))
+    regions = _table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("image_id"), F.concat(L(folder + "/"), F.get(names, F.col("r_regionkey") % 5)).alias("path"))
+    return volume_files.outcomes(spark, regions).select("image_id", "outcome", "detail")
 
 
 @_query(
-    "SELECT n_nationkey, (2.0 + 0.5 * (n_nationkey + 4)) * 0.5::DOUBLE AS xz_x, 2.0::DOUBLE + 0.25 * (n_regionkey + 7) AS xz_y, 5.0::DOUBLE AS xz_z, "
-    "5.0::DOUBLE AS xy_z, 1.0::DOUBLE + 0.5 * ((n_nationkey + 4) // 2) AS yz_x FROM nation"
+    "WITH c AS (SELECT n_nationkey, n_nationkey + 4 AS x1, n_regionkey + 7 AS y1, u.o FROM nation, unnest(['YZ', 'XZ', 'XY']) AS u(o)), "
+    "f AS (SELECT *, CASE o WHEN 'YZ' THEN 1.0 ELSE 1 + 0.25 * x1 END::DOUBLE AS fx, CASE o WHEN 'XZ' THEN 2 + 0.25 * y1 ELSE 2 + 0.125 * (2 + y1) END::DOUBLE AS fy, CASE o WHEN 'XY' THEN -3 ELSE 5 END::DOUBLE AS fz FROM c), "
+    "g AS (SELECT *, CASE o WHEN 'YZ' THEN 1 + 0.5 * (x1 // 2) ELSE fx END::DOUBLE AS sx, CASE o WHEN 'XZ' THEN 2 + 0.25 * ((2 + y1) // 2) ELSE fy END::DOUBLE AS sy, CASE o WHEN 'XY' THEN 3 + 2 * 1 ELSE fz END::DOUBLE AS sz FROM f) "
+    "SELECT n_nationkey, o AS orientation, fx, fy, fz, fx + CASE o WHEN 'YZ' THEN 0.5 ELSE 0 END::DOUBLE AS px, fy + CASE o WHEN 'XZ' THEN 0.25 ELSE 0 END::DOUBLE AS py, fz + CASE o WHEN 'XY' THEN 2 ELSE 0 END::DOUBLE AS pz, "
+    "CASE o WHEN 'XY' THEN 1.0 ELSE 0.0 END::DOUBLE AS up_y, CASE o WHEN 'XY' THEN 0.0 ELSE 1.0 END::DOUBLE AS up_z, sx, sy, sz, "
+    "sx + CASE o WHEN 'YZ' THEN 10 ELSE 0 END::DOUBLE AS qx, sy + CASE o WHEN 'XZ' THEN 10 ELSE 0 END::DOUBLE AS qy, sz + CASE o WHEN 'XY' THEN 10 ELSE 0 END::DOUBLE AS qz FROM g"
 )
 def slice_camera(spark, sf_dir):
+    """At first on the low face (XZ: the high one); then at the middle slice."""
     extent = [(L(0), F.col("n_nationkey") + 4), (L(2), F.col("n_regionkey") + 7), (L(-3), L(5))]
-    at = {o: geometry.slice_camera(extent, [D(1), D(2), D(3)], [D(0.5), D(0.25), D(2)], o) for o in ("XZ", "XY", "YZ")}
-    n = _table(spark, sf_dir, "nation").select("n_nationkey", *(c.alias(o) for o, c in at.items()))
-    return n.select("n_nationkey", F.col("XZ.x").alias("xz_x"), F.col("XZ.y").alias("xz_y"), F.col("XZ.z").alias("xz_z"), F.col("XY.z").alias("xy_z"), F.col("YZ.x").alias("yz_x"))
+    origin, spacing = [D(1), D(2), D(3)], [D(0.5), D(0.25), D(2)]
+    views = []
+    for o, (_, _, w) in PLANE_AXES.items():
+        first = geometry.slice_camera(extent, origin, spacing, o)
+        views.append(F.struct(L(o).alias("orientation"), first.alias("first"), geometry.follow_slice(first, origin, spacing, o, scalar.centre_index(*extent[w]), D(10)).alias("then")))
+    n = _table(spark, sf_dir, "nation").select("n_nationkey", F.explode(F.array(*views)).alias("c")).select("n_nationkey", "c.*")
+    axes = {"f": "first.focal", "p": "first.position", "s": "then.focal", "q": "then.position"}
+    return n.select("n_nationkey", "orientation", *(F.col(f"{c}.{a}").alias(f"{k}{a}") for k, c in axes.items() for a in "xyz"), F.col("first.up.y").alias("up_y"), F.col("then.up.z").alias("up_z"))
 
 
 _PATHS = "p AS (SELECT page_id, url || CASE page_id % 6 WHEN 0 THEN '.ISQ' WHEN 1 THEN '.dcm' WHEN 2 THEN '.aim' WHEN 3 THEN '.txt' WHEN 4 THEN '.DICOM' ELSE '' END AS path, page_id % 7 = 0 AS is_dir, page_id % 11 <> 0 AS permitted FROM pages)"
@@ -421,6 +601,39 @@ def fanout_except_source(spark, sf_dir):
     return ev.fanout_except_source(_events(spark, sf_dir), _view()).select("event_id", "target", "value")
 
 
+@_query("SELECT vec_id, unnest(['VOLUME', 'YZ', 'XZ', 'XY']) AS view FROM embeddings")
+def image_to_views(spark, sf_dir):
+    return ev.to_all_views(_table(spark, sf_dir, "embeddings").select("vec_id"))
+
+
+@_query("SELECT event_id, value AS win, 'CONTROLLER' AS target, 'propagated' AS origin FROM events WHERE event_id % 4 = 0")
+def controller_echo(spark, sf_dir):
+    e = _events(spark, sf_dir).select("event_id", F.col("value").alias("win"), _view().alias("view"), L("user").alias("origin"))
+    return ev.echoed(e).select("event_id", "win", "target", "origin")
+
+
+@_query("SELECT event_id, CASE WHEN event_id % 5 IN (0, 1) THEN 'shading' WHEN event_id % 5 IN (2, 3) AND event_id % 3 <> 0 THEN 'reset' END AS command FROM events")
+def key_commands(spark, sf_dir):
+    key = F.get(F.array(*map(L, "sSrRx")), (F.col("event_id") % 5).cast("int"))
+    return _events(spark, sf_dir).select("event_id", ev.key_command(key, F.col("event_id") % 3 == 0).alias("command"))
+
+
+@_query(
+    f"WITH e AS (SELECT event_id, user_id, ts, coalesce(value, 0) AS value, {_VIEW} AS view, CASE event_id % 50 WHEN 0 THEN 'link' WHEN 7 THEN 'link' WHEN 25 THEN 'unlink' ELSE 'edit' END AS kind FROM events), "
+    "s AS (SELECT *, coalesce(last_value(CASE WHEN kind <> 'edit' THEN kind = 'link' END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS linked FROM e), "
+    "t AS (SELECT *, unnest(['YZ', 'XZ', 'XY']) AS target FROM s), "
+    "c AS (SELECT *, CASE WHEN kind = 'link' AND NOT linked THEN 1000 WHEN kind = 'edit' AND view <> 'VOLUME' AND (linked OR view = target) THEN value END::DOUBLE AS w, CASE WHEN kind = 'link' AND NOT linked THEN 500 WHEN kind = 'edit' AND view <> 'VOLUME' AND (linked OR view = target) THEN -value END::DOUBLE AS l FROM t) "
+    "SELECT event_id, target, last_value(w IGNORE NULLS) OVER k AS shown_window, last_value(l IGNORE NULLS) OVER k AS shown_level FROM c WINDOW k AS (PARTITION BY user_id, target ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"
+)
+def linked_views(spark, sf_dir):
+    """Slice views that share one window and level from link to unlink."""
+    k = F.col("event_id") % 50
+    kind = F.when(k.isin(0, 7), "link").when(k == 25, "unlink").otherwise("edit")
+    value = F.coalesce("value", D(0))
+    e = _events(spark, sf_dir).select("event_id", "user_id", "ts", _view().alias("view"), kind.alias("kind"), value.alias("window"), (-value).alias("level"))
+    return ev.linked(e, ["user_id"], ["ts", "event_id"]).select("event_id", "target", "shown_window", "shown_level")
+
+
 _FRAMES = "f AS (SELECT DISTINCT user_id, event_type AS frame, CASE WHEN length(event_type) % 2 = 1 THEN 'Live' WHEN user_id % 3 = 0 THEN 'Disabled' ELSE 'EndOnly' END AS mode FROM events)"
 
 
@@ -475,19 +688,11 @@ def sinusoid_slice(spark, sf_dir):
     return synthetic.sinusoid(spark).where("z = 15").select("x", "y", "z", F.round("v", 6).alias("v"))
 
 
-@_query(
-    f"WITH {RASTER}, o AS (SELECT vec_id, pos, least(abs(v), 1) AS o, v AS c FROM r WHERE pos < 6), t AS (SELECT *, coalesce(exp(sum(ln(1 - least(o, 0.999999999))) OVER (PARTITION BY vec_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS clear FROM o) "
-    "SELECT vec_id, round(sum(clear * o * c), 6) AS colour FROM t GROUP BY vec_id"
-)
-def ray_composite(spark, sf_dir):
-    return _composited(_raster(spark, sf_dir).where("pos < 6"))
-
-
 @_query(
     f"WITH {RASTER}, o AS (SELECT vec_id, pos, least(abs(v), 1) AS o, v AS c FROM r), t AS (SELECT *, coalesce(exp(sum(ln(1 - least(o, 0.999999999))) OVER (PARTITION BY vec_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS clear FROM o) "
     "SELECT vec_id, round(sum(clear * o * c), 6) AS colour FROM t GROUP BY vec_id"
 )
-def ray_composite_whole(spark, sf_dir):
+def ray_composite(spark, sf_dir):
     return _composited(_raster(spark, sf_dir))
 
 
@@ -516,13 +721,6 @@ def brick_round_trip(spark, sf_dir):
     return back.select(F.col("image_id").alias("vec_id"), F.md5(text).alias("md5"))
 
 
-@_query("SELECT user_id, o.o_orderkey, event_type FROM (SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id) e JOIN events USING (user_id, event_id) JOIN orders o ON o.o_orderkey = e.event_id")
-def volume_of_event(spark, sf_dir):
-    """Parameters of one row for each key, joined to a larger table on the key."""
-    e = _events(spark, sf_dir).groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type"), "event_id").alias("e")).select("user_id", "e.*")
-    return e.join(_table(spark, sf_dir, "orders").select("o_orderkey"), F.col("event_id") == F.col("o_orderkey")).select("user_id", "o_orderkey", "event_type")
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranges, shift and scale, mapped samples, baseline window and opacity of a raster, end to end."""
     r = _raster(spark, sf_dir)

@@ -1,7 +1,9 @@
 """Volume files: Scanco ISQ, and uncompressed little-endian DICOM series.
 
-Headers are read alone (``headers``), and samples plane by plane (``bricks``): a plane is a task's unit, and only its bytes are read.
-Files are opened on the executors through Arrow's file systems, so a path is any URI that Arrow knows, or a local path on a shared disk.
+Paths become files, files headers, headers planes (``planes``); each step is a table, so files of a directory are opened by many tasks and a series is a window.
+Headers are read alone (``headers``), and samples plane by plane (``bricks``): a plane is a task's unit, and only its bytes are read. Both take the table of
+planes in place of paths, so that it is made once. Files are opened on the executors through Arrow's file systems, so a path is any URI that Arrow knows, or a
+local path on a shared disk.
 
 Definitions: an ISQ file has a header of 512 bytes, the samples (16-bit, x fastest, then y, z) follow ``(data_offset + 1) * 512`` bytes from the start; spacing is the physical size over the number of samples. Rows
 stay in the file's order; nothing is flipped. A directory is its first series by UID; a single DICOM file stands for its own series.
@@ -14,7 +16,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import BRICK, VOLUME
@@ -138,69 +140,108 @@ def can_read(path: str) -> bool:
         return False
 
 
-def _planes(image_id: int, path: str, explicit: str | None = None) -> Iterator[dict]:
-    """One entry for each plane: the file, where its samples are, and the volume's header."""
+def _listed(image_id: int | None, path: str, explicit: str | None) -> Iterator[tuple]:
+    """(image_id, path, format, file, alone) of the files that a path may need: an ISQ file, or the files of a DICOM directory (``alone``: the file whose series is wanted)."""
     where, name = _open(path)
     info = where.get_file_info(name)
     if info.type == pafs.FileType.NotFound:
         raise FileNotFoundError(path)
-    isq = explicit == "ISQ" or explicit is None and path.lower().endswith(SCANCO)
-    if isq and info.type == pafs.FileType.File:
-        with where.open_input_file(name) as f:
-            h = isq_header(f.read(512))
-        for z in range(h["n"][2]):
-            yield {"image_id": image_id, "path": path, "format": "ISQ", "type": "short", "z": z, "file": path, "at": h["at"] + 2 * z * h["n"][0] * h["n"][1], "n": h["n"], "spacing": h["spacing"], "origin": (0.0, 0.0, 0.0), "direction": IDENTITY, "slope": 1.0, "intercept": 0.0}
+    if info.type == pafs.FileType.File and (explicit == "ISQ" or explicit is None and path.lower().endswith(SCANCO)):
+        yield image_id, path, "ISQ", path, False
         return
     folder = info.type == pafs.FileType.Directory
-    base = name if folder else name.rsplit("/", 1)[0]
-    files = [x.path for x in where.get_file_info(pafs.FileSelector(base)) if x.type == pafs.FileType.File and (folder or x.path == name or x.path.lower().endswith(DICOM))]
-    found = []
-    for one in sorted(files):
+    prefix = path[: path.index("://") + 3] if "://" in path else ""
+    found = False
+    for x in where.get_file_info(pafs.FileSelector(name if folder else name.rsplit("/", 1)[0])):
+        if x.type == pafs.FileType.File and (folder or x.path == name or x.path.lower().endswith(DICOM)):
+            found = True
+            yield image_id, path, "DICOM", prefix + x.path, not folder and x.path == name
+    if not found:
+        raise ValueError(f"{path}: no series")
+
+
+def _header(format: str, file: str, alone: bool) -> tuple | None:
+    """(series, instance, nx, ny, nz, spacing, origin, direction, scalar_type, at, slope, intercept) of a file; none where a directory's file is no image, a null place where it has no samples."""
+    where, name = _open(file)
+    with where.open_input_file(name) as f:
+        if format == "ISQ":
+            h = isq_header(f.read(512))
+            return ("", 0, *h["n"], list(h["spacing"]), [0.0, 0.0, 0.0], IDENTITY, "short", h["at"], 1.0, 0.0)
         try:
-            with where.open_input_file(one) as f:
-                h = dicom_header(f)
+            h = dicom_header(f)
         except ValueError:
-            if one == name:
+            if alone:
                 raise
-            continue
-        if h["pixels"]:
-            found.append((h["series"], h["instance"], one, h))
-    if not found:
-        raise ValueError(f"{path}: no series")
-    series = min(x[0] for x in found) if folder else next(x[0] for x in found if x[2] == name)
-    planes = sorted((x for x in found if x[0] == series), key=lambda x: (x[1], x[2]))
-    first = planes[0][3]
-    a, b = first["orientation"][:3], first["orientation"][3:]
+            return None
+    a, b = h["orientation"][:3], h["orientation"][3:]
     normal = [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+    kind = {(8, False): "uchar", (8, True): "schar", (16, False): "ushort", (16, True): "short"}.get((h["bits"], h["signed"]))
+    if kind is None:
+        raise ValueError(f"{file}: {h['bits']} bits")
     direction = [v for i in range(3) for v in (a[i], b[i], normal[i])]
-    kind = {(8, False): "uchar", (8, True): "schar", (16, False): "ushort", (16, True): "short"}[first["bits"], first["signed"]]
-    prefix = path[: path.index("://") + 3] if "://" in path else ""
-    for z, (_, _, one, h) in enumerate(planes):
-        yield {"image_id": image_id, "path": path, "format": "DICOM", "type": kind, "z": z, "file": prefix + one, "at": h["pixels"][0], "n": (*h["n"], len(planes)), "spacing": first["spacing"], "origin": first["origin"], "direction": direction, "slope": h["slope"], "intercept": h["intercept"]}
+    return (h["series"], h["instance"], *h["n"], 1, list(h["spacing"]), list(h["origin"]), direction, kind, h["pixels"][0] if h["pixels"] else None, h["slope"], h["intercept"])
+
+
+_FILE = "image_id long, path string, format string, file string, alone boolean"
+_FACTS = "series string, instance int, nx int, ny int, nz int, spacing array<double>, origin array<double>, direction array<double>, scalar_type string, at long, slope double, intercept double"
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
 
 
-_PLANE = "image_id long, path string, format string, scalar_type string, z int, file string, at long, nx int, ny int, nz int, spacing array<double>, origin array<double>, direction array<double>, slope double, intercept double"
+def _tasks(spark: SparkSession) -> int:
+    """A number for exchanges of few bytes that stand for much work; without one of its own Spark merges such partitions into one."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _catalog(spark: SparkSession, paths: list[str] | DataFrame, explicit: str | None) -> DataFrame:
+def planes(spark: SparkSession, paths: list[str] | DataFrame, explicit: str | None = None) -> DataFrame:
+    """One row for each plane of the volumes at ``paths`` (path, or a table of image_id and path): where its samples are, and the volume's header. No sample is read.
+
+    An unreadable path is an error, as is a directory without a series.
+    """
     if not isinstance(paths, DataFrame):
         paths = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "image_id long, path string")
-    names = [x.strip().split()[0] for x in _PLANE.split(",")]
 
-    def look(batches):
+    def listed(batches):
         for batch in batches:
-            for image_id, path in zip(batch.column("image_id").to_pylist(), batch.column("path").to_pylist(), strict=True):
-                rows = [(p["image_id"], p["path"], p["format"], p["type"], p["z"], p["file"], p["at"], *p["n"], list(p["spacing"]), list(p["origin"]), list(p["direction"]), p["slope"], p["intercept"]) for p in _planes(image_id, path, explicit)]
-                kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.list_(pa.float64())] * 3, pa.float64(), pa.float64()]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            rows = [x for i, p in zip(batch.column("image_id").to_pylist(), batch.column("path").to_pylist(), strict=True) for x in _listed(i, p, explicit)]
+            if rows:
+                yield _batch(rows, _FILE)
 
-    return paths.select(F.col("image_id").cast("long"), "path").mapInArrow(look, _PLANE)
+    def opened(batches):
+        for batch in batches:
+            rows = [(*x, *(_header(x[2], x[3], x[4]) or [None] * 12)) for x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            if rows:
+                yield _batch(rows, f"{_FILE}, {_FACTS}")
+
+    tasks = _tasks(spark)
+    listing = paths.select(F.col("image_id").cast("long"), "path").repartition(tasks).mapInArrow(listed, _FILE).repartition(tasks)
+    files = listing.mapInArrow(opened, f"{_FILE}, {_FACTS}")
+    volume = Window.partitionBy("image_id", "path")
+    wanted = F.coalesce(F.max(F.when(F.col("alone") & F.col("at").isNotNull(), F.col("series"))).over(volume), F.min(F.when(F.col("at").isNotNull(), F.col("series"))).over(volume))
+    files = files.withColumn("wanted", wanted)
+    files = files.where(F.when(F.col("wanted").isNull(), F.raise_error(F.concat("path", F.lit(": no series"))).cast("boolean")).otherwise((F.col("series") == F.col("wanted")) & F.col("at").isNotNull()))
+    order = volume.orderBy("instance", "file")
+    shared = ["scalar_type", "spacing", "origin", "direction"]
+    is_isq = F.col("format") == "ISQ"
+    files = files.withColumns({"nth": F.row_number().over(order) - 1, "files": F.count("*").over(volume).cast("int"), **{c: F.first(c).over(order) for c in shared}})
+    # an ISQ file has all planes of its volume, a DICOM file one
+    z = F.when(is_isq, F.when(F.col("nz") > 0, F.sequence(F.lit(0), F.col("nz") - 1))).otherwise(F.array("nth"))
+    files = files.withColumn("z", F.explode(z)).withColumn("nz", F.when(is_isq, F.col("nz")).otherwise(F.col("files")))
+    at = F.col("at") + F.when(is_isq, 2 * F.col("z").cast("long") * F.col("nx") * F.col("ny")).otherwise(0)
+    return files.withColumn("at", at).select("image_id", "path", "format", "scalar_type", "z", "file", "at", "nx", "ny", "nz", "spacing", "origin", "direction", "slope", "intercept")
+
+
+def _made(spark: SparkSession, paths: list[str] | DataFrame, explicit: str | None) -> DataFrame:
+    return paths if isinstance(paths, DataFrame) and "at" in paths.columns else planes(spark, paths, explicit)
 
 
 def headers(spark: SparkSession, paths: list[str] | DataFrame, explicit: str | None = None) -> DataFrame:
-    """The volumes' headers, with no sample read. An unreadable path is an error."""
-    c = _catalog(spark, paths, explicit).where("z = 0")
+    """The volumes' headers, with no sample read. An unreadable path is an error. ``paths`` may be the table of ``planes``."""
+    c = _made(spark, paths, explicit).where("z = 0")
     end = lambda n: (F.col(n) - 1).cast("int")
     extent = F.struct(F.lit(0).alias("x0"), end("nx").alias("x1"), F.lit(0).alias("y0"), end("ny").alias("y1"), F.lit(0).alias("z0"), end("nz").alias("z1"))
     point = lambda n: F.struct(*(F.col(n)[i].alias(a) for i, a in enumerate("xyz")))
@@ -208,26 +249,98 @@ def headers(spark: SparkSession, paths: list[str] | DataFrame, explicit: str | N
     return out.select(*(F.col(x.name).cast(x.dataType) for x in VOLUME))
 
 
+def _samples(r: dict) -> list[float]:
+    import numpy as np
+
+    where, name = _open(r["file"])
+    kind = np.dtype({"uchar": "u1", "schar": "i1", "ushort": "<u2", "short": "<i2"}[r["scalar_type"]])
+    with where.open_input_file(name) as f:
+        f.seek(r["at"])
+        raw = f.read(r["nx"] * r["ny"] * kind.itemsize)
+    data = np.frombuffer(raw, dtype=kind)
+    if len(data) != r["nx"] * r["ny"]:
+        raise ValueError(f"{r['file']}: plane {r['z']} is cut short")
+    return data * r["slope"] + r["intercept"]
+
+
 def bricks(spark: SparkSession, paths: list[str] | DataFrame, explicit: str | None = None, planes: tuple[int, int] | None = None) -> DataFrame:
-    """The volumes' planes as brick rows; ``planes`` limits them to an inclusive range before any sample is read."""
-    c = _catalog(spark, paths, explicit)
+    """The volumes' planes as brick rows; ``planes`` limits them to an inclusive range before any sample is read. ``paths`` may be the table of ``planes``."""
+    c = _made(spark, paths, explicit)
     if planes:
         c = c.where(F.col("z").between(*planes))
-    kinds = {"uchar": "u1", "schar": "i1", "ushort": "<u2", "short": "<i2"}
 
     def load(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([r["image_id"]], pa.int64()), pa.array([r["z"]], pa.int32()), pa.array([_samples(r)], pa.list_(pa.float64()))], ["image_id", "z", "data"])
+
+    return c.select("image_id", "z", "file", "at", "nx", "ny", "scalar_type", "slope", "intercept").repartition(_tasks(spark)).mapInArrow(load, BRICK)
+
+
+OUTCOMES = ("loaded", "rejected", "invalid", "error", "unknown")
+
+
+def outcomes(spark: SparkSession, paths: list[str] | DataFrame, explicit: str | None = None) -> DataFrame:
+    """image_id, path, outcome, detail: what opening each path comes to, with no path failing the others.
+
+    'rejected' where the probe says no (missing, unreadable, or of no known kind), 'invalid' where there is no volume in it, 'error' with the message of
+    a failure that was foreseen, 'unknown' of any other, and 'loaded'. Headers are read, samples are not.
+    """
+    if not isinstance(paths, DataFrame):
+        paths = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "image_id long, path string")
+
+    def outcome(path):
+        if not (explicit or can_read(path)):
+            return "rejected", None
+        try:
+            found = [_header(f, file, alone) for _, _, f, file, alone in _listed(None, path, explicit)]
+            return ("loaded", None) if any(h and h[9] is not None for h in found) else ("invalid", None)
+        except (OSError, ValueError) as e:
+            return "error", str(e)
+        except Exception as e:  # noqa: BLE001 - the class is the result
+            return "unknown", repr(e)
+
+    def tell(batches):
+        for batch in batches:
+            rows = [(i, p, *outcome(p)) for i, p in zip(batch.column("image_id").to_pylist(), batch.column("path").to_pylist(), strict=True)]
+            if rows:
+                yield _batch(rows, "image_id long, path string, outcome string, detail string")
+
+    return paths.select(F.col("image_id").cast("long"), "path").repartition(_tasks(spark)).mapInArrow(tell, "image_id long, path string, outcome string, detail string")
+
+
+def write_isq(bricks: DataFrame, sizes: DataFrame, folder: str) -> DataFrame:
+    """Write volumes (bricks: image_id, z, data of 16-bit samples; sizes: image_id, nx, ny, nz and ux, uy, uz in micrometres) as ISQ files below ``folder``, which all executors can write to; returns image_id, path.
+
+    A volume is written by one task, plane after plane; a file takes its name when it is whole.
+    """
+
+    def save(batches):
         import numpy as np
 
+        where, base = _open(folder)
+        f, own, out = None, None, []
+
+        def close():
+            if f is not None:
+                f.close()
+                where.move(f"{base}/{own}.part", f"{base}/{own}.isq")
+                out.append((own, f"{folder.rstrip('/')}/{own}.isq"))
+
         for batch in batches:
             for r in batch.to_pylist():
-                where, name = _open(r["file"])
-                kind = np.dtype(kinds[r["scalar_type"]])
-                with where.open_input_file(name) as f:
-                    f.seek(r["at"])
-                    raw = f.read(r["nx"] * r["ny"] * kind.itemsize)
-                data = np.frombuffer(raw, dtype=kind)
-                if len(data) != r["nx"] * r["ny"]:
-                    raise ValueError(f"{r['file']}: plane {r['z']} is cut short")
-                yield pa.RecordBatch.from_arrays([pa.array([r["image_id"]]), pa.array([r["z"]], pa.int32()), pa.array([data * r["slope"] + r["intercept"]], pa.list_(pa.float64()))], ["image_id", "z", "data"])
-
-    return c.select("image_id", "z", "file", "at", "nx", "ny", "scalar_type", "slope", "intercept").repartition("image_id", "z").mapInArrow(load, BRICK)
+                if r["image_id"] != own:
+                    close()
+                    own = r["image_id"]
+                    head = bytearray(512)
+                    head[:16] = ISQ_MAGIC
+                    struct.pack_into("<6i", head, 44, r["nx"], r["ny"], r["nz"], r["ux"], r["uy"], r["uz"])
+                    f = where.open_output_stream(f"{base}/{own}.part")
+                    f.write(bytes(head))
+                f.write(np.array(r["data"]).astype("<i2").tobytes())
+        close()
+        if out:
+            yield _batch(out, "image_id long, path string")
+
+    rows = bricks.join(sizes, "image_id").repartition(_tasks(bricks.sparkSession), "image_id").sortWithinPartitions("image_id", "z")
+    return rows.select("image_id", "z", "nx", "ny", "nz", "ux", "uy", "uz", "data").mapInArrow(save, "image_id long, path string")

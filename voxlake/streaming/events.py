@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import RECENT, VIEWS
+from ..model import LINKED_LEVEL, LINKED_WINDOW, RECENT, VIEWS
 
 
 def _in_order(key: list[str], order: list[str]):
@@ -87,6 +87,55 @@ def toggled(events: DataFrame, key: list[str], press: Column, order: list[str])
     return events.withColumn("on", count % 2 == 1)
 
 
+def key_command(key: Column, modified: Column) -> Column:
+    """What a key does: 'shading' for s, 'reset' for r unless Shift or Ctrl is held (then the camera is reset, which isn't a command here), else null."""
+    low = F.lower(key)
+    return F.when(low == "s", "shading").when((low == "r") & ~modified, "reset")
+
+
+def echoed(events: DataFrame, view: str = "view") -> DataFrame:
+    """Changes that the volume view made, as the controller shows them: propagated ones, which propagate no further."""
+    return events.where(F.col(view) == "VOLUME").withColumns({"target": F.lit("CONTROLLER"), "origin": F.lit("propagated")})
+
+
+def to_all_views(images: DataFrame, views: tuple[str, ...] = VIEWS) -> DataFrame:
+    """Each image once for every view, as ``view``: an explode over the fixed list."""
+    return images.withColumn("view", F.explode(F.array(*map(F.lit, views))))
+
+
+def linked(events: DataFrame, key: list[str], order: list[str], view: str = "view", kind: str = "kind", window: str = "window", level: str = "level") -> DataFrame:
+    """Each event once for every slice view (``target``), with that view's window and level after it (``shown_window``, ``shown_level``; null before any).
+
+    An edit is its own view's. From a 'link' to the next 'unlink' the views share one setting, which begins at ``LINKED_WINDOW`` and ``LINKED_LEVEL`` and
+    follows the edits of any of them; at 'unlink' each goes on from it. Linking what is linked changes nothing. Edits of other views are of no account.
+    """
+    slices = [v for v in VIEWS if v != "VOLUME"]
+    w = _in_order(key, order)
+    state = F.last(F.when(F.col(kind).isin("link", "unlink"), F.col(kind) == "link"), ignorenulls=True)
+    before = F.coalesce(state.over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    e = events.withColumn("_linked", before).withColumn("target", F.explode(F.array(*map(F.lit, slices))))
+    own = F.col(view).isin(*slices) & (F.col("_linked") | (F.col(view) == F.col("target")))
+    setting = F.when((F.col(kind) == "link") & ~F.col("_linked"), F.struct(F.lit(LINKED_WINDOW).alias("w"), F.lit(LINKED_LEVEL).alias("l")))
+    setting = setting.when((F.col(kind) == "edit") & own, F.struct(F.col(window).cast("double").alias("w"), F.col(level).cast("double").alias("l")))
+    shown = F.last(setting, ignorenulls=True).over(_in_order([*key, "target"], order).rowsBetween(Window.unboundedPreceding, 0))
+    return e.withColumn("_shown", shown).withColumns({"shown_window": F.col("_shown.w"), "shown_level": F.col("_shown.l")}).drop("_linked", "_shown")
+
+
+def positions(events: DataFrame, key: list[str], order: list[str], lo: str, hi: str, bounds: tuple[int, int], tracking: Column, start: tuple[int, int]) -> DataFrame:
+    """The events that move a range's positions (``position_lo``, ``position_hi``: in order and inside the bounds), and the range's values after each (``value_lo``, ``value_hi``).
+
+    An event that leaves both positions as they were is none. Values follow positions while ``tracking``, and stay otherwise.
+    """
+    w = _in_order(key, order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    a, b = (F.least(F.greatest(F.col(c), F.lit(bounds[0])), F.lit(bounds[1])) for c in (lo, hi))
+    now, first = F.struct(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")), F.struct(F.lit(start[0]).alias("lo"), F.lit(start[1]).alias("hi"))
+    e = events.withColumn("_now", now).withColumn("_moved", ~F.coalesce(F.lag("_now").over(w), first).eqNullSafe(F.col("_now")))
+    values = F.coalesce(F.last(F.when(F.col("_moved") & tracking, F.col("_now")), ignorenulls=True).over(upto), first)
+    out = e.withColumn("_values", values).where("_moved")
+    return out.withColumns({f"{n}_{end}": F.col(f"_{c}.{end}") for n, c in (("position", "now"), ("value", "values")) for end in ("lo", "hi")}).drop("_now", "_moved", "_values")
+
+
 def mru_topk(opened: DataFrame, key: list[str], item: str, order: list[str], k: int = RECENT) -> DataFrame:
     """The k most recently used items, each once, with their rank. Items are aggregated before they are ranked."""
     last = opened.groupBy(*key, item).agg(F.max(F.struct(*order)).alias("_last"))
@@ -103,3 +152,8 @@ def save_recent(spark, items: DataFrame, path: str) -> None:
 
 def restore_recent(spark, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def clear_recent(spark, path: str) -> None:
+    """Keep an empty list, with the columns it has."""
+    spark.createDataFrame([], restore_recent(spark, path).schema).write.mode("overwrite").parquet(path)
