@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tests.conftest import DATA
 from tests.llm.helpers import empty, odd_rows, prose, rng, table, words
 from voxlake.llm import language_id as li
@@ -245,3 +246,28 @@ def test_scores_equal_brute_force(spark, monkeypatch, order, chunk, bucket):
     assert [g[:2] for g in got] == [w[:2] for w in backoff(rows, order)]
     assert [g[2] for g in got] == pytest.approx([w[2] for w in backoff(rows, order)], abs=1e-5)
     assert lm_score.scored(empty(spark)).isEmpty()
+
+
+def test_scores_of_a_shuffled_input(spark, monkeypatch):
+    """Rows that come out of a shuffle may come in another order when they are made again: chunks are written once, so every step sees the same ones."""
+    monkeypatch.setattr(lm_score, "CHUNK_BYTES", 2000)
+    r = rng(8)
+    vocabulary = [prose(r, 1) for _ in range(40)]
+    rows = [(i, prose(r, r.randint(1, 60), vocabulary)) for i in range(80)]
+    df = table(spark, rows, 7).withColumn("u", F.rand()).repartition(5, "u").drop("u")  # another order at each evaluation
+    out = lm_score.scored(df)
+    assert "Scan parquet" in out._jdf.queryExecution().executedPlan().toString() and "rand" not in out._jdf.queryExecution().toString()
+    want = backoff(rows, lm_score.ORDER)
+    for _ in range(2):
+        got = sorted(((x.doc_id, x.n_words, round(x.log_score, 6) + 0.0) for x in out.collect()), key=repr)
+        assert [g[:2] for g in got] == [w[:2] for w in want] and [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=1e-5)
+
+
+def test_rows_of_the_count_tables_are_bounded():
+    """By the n-grams, however many ranges there are; ranges are equal parts and hold all hashes."""
+    hashes = np.unique(np.random.default_rng(0).integers(0, 1 << 40, 3000).astype(np.uint64))
+    for buckets in (1, 24, 1000, 10**9):
+        own, edges = lm_score._edges(hashes, buckets, 40)
+        assert len(own) <= min(buckets, len(hashes)) and edges[0] == 0 and edges[-1] == len(hashes) and (np.diff(own) > 0).all()
+        assert all(0 <= o < buckets for o in own) and (np.diff(edges) > 0).all()
+    assert lm_score.hash_bits(10**9) == 54 and lm_score.hash_bits(10**14) == 64

@@ -1,10 +1,13 @@
 """Language-model scores by stupid backoff, computed as joins of n-gram count tables.
 
-1. Documents are dealt to chunks of bounded size. Each chunk's n-grams of all orders are counted and become rows of
-   the count tables, partitioned by hash: one row for a chunk and hash bucket holds the chunk's n-grams there, sorted and packed. That is
-   the exploded form with map-side combining, at six bytes an n-gram.
-2. Buckets add up the counts of all chunks and join them back: each row returns as the corpus counts of the same n-grams.
-3. Chunks meet their counts again, and scores are summed per document.
+1. Texts are packed into chunks of bounded size, written to the shared folder as they are read: no shuffle, and every later step sees the same chunks.
+2. Each chunk's n-grams of all orders are counted and become rows of the count tables, partitioned by ranges of their hash: a row holds a chunk's n-grams of
+   one range, sorted and packed. That is the exploded form with map-side combining, at some five bytes an n-gram instead of a row each.
+3. For each range the counts of all chunks are added up and joined back to the rows on the n-gram; both are grouped by the same key, so one pass does both.
+4. Chunks meet their counts again, and scores are summed per document.
+
+Rows of the count tables number no more than chunks times ranges, nor than the n-grams, whichever is less: ranges without n-grams have no row. So work and
+rows grow with the text, and at the worst a row is an n-gram.
 
 A document's own n-grams are taken off the counts when it is scored; otherwise each n-gram would have been seen, and nothing backed off.
 """
@@ -14,21 +17,27 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small_batches
+from .scratch import small_batches, stored
 from .textbatch import SHINGLE_WORD, U, Words, mix, powers, slices, utf8
 from .textbatch import _inverse as STEP
 
-ORDER = 2
+ORDER = 3
 BACKOFF = 0.4
-#: Bytes of text in a chunk and n-grams in a bucket, about: what a task holds.
-CHUNK_BYTES = 1 << 23
+#: Bytes of text in a chunk and n-grams in a range, about: what a task holds. A longer text is a chunk of its own.
+CHUNK_BYTES = 1 << 22
 BUCKET_GRAMS = 2_000_000
-#: Bytes of text for one word, about; it only sets the number of buckets.
+#: Bytes of text for one word, about; it only sets the number of ranges.
 WORD_BYTES = 6
-TOTAL = -1  # the bucket that adds up the words
+#: Ranges at least, so that small inputs are shared among executors, too.
+LEAST_BUCKETS = 24
+#: The chance that an n-gram shares its hash with another is at most two to the minus this.
+SURE_BITS = 24
+TOTAL = -1  # the range that adds up the words
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -47,66 +56,98 @@ def _numbers(data: bytes, n: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def hash_bits(grams: int) -> int:
+    """Bits of a hash under which ``grams`` different n-grams are told apart, by ``SURE_BITS``."""
+    return min(64, max(grams, 1).bit_length() + SURE_BITS)
+
+
 class Grams:
     """The n-grams of a chunk of texts. ``hash`` and ``count`` are those of its distinct n-grams, sorted; ``at[o]`` has the place of the n-gram of o + 1 words that ends at each word (-1 where the text has too few)."""
 
-    def __init__(self, texts: pa.Array, order: int):
-        parts = [Words(*utf8(pc.utf8_lower(part.column(0))), SHINGLE_WORD) for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text")]
-        word, self.n_words = np.concatenate([p.hash for p in parts]), np.concatenate([p.counts for p in parts])
+    def __init__(self, texts: pa.Array, order: int, bits: int = 64):
+        parts = []
+        for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text"):
+            w = Words(*utf8(pc.utf8_lower(part.column(0))), SHINGLE_WORD)
+            parts.append((w.hash, w.counts))
+        word, self.n_words = np.concatenate([h for h, _ in parts]), np.concatenate([c for _, c in parts])
+        del parts
         n = len(word)
         self.doc = np.repeat(np.arange(len(self.n_words)), self.n_words)
         self.nth = nth = np.arange(n) - np.repeat(np.cumsum(self.n_words) - self.n_words, self.n_words)
-        del parts
-        hashes, places = [], []
         factor = powers(STEP, order + 1)
         total = np.zeros(n, dtype=U)
+        hashes, places = [], []
         for o in range(order):
             # the word o places back times its factor; positions without it aren't used
             total[o:] += word[: n - o] * factor[o] if o < n else U(0)
             ends = np.flatnonzero(nth >= o)
-            hashes.append(mix(total[ends] + U(o)))
+            hashes.append(mix(total[ends] + U(o)) >> U(64 - bits))
             places.append(ends)
-        joined = np.concatenate(hashes)
-        self.hash, inverse, self.count = np.unique(joined, return_inverse=True, return_counts=True)
+        self.hash, inverse, self.count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        del hashes
         self.at, k = [], 0
         for ends in places:
-            at = np.full(n, -1, dtype=np.int64)
+            at = np.full(n, -1, dtype=np.int32)
             at[ends] = inverse[k : k + len(ends)]
             k += len(ends)
             self.at.append(at)
 
-    def own(self) -> list[np.ndarray]:
-        """How often each word's n-grams are in its own text, by order."""
-        out = []
-        for at in self.at:
-            key = self.doc * (len(self.hash) + 1) + at
-            _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-            out.append(np.where(at >= 0, count[inverse], 0))
-        return out
+    def own(self, at: np.ndarray) -> np.ndarray:
+        """How often each word's n-gram of one order is in its own text."""
+        key = self.doc * (len(self.hash) + 1) + at
+        _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
+        return np.where(at >= 0, count[inverse], 0)
+
+
+def _edges(hashes: np.ndarray, buckets: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges that have hashes (sorted), and where each begins, with the end. A range is an equal part of all hashes."""
+    width = U(-(-(1 << bits) // buckets))
+    own = hashes // width
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+    return own[first].astype(np.int64), np.append(first, len(own))
+
+
+def _texts(chunk: dict) -> pa.Array:
+    """The texts of a chunk's row."""
+    raw = zstandard.ZstdDecompressor().decompress(chunk["texts"]) if chunk["texts"] else b""
+    ends = np.frombuffer(chunk["ends"], dtype="<i8")
+    return pa.LargeStringArray.from_buffers(len(ends), pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64).tobytes()), pa.py_buffer(raw))
+
+
+_CHUNK = "chunk long, size long, ids binary, known binary, ends binary, texts binary"
+
+
+def _chunked(docs: DataFrame, most: int) -> DataFrame:
+    """chunk, and its documents' ids, which of them are known, the ends of their texts, and the texts, compressed: one row a chunk."""
+
+    def pack(batches):
+        task, made, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
+
+        def row():
+            known = np.array([i is not None for i in ids], dtype=np.uint8)
+            body = zstandard.ZstdCompressor(level=3, write_content_size=True).compress(b"".join(texts)) if size else b""
+            kept = [np.array([i or 0 for i in ids], dtype="<i8").tobytes(), known.tobytes(), np.cumsum([len(x) for x in texts]).astype("<i8").tobytes(), body]
+            return pa.RecordBatch.from_arrays([pa.array([task << 32 | made]), pa.array([size]), *(pa.array([x], pa.binary()) for x in kept)], ["chunk", "size", "ids", "known", "ends", "texts"])
 
+        for batch in batches:
+            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                if size and size + len(t) > most:
+                    yield row()
+                    made, ids, texts, size = made + 1, [], [], 0
+                ids.append(i)
+                texts.append(t)
+                size += len(t)
+        if ids:
+            yield row()
 
-def _edges(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket (equal ranges of hashes) begins and ends."""
-    cuts = np.array([(b << 64) // buckets for b in range(1, buckets)], dtype=U)
-    return np.concatenate([[0], np.searchsorted(hashes, cuts), [len(hashes)]])
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(pack, _CHUNK)
 
 
-def _tables(group: pa.Table, order: int, buckets: int) -> pa.Table:
-    """The rows of one chunk in the count tables."""
-    g = Grams(group["text"].combine_chunks() if group["text"].num_chunks != 1 else group["text"].chunk(0), order)
-    chunk = group["chunk"][0].as_py()
-    rows = [(TOTAL, chunk, 1, b"", _planes(np.array([g.n_words.sum()], dtype=U)))]
-    edges = _edges(g.hash, buckets)
-    for b in range(buckets):
-        own = g.hash[edges[b] : edges[b + 1]]
-        if len(own):
-            rows.append((b, chunk, len(own), _planes(np.diff(own, prepend=U(0))), _planes(g.count[edges[b] : edges[b + 1]])))
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-    return pa.table([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "chunk", "n", "grams", "counts"])
+_TABLE = [("bucket", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())]
 
 
 def _sums(group: pa.Table) -> pa.Table:
-    """Each chunk's n-grams of one bucket with the counts of all chunks."""
+    """Each chunk's n-grams of one range with the counts of all chunks."""
     sizes, chunks, bucket = group["n"].to_pylist(), group["chunk"].to_pylist(), group["bucket"][0].as_py()
     counts = np.concatenate([_numbers(x, n) for x, n in zip(group["counts"].to_pylist(), sizes, strict=True)]).astype(np.int64)
     if bucket == TOTAL:
@@ -114,36 +155,37 @@ def _sums(group: pa.Table) -> pa.Table:
     else:
         grams = np.concatenate([np.cumsum(_numbers(x, n), dtype=U) for x, n in zip(group["grams"].to_pylist(), sizes, strict=True)])
         _, inverse = np.unique(grams, return_inverse=True)
-        total = np.zeros(int(inverse.max()) + 1, dtype=np.int64)
-        np.add.at(total, inverse, counts)
+        total = np.bincount(inverse, weights=counts).astype(np.int64)
     ends = np.cumsum(sizes)
     back = [_planes(total[inverse[e - n : e]].astype(U)) for e, n in zip(ends.tolist(), sizes, strict=True)]
     return pa.table([pa.array(chunks, pa.int64()), pa.array([bucket] * len(chunks), pa.int64()), pa.array(sizes, pa.int64()), pa.array(back, pa.binary())], names=["chunk", "bucket", "n", "totals"])
 
 
-def _scores(texts: pa.Table, counts: pa.Table, order: int, backoff: float) -> pa.Table:
+def _scores(chunk: dict, counts: pa.Table, order: int, backoff: float, bits: int) -> pa.Table:
     """doc_id, n_words, log_score of the documents of one chunk."""
-    g = Grams(texts["text"].combine_chunks() if texts["text"].num_chunks != 1 else texts["text"].chunk(0), order)
-    rows = sorted(zip(counts["bucket"].to_pylist(), counts["n"].to_pylist(), counts["totals"].to_pylist(), strict=True), key=lambda r: r[0])
-    parts = [_numbers(data, n).astype(np.int64) for _, n, data in rows]
-    words_all = int(parts[0][0])
-    total = np.concatenate(parts[1:]) if len(parts) > 1 else np.zeros(0, np.int64)
-    seen = [np.where(at >= 0, total[at] - own, 0) if len(total) else np.zeros(0, np.int64) for at, own in zip(g.at, g.own(), strict=True)]
-    rest = np.maximum(words_all - g.n_words[g.doc], 1) if len(g.doc) else np.zeros(0, np.int64)
+    g = Grams(_texts(chunk), order, bits)
+    place = np.argsort(counts["bucket"].to_numpy())
+    sizes, data = counts["n"].to_pylist(), counts["totals"]
+    words_all = int(_numbers(data[int(place[0])].as_py(), 1)[0])
+    total = np.concatenate([np.zeros(0, np.int64), *(_numbers(data[i].as_py(), sizes[i]).astype(np.int64) for i in place[1:].tolist())])
+    rest = np.maximum(words_all - g.n_words[g.doc], 1)
     most = np.minimum(g.nth + 1, order)  # the order that each word could have
-    score, used = np.zeros(len(g.doc)), np.zeros(len(g.doc), dtype=np.int64)
-    for o in range(order, 0, -1):
-        hit = (used == 0) & (seen[o - 1] > 0)
-        at = np.flatnonzero(hit)
+    score, used = np.zeros(len(g.doc)), np.zeros(len(g.doc), dtype=np.int8)
+    below = rest
+    for o in range(1, order + 1):  # a higher order's score takes the place of a lower one's
+        at = g.at[o - 1]
+        seen = np.where(at >= 0, total[at] - g.own(at), 0) if len(total) else np.zeros(0, np.int64)
+        hit = np.flatnonzero(seen > 0)
         # the words before make an n-gram of one word less, which ends at the word before
-        below = seen[o - 2][at - 1] if o > 1 else rest[at]
-        score[at] = np.log(seen[o - 1][at] / below)
-        used[at] = o
+        score[hit] = np.log(seen[hit] / (below[hit - 1] if o > 1 else below[hit]))
+        used[hit] = o
+        below = seen
     none = used == 0
     score[none] = -np.log(rest[none])
     score += (most - used) * np.log(backoff)
     sums = np.bincount(g.doc, weights=score, minlength=len(g.n_words))
-    return pa.table([texts["doc_id"].combine_chunks(), pa.array(g.n_words.astype(np.int64)), pa.array(sums)], names=["doc_id", "n_words", "log_score"])
+    ids = pa.array(np.frombuffer(chunk["ids"], dtype="<i8"), mask=np.frombuffer(chunk["known"], dtype=np.uint8) == 0)
+    return pa.table([ids, pa.array(g.n_words.astype(np.int64)), pa.array(sums)], names=["doc_id", "n_words", "log_score"])
 
 
 def scored(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
@@ -155,11 +197,21 @@ def scored(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> Dat
     as other rows of each other. An empty table gives no rows; other columns are ignored.
     """
     small_batches(docs.sparkSession)
-    plain = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(1, -(-size // CHUNK_BYTES))
-    buckets = max(1, -(-size * order // (WORD_BYTES * BUCKET_GRAMS)))
-    dealt = plain.withColumn("chunk", F.pmod(F.monotonically_increasing_id(), F.lit(chunks)))
-    tables = dealt.groupBy("chunk").applyInArrow(lambda group: _tables(group, order, buckets), "bucket long, chunk long, n long, grams binary, counts binary")
-    sums = tables.groupBy("bucket").applyInArrow(_sums, "chunk long, bucket long, n long, totals binary")
-    return dealt.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(lambda texts, counts: _scores(texts, counts, order, backoff), "doc_id long, n_words long, log_score double")
+    chunks = stored(_chunked(docs, CHUNK_BYTES), "chunks")
+    size = chunks.agg(F.sum("size")).first()[0] or 0
+    grams = size * order // WORD_BYTES
+    bits, buckets = hash_bits(grams), max(LEAST_BUCKETS, -(-grams // BUCKET_GRAMS))
+
+    def tables(batches):
+        for batch in batches:
+            for chunk in (r for i in range(len(batch)) for r in batch.slice(i, 1).to_pylist()):
+                g = Grams(_texts(chunk), order, bits)
+                rows = [(TOTAL, chunk["chunk"], 1, b"", _planes(np.array([g.n_words.sum()], dtype=U)))]
+                own, edges = _edges(g.hash, buckets, bits)
+                for b, x, y in zip(own.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    rows.append((b, chunk["chunk"], y - x, _planes(np.diff(g.hash[x:y], prepend=U(0))), _planes(g.count[x:y])))
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, (_, k) in zip(zip(*rows, strict=True), _TABLE, strict=True)], [n for n, _ in _TABLE])
+
+    counted = chunks.mapInArrow(tables, "bucket long, chunk long, n long, grams binary, counts binary")
+    sums = counted.groupBy("bucket").applyInArrow(_sums, "chunk long, bucket long, n long, totals binary")
+    return chunks.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(lambda texts, counts: _scores(texts.to_pylist()[0], counts, order, backoff, bits), "doc_id long, n_words long, log_score double")

@@ -144,20 +144,22 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(said, '' ORDER BY
 FROM t GROUP BY conv_id""",
     "op9_lm_scoring": """
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-g AS (SELECT r, i, w[i] AS w1, CASE WHEN i > 1 THEN w[i - 1] END AS w0 FROM t, unnest(range(1, len(w) + 1)) AS u(i)),
-n1 AS (SELECT w1, count(*) AS c FROM g GROUP BY w1), o1 AS (SELECT r, w1, count(*) AS c FROM g GROUP BY r, w1),
-n2 AS (SELECT w0, w1, count(*) AS c FROM g WHERE w0 IS NOT NULL GROUP BY w0, w1), o2 AS (SELECT r, w0, w1, count(*) AS c FROM g WHERE w0 IS NOT NULL GROUP BY r, w0, w1),
+g AS (SELECT r, i, w[i] AS w2, CASE WHEN i > 1 THEN w[i - 1] END AS w1, CASE WHEN i > 2 THEN w[i - 2] END AS w0 FROM t, unnest(range(1, len(w) + 1)) AS u(i)),
+n1 AS (SELECT w2, count(*) AS c FROM g GROUP BY ALL), o1 AS (SELECT r, w2, count(*) AS c FROM g GROUP BY ALL),
+n2 AS (SELECT w1, w2, count(*) AS c FROM g WHERE i > 1 GROUP BY ALL), o2 AS (SELECT r, w1, w2, count(*) AS c FROM g WHERE i > 1 GROUP BY ALL),
+n3 AS (SELECT w0, w1, w2, count(*) AS c FROM g WHERE i > 2 GROUP BY ALL), o3 AS (SELECT r, w0, w1, w2, count(*) AS c FROM g WHERE i > 2 GROUP BY ALL),
 m AS (SELECT (SELECT count(*) FROM g) AS words),
 s AS (
-  SELECT g.r, n2.c - o2.c AS c2, n1.c - o1.c AS c1, b.c - ob.c AS before, greatest(m.words - len(t.w), 1) AS rest, g.i
-  FROM g JOIN t USING (r) CROSS JOIN m JOIN n1 ON n1.w1 = g.w1 JOIN o1 ON o1.r = g.r AND o1.w1 = g.w1
-  LEFT JOIN n2 ON n2.w0 = g.w0 AND n2.w1 = g.w1 LEFT JOIN o2 ON o2.r = g.r AND o2.w0 = g.w0 AND o2.w1 = g.w1
-  LEFT JOIN n1 b ON b.w1 = g.w0 LEFT JOIN o1 ob ON ob.r = g.r AND ob.w1 = g.w0
+  SELECT g.r, g.i, least(g.i, 3) AS most, greatest(m.words - len(t.w), 1) AS rest, n1.c - o1.c AS c1, coalesce(n2.c - o2.c, 0) AS c2, coalesce(n3.c - o3.c, 0) AS c3
+  FROM g JOIN t USING (r) CROSS JOIN m JOIN n1 USING (w2) JOIN o1 ON o1.r = g.r AND o1.w2 = g.w2
+  LEFT JOIN n2 ON n2.w1 = g.w1 AND n2.w2 = g.w2 LEFT JOIN o2 ON o2.r = g.r AND o2.w1 = g.w1 AND o2.w2 = g.w2
+  LEFT JOIN n3 ON n3.w0 = g.w0 AND n3.w1 = g.w1 AND n3.w2 = g.w2 LEFT JOIN o3 ON o3.r = g.r AND o3.w0 = g.w0 AND o3.w1 = g.w1 AND o3.w2 = g.w2
 ),
+b AS (SELECT s.*, p.c1 AS b1, p.c2 AS b2 FROM s LEFT JOIN s p ON p.r = s.r AND p.i = s.i - 1),
 l AS (
-  SELECT r, sum(CASE WHEN i > 1 AND c2 > 0 THEN ln(c2::DOUBLE / before) WHEN c1 > 0 THEN ln(c1::DOUBLE / rest) + CASE WHEN i > 1 THEN ln(0.4) ELSE 0 END
-    ELSE -ln(rest::DOUBLE) + ln(0.4) * CASE WHEN i > 1 THEN 2 ELSE 1 END END) AS score
-  FROM s GROUP BY r
+  SELECT r, sum(CASE WHEN c3 > 0 THEN ln(c3::DOUBLE / b2) WHEN c2 > 0 THEN ln(c2::DOUBLE / b1) + (most - 2) * ln(0.4)
+    WHEN c1 > 0 THEN ln(c1::DOUBLE / rest) + (most - 1) * ln(0.4) ELSE most * ln(0.4) - ln(rest::DOUBLE) END) AS score
+  FROM b GROUP BY r
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, CASE WHEN len(w) > 0 THEN round(score / len(w), 6) END AS log_score_per_word
 FROM t LEFT JOIN l USING (r)""",

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources import shared
 
 #: Bytes of an Arrow batch. Spark's own bound is 256 MB, of which a task holds several at once on either side.
 BATCH_BYTES = "4m"
@@ -19,19 +17,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, BATCH_BYTES)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset and the master is local (tests, one machine), a temporary folder becomes its value. On a cluster an unset one is an error: no folder of one machine would do."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        kept = spark.sparkContext.getCheckpointDir()
-        if not kept and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = kept.rsplit("/", 1)[0] if kept else "file://" + tempfile.mkdtemp(prefix="voxlake-")
-        if not kept:
-            spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
 _made: list[str] = []
 
 
@@ -50,14 +35,8 @@ def clear(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
 
 def new_dir(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no other call gets; it is removed by ``clear``, or when the driver ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(at)
-    fs.deleteOnExit(at)
-    _made.append(path)
-    return path
+    _made.append(shared.new_dir(spark, name))
+    return _made[-1]
 
 
 #: Spark's own removal of a query's shuffle files at its end.
