@@ -263,6 +263,14 @@ def test_scores_of_a_shuffled_input(spark, monkeypatch):
         assert [g[:2] for g in got] == [w[:2] for w in want] and [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=1e-5)
 
 
+def test_numbers_are_packed_and_unpacked():
+    r = np.random.default_rng(2)
+    for values in (np.zeros(0), np.zeros(5000), np.ones(3), r.integers(0, 2**63, 4000), r.geometric(1e-9, 4000), r.integers(1, 3, 9000), np.array([2**64 - 1], dtype=np.uint64)):
+        values = values.astype(np.uint64)
+        assert (lm_score._numbers(lm_score._planes(values), len(values)) == values).all()
+    assert len(lm_score._planes(np.ones(9000, dtype=np.uint64))) < 100
+
+
 def test_rows_of_the_count_tables_are_bounded():
     """By the n-grams, however many ranges there are; ranges are equal parts and hold all hashes."""
     hashes = np.unique(np.random.default_rng(0).integers(0, 1 << 40, 3000).astype(np.uint64))

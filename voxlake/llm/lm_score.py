@@ -14,6 +14,8 @@ A document's own n-grams are taken off the counts when it is scored; otherwise e
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,6 +35,8 @@ CHUNK_BYTES = 1 << 22
 BUCKET_GRAMS = 2_000_000
 #: Bytes of text for one word, about; it only sets the number of ranges.
 WORD_BYTES = 6
+#: Tasks of a step, at most.
+MOST_TASKS = 20_000
 #: Ranges at least, so that small inputs are shared among executors, too.
 LEAST_BUCKETS = 24
 #: The chance that an n-gram shares its hash with another is at most two to the minus this.
@@ -40,19 +44,31 @@ SURE_BITS = 24
 TOTAL = -1  # the range that adds up the words
 
 
+_squeeze, _expand = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+
+
 def _planes(values: np.ndarray) -> bytes:
-    """Numbers as byte planes, the lowest first, with no more planes than are needed."""
+    """Numbers as byte planes, the lowest first, with no more planes than are needed. Each is compressed by itself, if that makes it shorter: the high ones have few values, the low ones any."""
     if not len(values):
         return b""
     width = max(1, (int(values.max()).bit_length() + 7) // 8)
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    out = []
+    for plane in planes:
+        raw = plane.tobytes()
+        short = _squeeze(raw)
+        out.append(struct.pack("<I", len(short)) + short if len(short) < len(raw) else struct.pack("<I", 0) + raw)
+    return b"".join(out)
 
 
 def _numbers(data: bytes, n: int) -> np.ndarray:
     out = np.zeros((n, 8), dtype=np.uint8)
-    if n:
-        planes = np.frombuffer(data, dtype=np.uint8).reshape(-1, n)
-        out[:, : len(planes)] = planes.T
+    at = place = 0
+    while at < len(data):
+        (size,) = struct.unpack_from("<I", data, at)
+        end = at + 4 + (size or n)
+        out[:, place] = np.frombuffer(_expand(data[at + 4 : end], max_output_size=n) if size else data[at + 4 : end], dtype=np.uint8)
+        at, place = end, place + 1
     return out.view("<u8").ravel()
 
 
@@ -198,7 +214,7 @@ def scored(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> Dat
     """
     small_batches(docs.sparkSession)
     chunks = stored(_chunked(docs, CHUNK_BYTES), "chunks")
-    size = chunks.agg(F.sum("size")).first()[0] or 0
+    size, n_chunks = chunks.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     grams = size * order // WORD_BYTES
     bits, buckets = hash_bits(grams), max(LEAST_BUCKETS, -(-grams // BUCKET_GRAMS))
 
@@ -213,5 +229,8 @@ def scored(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, (_, k) in zip(zip(*rows, strict=True), _TABLE, strict=True)], [n for n, _ in _TABLE])
 
     counted = chunks.mapInArrow(tables, "bucket long, chunk long, n long, grams binary, counts binary")
-    sums = counted.groupBy("bucket").applyInArrow(_sums, "chunk long, bucket long, n long, totals binary")
-    return chunks.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(lambda texts, counts: _scores(texts.to_pylist()[0], counts, order, backoff, bits), "doc_id long, n_words long, log_score double")
+    # as many tasks as ranges and as chunks: what a task reads doesn't grow with the text
+    sums = counted.repartition(min(buckets, MOST_TASKS), "bucket").groupBy("bucket").applyInArrow(_sums, "chunk long, bucket long, n long, totals binary")
+    tasks = max(1, min(n_chunks, MOST_TASKS))
+    texts, counts = chunks.drop("size").repartition(tasks, "chunk"), sums.repartition(tasks, "chunk")
+    return texts.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(lambda texts, counts: _scores(texts.to_pylist()[0], counts, order, backoff, bits), "doc_id long, n_words long, log_score double")
