@@ -78,3 +78,46 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 300)] + [(500, 501), (501, 500), (7, 7), (900, 900)], "src long, dst long")
     got = {r.node: r.root for r in components(edges).collect()}
     assert got == {i: 0 for i in range(301)} | {500: 500, 501: 500}
+
+
+def test_measured_recall_at_the_threshold(spark):
+    """Pairs of a similarity just over the threshold, one change in the middle of each: all are found."""
+    r = rng(21)
+    rows, pairs = [], 0
+    for i in range(1500):
+        w = prose(r, 49 + r.randint(0, 3)).split()
+        changed = [*w[: len(w) // 2], f"x{i}", *w[len(w) // 2 + 1 :]]
+        a, b = shingles(" ".join(w)), shingles(" ".join(changed))
+        assert 0.8 <= len(a & b) / len(a | b) < 0.85
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(changed))]
+        pairs += 1
+    got = {x.doc_id: (x.class_id, x.n_links) for x in j.near_duplicates(table(spark, rows)).collect()}
+    found = sum(got[2 * i] == got[2 * i + 1] == (2 * i, 1) for i in range(pairs))
+    assert found >= 0.999 * pairs
+
+
+@pytest.mark.parametrize("rounds", [60, 0])
+def test_chance_neighbours_form_no_groups(spark, docs, monkeypatch, rounds):
+    """With prefixes of a single byte nearly all texts share one with some other; candidate groups stay what they are, and so does the result."""
+    monkeypatch.setattr(j, "LAST_ROUNDS", rounds)
+    monkeypatch.setattr(j, "depth_for", lambda *_: 1)
+    assert sorted(((x.doc_id, x.class_id, x.n_links) for x in j.near_duplicates(table(spark, docs)).collect()), key=repr) == brute(docs)[0]
+    texts = [(i, t) for i, (_, t) in enumerate(docs) if len(shingles(t)) > 1]
+    s = j.sketched(table(spark, texts)).where("digest is not null").selectExpr("doc_id as node", "labels")
+    links = j.candidates(s, 0.8, 0.9).collect()
+    alike = lambda a, b: len(a & b) / len(a | b)
+    sets = {i: shingles(t) for i, t in texts}
+    if rounds:
+        assert links and all(alike(sets[x.src], sets[x.dst]) > 0.25 for x in links)
+    else:
+        assert any(alike(sets[x.src], sets[x.dst]) < 0.1 for x in links)
+
+
+def test_prefixes_are_shortened_for_some_only(spark, docs, monkeypatch):
+    """Texts that are represented early aren't looked up at shorter prefixes."""
+    seen = []
+    kept = j.stored
+    monkeypatch.setattr(j, "stored", lambda df, name: (lambda out: (seen.append((name, out.count())), out)[1])(kept(df, name)))
+    assert sorted(((x.doc_id, x.class_id, x.n_links) for x in j.near_duplicates(table(spark, docs)).collect()), key=repr) == brute(docs)[0]
+    leaves = [n for name, n in seen if name == "leaves"]
+    assert leaves[0] > leaves[1] > leaves[-1] == 0 and len(leaves) >= 4
