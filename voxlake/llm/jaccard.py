@@ -35,8 +35,8 @@ LINKED, SAME = 0.4, 0.8
 #: Rounds at the shortest prefix in which the first of each is compared; what is left then is linked without a comparison, which only makes groups larger.
 LAST_ROUNDS = 8
 #: Texts and shingles of a block, about: two blocks' shingles and intersection counts are what a task holds.
-BLOCK_TEXTS = 1024
-BLOCK_SHINGLES = 2_000_000
+BLOCK_TEXTS = 512
+BLOCK_SHINGLES = 1_000_000
 #: Shingles in up to so many of a block's texts are counted pair by pair, more frequent ones by matrix products.
 RARE = 24
 
@@ -81,8 +81,8 @@ def candidates(texts: DataFrame, similarity: float, recall: float) -> DataFrame:
     while True:
         at = open_.withColumn("prefix", prefix(depth))
         first = at.groupBy("tree", "prefix").agg(F.min("node").alias("dst"), F.count("*").alias("size")).where("size > 1").drop("size")
-        met = stored(at.join(first, ["tree", "prefix"]).select("tree", "node", "dst"), "met")
-        pairs = met.where("node != dst").select("node", "dst").distinct()
+        met = stored(at.join(first, ["tree", "prefix"]).where("node != dst").select("tree", "node", "label", "dst"), "met")
+        pairs = met.select("node", "dst").distinct()
         if met.isEmpty():
             if depth == shortest:
                 break
@@ -96,17 +96,15 @@ def candidates(texts: DataFrame, similarity: float, recall: float) -> DataFrame:
         found = stored(found.where(F.col("alike") >= LINKED), "alike")
         own = found.select(F.col("node").alias("src"), "dst")
         links = own if links is None else links.unionAll(own)
-        gone = met.join(found.where(F.col("alike") >= SAME), ["node", "dst"]).select("tree", "node")
-        if depth == shortest:
-            if last == LAST_ROUNDS:
-                break
-            gone = gone.unionAll(met.where("node = dst").select("tree", "node"))
-            # a text that met none is alone
-            open_ = stored(open_.join(met.select("tree", "node"), ["tree", "node"], "left_semi").join(gone, ["tree", "node"], "left_anti"), "leaves")
-            last += 1
-        else:
-            open_ = stored(open_.join(gone, ["tree", "node"], "left_anti"), "leaves")
+        same = found.where(F.col("alike") >= SAME).select("node", "dst")
+        if depth > shortest:
+            open_ = stored(open_.join(met.join(same, ["node", "dst"]).select("tree", "node"), ["tree", "node"], "left_anti"), "leaves")
             depth -= 1
+        elif last == LAST_ROUNDS:
+            break
+        else:  # the first of each prefix has been compared with all others, and a text that met none is alone
+            open_ = stored(met.join(same, ["node", "dst"], "left_anti").select("node", "tree", "label"), "leaves")
+            last += 1
     return links.distinct() if links is not None else texts.sparkSession.createDataFrame([], "src long, dst long")
 
 

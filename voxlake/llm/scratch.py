@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources import shared
@@ -41,6 +43,9 @@ def new_dir(spark: SparkSession, name: str) -> str:
 
 #: Spark's own removal of a query's shuffle files at its end.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Seconds between two collections of the driver's garbage, at least: executors hold broadcast tables until the driver has collected what stands for them.
+COLLECT_EVERY = 10.0
+_collected = [0.0]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -57,4 +62,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    if time.monotonic() - _collected[0] > COLLECT_EVERY:
+        spark.sparkContext._jvm.System.gc()
+        _collected[0] = time.monotonic()
     return spark.read.schema(df.schema).parquet(path)
