@@ -4,7 +4,7 @@
 2. A text has a label in each of the forest's trees: eight minima of a byte each, as one 64-bit number, so that labels in the order of their values are the leaves of a
    prefix trie. Prefixes start as the whole label and are shortened a minimum at a time. Where texts share one, each is compared to the first of them by its whole signature (256 minima): one
    that is about half alike is linked to it; one that is nearly the same is from now on represented by it in this tree, and its prefix isn't shortened any
-   more. The others go on, down to the length at which a pair at the threshold meets in some tree with the target recall; there, the first of each prefix is taken out until no two are
+   more. The others go on, down to the length at which a pair at the threshold meets in some tree with the target recall; there, the first few of each prefix are taken out, until no two are
    left. Linked texts form candidate groups: texts that share a prefix by chance, or by boilerplate, are in none.
 3. Within a candidate group, all pairs of texts are verified by exact intersection counts. Groups beyond a block's bound are
    dealt as pairs of blocks. A block yields each text's number of links and a spanning forest of its links, never the pairs.
@@ -32,8 +32,8 @@ RECALL = 0.99999
 #: Estimated similarity from which texts are linked as candidates, and from which one represents the other. An estimate from 256 minima has a standard error of 0.03 at most. If b is 0.8 alike to a, and a to its
 #: representative r as well (0.72 at three standard errors), then b is at least 0.52 alike to r, as 1 - similarity is a metric: four standard errors above what links them.
 LINKED, SAME = 0.4, 0.8
-#: Rounds at the shortest prefix in which the first of each is compared; what is left then is linked without a comparison, which only makes groups larger.
-LAST_ROUNDS = 8
+#: Rounds at the shortest prefix in which up to four of each are compared with the others; what is left then is linked without a comparison, which only makes groups larger.
+LAST_ROUNDS = 3
 #: Texts and shingles of a block, about: two blocks' shingles and intersection counts are what a task holds.
 BLOCK_TEXTS = 512
 BLOCK_SHINGLES = 1_000_000
@@ -80,9 +80,15 @@ def candidates(texts: DataFrame, similarity: float, recall: float) -> DataFrame:
     links, depth, last = None, DEPTH, 0
     while True:
         at = open_.withColumn("prefix", prefix(depth))
-        first = at.groupBy("tree", "prefix").agg(F.min("node").alias("dst"), F.count("*").alias("size")).where("size > 1").drop("size")
-        met = stored(at.join(first, ["tree", "prefix"]).where("node != dst").select("tree", "node", "label", "dst"), "met")
-        pairs = met.select("node", "dst").distinct()
+        ends, by_hash = [F.min("node")], F.struct(F.xxhash64("node"), "node")
+        if depth == shortest and last < LAST_ROUNDS:
+            ends += [F.max("node"), F.min(by_hash)["node"], F.max(by_hash)["node"]]
+        first = at.groupBy("tree", "prefix").agg(F.array_distinct(F.array(*ends)).alias("firsts"), F.count("*").alias("size")).where("size > 1").drop("size")
+        # the first ones are compared with each other, too, once
+        is_first = F.array_contains("firsts", F.col("node"))
+        others = F.when(is_first, F.filter("firsts", lambda x: x < F.col("node"))).otherwise(F.col("firsts"))
+        met = stored(at.join(first, ["tree", "prefix"]).select("tree", "node", "label", is_first.alias("is_first"), others.alias("firsts")).where(F.size("firsts") > 0), "met")
+        pairs = met.select("node", F.explode("firsts").alias("dst")).distinct()
         if met.isEmpty():
             if depth == shortest:
                 break
@@ -96,14 +102,16 @@ def candidates(texts: DataFrame, similarity: float, recall: float) -> DataFrame:
         found = stored(found.where(F.col("alike") >= LINKED), "alike")
         own = found.select(F.col("node").alias("src"), "dst")
         links = own if links is None else links.unionAll(own)
-        same = found.where(F.col("alike") >= SAME).select("node", "dst")
+        # at most a first few of each tree
+        same = found.where(F.col("alike") >= SAME).groupBy("node").agg(F.collect_set("dst").alias("same"))
+        represented = F.coalesce(F.arrays_overlap("firsts", "same"), F.lit(False))
         if depth > shortest:
-            open_ = stored(open_.join(met.join(same, ["node", "dst"]).select("tree", "node"), ["tree", "node"], "left_anti"), "leaves")
+            open_ = stored(open_.join(met.join(same, "node").where(represented).select("tree", "node"), ["tree", "node"], "left_anti"), "leaves")
             depth -= 1
         elif last == LAST_ROUNDS:
             break
-        else:  # the first of each prefix has been compared with all others, and a text that met none is alone
-            open_ = stored(met.join(same, ["node", "dst"], "left_anti").select("node", "tree", "label"), "leaves")
+        else:  # the first of each prefix have been compared with all others, and a text that met none is alone
+            open_ = stored(met.where(~F.col("is_first")).join(same, "node", "left").where(~represented).select("node", "tree", "label"), "leaves")
             last += 1
     return links.distinct() if links is not None else texts.sparkSession.createDataFrame([], "src long, dst long")
 
