@@ -32,7 +32,7 @@ RECALL = 0.99999
 #: Estimated similarity from which texts are linked as candidates, and from which one represents the other. An estimate from 256 minima has a standard error of 0.03 at most. If b is 0.8 alike to a, and a to its
 #: representative r as well (0.72 at three standard errors), then b is at least 0.52 alike to r, as 1 - similarity is a metric: four standard errors above what links them.
 LINKED, SAME = 0.4, 0.8
-#: Rounds at the shortest prefix in which up to four of each are compared with the others; what is left then is linked without a comparison, which only makes groups larger.
+#: Rounds at the shortest prefix: in the first one text of each is compared with the others, then up to four; what is left then is linked without a comparison, which only makes groups larger.
 LAST_ROUNDS = 3
 #: Texts and shingles of a block, about: two blocks' shingles and intersection counts are what a task holds.
 BLOCK_TEXTS = 512
@@ -81,7 +81,8 @@ def candidates(texts: DataFrame, similarity: float, recall: float) -> DataFrame:
     while True:
         at = open_.withColumn("prefix", prefix(depth))
         ends, by_hash = [F.min("node")], F.struct(F.xxhash64("node"), "node")
-        if depth == shortest and last < LAST_ROUNDS:
+        # the large groups of near copies are settled by one, so that several are compared with what is left only
+        if depth == shortest and 0 < last < LAST_ROUNDS:
             ends += [F.max("node"), F.min(by_hash)["node"], F.max(by_hash)["node"]]
         first = at.groupBy("tree", "prefix").agg(F.array_distinct(F.array(*ends)).alias("firsts"), F.count("*").alias("size")).where("size > 1").drop("size")
         # the first ones are compared with each other, too, once
