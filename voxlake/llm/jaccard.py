@@ -2,7 +2,8 @@
 
 1. Documents with equal shingle sets are one text, whatever their number.
 2. A text has a label in each of the forest's trees: eight minima of a byte each, as one 64-bit number, so that labels in the order of their values are the leaves of a
-   prefix trie. Prefixes start as the whole label and are shortened a minimum at a time. Where texts share one, each is compared to the first of them by its whole signature (256 minima): one
+   prefix trie. Prefixes start as the whole label and are shortened a minimum at a time. Where texts share one, each is compared to the first of them (that which shares prefixes with most texts, so
+   that it is the first in many trees) by its whole signature (256 minima), no pair twice: one
    that is about half alike is linked to it; one that is nearly the same is from now on represented by it in this tree, and its prefix isn't shortened any
    more. The others go on, down to the length at which a pair at the threshold meets in some tree with the target recall; there, the first few of each prefix are taken out, until no two are
    left. Linked texts form candidate groups: texts that share a prefix by chance, or by boilerplate, are in none.
@@ -74,21 +75,24 @@ def candidates(texts: DataFrame, similarity: float, recall: float) -> DataFrame:
     shortest = depth_for(similarity, recall)
     prefix = lambda depth: F.shiftrightunsigned("label", 8 * (DEPTH - depth)) if depth < DEPTH else F.col("label")
     leaves = texts.select("node", F.posexplode("labels").alias("tree", "label"))
-    shared = leaves.groupBy("tree", prefix(shortest).alias("prefix")).agg(F.count("*").alias("size")).where("size > 1").drop("size")
-    # texts that are alone at the shortest prefix are alone at any
-    open_ = stored(leaves.withColumn("prefix", prefix(shortest)).join(shared, ["tree", "prefix"]).drop("prefix"), "leaves")
-    links, depth, last = None, DEPTH, 0
+    shared = leaves.groupBy("tree", prefix(shortest).alias("prefix")).agg(F.count("*").alias("size")).where("size > 1")
+    # texts that are alone at the shortest prefix are alone at any; the others come with the number of texts that they share one with in all trees
+    met_by = leaves.withColumn("prefix", prefix(shortest)).join(shared, ["tree", "prefix"]).groupBy("node").agg(F.sum("size").alias("size"), F.collect_list(F.struct("tree", "label")).alias("own"))
+    # the text that shares prefixes with most others is the first of each of its prefixes, so that trees agree on the first and a pair is compared once; ties by hash
+    order = F.shiftleft(F.least("size", F.lit((1 << 31) - 1)), 32).bitwiseOR(F.xxhash64("node").bitwiseAND(F.lit((1 << 32) - 1)))
+    open_ = stored(met_by.select("node", order.alias("order"), F.inline("own")), "leaves")
+    links, known, depth, last = None, None, DEPTH, 0
     while True:
         at = open_.withColumn("prefix", prefix(depth))
-        ends, by_hash = [F.min("node")], F.struct(F.xxhash64("node"), "node")
+        ends = [F.max_by("node", "order")]
         # the large groups of near copies are settled by one, so that several are compared with what is left only
         if depth == shortest and 0 < last < LAST_ROUNDS:
-            ends += [F.max("node"), F.min(by_hash)["node"], F.max(by_hash)["node"]]
+            ends += [F.min_by("node", "order"), F.min("node"), F.max("node")]
         first = at.groupBy("tree", "prefix").agg(F.array_distinct(F.array(*ends)).alias("firsts"), F.count("*").alias("size")).where("size > 1").drop("size")
         # the first ones are compared with each other, too, once
         is_first = F.array_contains("firsts", F.col("node"))
         others = F.when(is_first, F.filter("firsts", lambda x: x < F.col("node"))).otherwise(F.col("firsts"))
-        met = stored(at.join(first, ["tree", "prefix"]).select("tree", "node", "label", is_first.alias("is_first"), others.alias("firsts")).where(F.size("firsts") > 0), "met")
+        met = stored(at.join(first, ["tree", "prefix"]).select("tree", "node", "label", "order", is_first.alias("is_first"), others.alias("firsts")).where(F.size("firsts") > 0), "met")
         pairs = met.select("node", F.explode("firsts").alias("dst")).distinct()
         if met.isEmpty():
             if depth == shortest:
@@ -98,13 +102,15 @@ def candidates(texts: DataFrame, similarity: float, recall: float) -> DataFrame:
         if depth == shortest and last == LAST_ROUNDS:
             found = pairs.select("node", "dst", F.lit(1.0).alias("alike"))
         else:
+            new = pairs if known is None else pairs.join(known, ["node", "dst"], "left_anti")
             a, b = texts.select("node", F.col("labels").alias("own")), texts.select(F.col("node").alias("dst"), F.col("labels").alias("other"))
-            found = pairs.join(a, "node").join(b, "dst").select("node", "dst", _agreement(F.col("own"), F.col("other")).alias("alike"))
-        found = stored(found.where(F.col("alike") >= LINKED), "alike")
-        own = found.select(F.col("node").alias("src"), "dst")
+            found = new.join(a, "node").join(b, "dst").select("node", "dst", _agreement(F.col("own"), F.col("other")).alias("alike"))
+        found = stored(found, "alike")
+        known = found if known is None else known.unionAll(found)
+        own = found.where(F.col("alike") >= LINKED).select(F.col("node").alias("src"), "dst")
         links = own if links is None else links.unionAll(own)
-        # at most a first few of each tree
-        same = found.where(F.col("alike") >= SAME).groupBy("node").agg(F.collect_set("dst").alias("same"))
+        # at most a first few of each tree and round
+        same = known.where(F.col("alike") >= SAME).groupBy("node").agg(F.collect_set("dst").alias("same"))
         represented = F.coalesce(F.arrays_overlap("firsts", "same"), F.lit(False))
         if depth > shortest:
             open_ = stored(open_.join(met.join(same, "node").where(represented).select("tree", "node"), ["tree", "node"], "left_anti"), "leaves")
@@ -112,7 +118,7 @@ def candidates(texts: DataFrame, similarity: float, recall: float) -> DataFrame:
         elif last == LAST_ROUNDS:
             break
         else:  # the first of each prefix have been compared with all others, and a text that met none is alone
-            open_ = stored(met.where(~F.col("is_first")).join(same, "node", "left").where(~represented).select("node", "tree", "label"), "leaves")
+            open_ = stored(met.where(~F.col("is_first")).join(same, "node", "left").where(~represented).select("node", "order", "tree", "label"), "leaves")
             last += 1
     return links.distinct() if links is not None else texts.sparkSession.createDataFrame([], "src long, dst long")
 
