@@ -1,0 +1,91 @@
+import hashlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from voxlake.llm import exact_dedup
+from voxlake.llm.quotient_filter import CountingQuotientFilter, merged
+
+from . import helpers
+
+
+def built(values, bits):
+    fingerprints, counts = np.unique(np.array(values, dtype=np.uint64), return_counts=True)
+    return CountingQuotientFilter.of(fingerprints, counts, bits)
+
+
+def items(f):
+    return dict(zip(*(x.tolist() for x in f.items()), strict=True))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(2, 64), st.lists(st.integers(0, 2**64 - 1), max_size=60), st.integers(1, 3000))
+def test_a_filter_gives_back_its_fingerprints_and_counts(bits, values, copies):
+    values = [v >> (64 - bits) for v in values]
+    values += values[:1] * copies
+    f = CountingQuotientFilter.from_bytes(built(values, bits).to_bytes())
+    assert items(f) == Counter(values)
+    assert (np.diff(f.items()[0].astype(object)) > 0).all()
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 300), max_size=40), max_size=5))
+def test_merged_filters_are_the_filter_of_all(parts):
+    one, all_ = merged([built(p, 9) for p in parts], 9), built([v for p in parts for v in p], 9)
+    assert one.to_bytes() == all_.to_bytes()
+
+
+def test_filters_are_small():
+    f = built(np.random.default_rng(1).integers(0, 2**44, 100_000), 44)
+    assert len(f.to_bytes()) < 100_000 * 6
+
+
+def brute(rows):
+    groups = defaultdict(list)
+    for i, (doc_id, text) in enumerate(rows):
+        groups[text or ""].append((doc_id is not None, doc_id or 0, -i))
+    out = []
+    for text, members in groups.items():
+        has, top, _ = max(members)
+        kept = False
+        for is_id, doc_id, _ in sorted(members, reverse=True):
+            out.append((doc_id if is_id else None, top if has else None, len(members), not kept, hashlib.sha256(text.encode()).hexdigest()))
+            kept = True
+    return sorted(out, key=repr)
+
+
+def got(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("bits", [64, 20, 7])
+def test_classes_equal_brute_force(spark, bits):
+    rng = helpers.rng(3)
+    texts = [helpers.prose(rng, rng.randint(1, 30)) for _ in range(60)]
+    rows = helpers.odd_rows(rng) + [(rng.randint(0, 500), rng.choice(texts)) for _ in range(300)] + [(rng.randint(500, 3000), "hot") for _ in range(400)] + [(None, "no ids")] * 3 + [(1, "a"), (1, "a "), (2, "A")]
+    df = exact_dedup.classes(helpers.table(spark, rows, 7), bits)
+    assert df.columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    assert got(df) == brute(rows)
+
+
+def test_no_rows(spark):
+    assert exact_dedup.classes(helpers.empty(spark)).collect() == []
+
+
+def test_a_text_of_most_rows_is_salted(spark, monkeypatch):
+    rows = [(i, "the same" if i % 3 else f"other {i}") for i in range(3000)]
+    monkeypatch.setattr(exact_dedup, "FREQUENT", 1 / 8)
+    assert got(exact_dedup.classes(helpers.table(spark, rows, 16))) == brute(rows)
+
+
+def test_repeated_fingerprints_of_filters(spark):
+    rows = spark.createDataFrame([(v,) for v in [5, 5, 1 << 40, 7, 7, 7, -1, -1]], "fingerprint long").repartition(3)
+    filters = exact_dedup._merged_filters(exact_dedup._range_filters(rows, 64, 3), 64, 3, 9, 0.5)
+    assert sorted(map(tuple, exact_dedup.repeated_fingerprints(filters, 64, 3).collect())) == [(-1, 2), (5, 2), (7, 3)]
+
+
+def test_hot_copies_are_one_row_a_task_in_the_filters(spark):
+    rows = spark.range(0, 100_000, 1, 8).selectExpr("12345L AS fingerprint")
+    assert exact_dedup._range_filters(rows, 64, 6).count() == 8
