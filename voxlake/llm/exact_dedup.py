@@ -139,7 +139,8 @@ def classes(docs: DataFrame, bits: int = 64) -> DataFrame:
         .where("rows > 1")
     )
     agree = F.when((F.col("texts") == 1) & (F.col("n") == F.col("rows")), F.col("n")).otherwise(F.raise_error(F.lit("two texts have one SHA-256, or the table changed while it was read")).cast("long"))
-    groups = stays.join(same, "digest", "left").select("digest", "keep_id", "keep_row", agree.alias("group_size"))
+    # written, so that the join below has no aggregate on either side and Spark can split a text with very many copies
+    groups = stored(stays.join(same, "digest", "left").select("digest", "keep_id", "keep_row", agree.alias("group_size")), "classes")
     return rows.join(groups, "digest", "left").select(
         "doc_id",
         _of("keep_id", "doc_id").alias("keep_id"),
