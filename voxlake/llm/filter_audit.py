@@ -102,7 +102,8 @@ def cells(docs: DataFrame, labels: DataFrame) -> DataFrame:
     facts = stored(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"), bits.alias("failed"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest")), "facts"
     )
-    first = facts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    # written, so that the join below has no aggregate on either side and Spark can split a text with very many copies
+    first = stored(facts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"), "first")
     known = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic")).where("good = 1 OR toxic = 1")
     copy = F.when(F.col("doc_id") > F.col("first"), 1 << 4).otherwise(0)
     return (
