@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar, vector
 from ..model import INTERPOLATIONS, PLANE_AXES
-from ..operators import geometry, mapping, selection, transfer
-from ..sources import paths, shared, synthetic, volume_files
+from ..operators import blocked, geometry, mapping, selection, transfer
+from ..sources import blocks, paths, shared, synthetic, volume_files
 from ..streaming import events as ev
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -721,6 +721,51 @@ def brick_round_trip(spark, sf_dir):
     return back.select(F.col("image_id").alias("vec_id"), F.md5(text).alias("md5"))
 
 
+# the embeddings as one volume of 8 by 8 samples a plane, a plane for each vector
+_VOLUME = "c AS (SELECT u.pos::INT % 8 AS x, u.pos::INT // 8 AS y, vec_id::INT AS z, embedding[u.pos + 1]::DOUBLE AS v FROM embeddings, unnest(range(0, len(embedding))) AS u(pos))"
+
+
+def _blocked(spark, sf_dir) -> DataFrame:
+    """The volume written in the blocked layout, and read back."""
+    planes = _table(spark, sf_dir, "embeddings").select(L(0).cast("long").alias("image_id"), F.col("vec_id").cast("int").alias("z"), F.col("embedding").cast("array<double>").alias("data"))
+    path = f"{shared.new_dir(spark, 'blocks')}/data"
+    blocks.write(blocks.from_planes(planes, 8, (4, 4, 32)), path, 8)
+    return blocks.read(spark, path)
+
+
+@_query(f"WITH {_VOLUME} SELECT y AS u, z AS v, v AS value FROM c WHERE x = 5")
+def blocked_slice(spark, sf_dir):
+    """A plane across all planes of the file's order: only the blocks that it cuts are read."""
+    return blocked.plane_samples(blocked.slice_plane(_blocked(spark, sf_dir), "YZ", 5)).select("u", "v", "value")
+
+
+@_query(f"WITH {_VOLUME} SELECT x, y, z, v FROM c WHERE x BETWEEN 1 AND 2 AND y BETWEEN 3 AND 6 AND z BETWEEN 30 AND 170")
+def blocked_box(spark, sf_dir):
+    return blocked.samples(blocked.crop(_blocked(spark, sf_dir), {"x": (1, 2), "y": (3, 6), "z": (30, 170)})).select("x", "y", "z", "v")
+
+
+@_query(f"WITH {_VOLUME} SELECT x, y, z, v FROM c WHERE v BETWEEN 0.25 AND 9")
+def blocked_values(spark, sf_dir):
+    """A range of values: blocks are chosen by their zone map."""
+    return blocked.valued_between(_blocked(spark, sf_dir), 0.25, 9.0).select("x", "y", "z", "v")
+
+
+@_query(f"WITH {_VOLUME} SELECT z // 32 AS block, min(v) AS vmin, max(v) AS vmax FROM c GROUP BY ALL")
+def blocked_ranges(spark, sf_dir):
+    """Ranges from the zone map; no sample is read."""
+    return blocked.ranges(_blocked(spark, sf_dir).withColumn("block", F.floor(F.col("z0") / 32).cast("int")), "block")
+
+
+@_query(
+    f"WITH {_VOLUME}, o AS (SELECT x, y, z, 1 - pow(1 - least(abs(v), 0.95::DOUBLE) * 0.1::DOUBLE, 0.5::DOUBLE) AS o, v AS k FROM c), t AS (SELECT *, exp(sum(ln(1 - o)) OVER w) / (1 - o) AS clear FROM o WINDOW w AS (PARTITION BY x, y ORDER BY z ROWS UNBOUNDED PRECEDING)) "
+    "SELECT x, y, round(sum(clear * o * k), 6) AS colour, round(1 - exp(sum(ln(1 - o))), 6) AS opacity FROM t GROUP BY x, y"
+)
+def blocked_composite(spark, sf_dir):
+    """Rays through all planes, from one pair a ray and block; a step is half the unit distance."""
+    rays = blocked.composite(_blocked(spark, sf_dir), [(-0.95, 0.095), (0.0, 0.0), (0.95, 0.095)], [(-100.0, -100.0), (100.0, 100.0)], step_over_unit=0.5)
+    return rays.select("x", "y", F.round("colour", 6).alias("colour"), F.round("opacity", 6).alias("opacity"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranges, shift and scale, mapped samples, baseline window and opacity of a raster, end to end."""
     r = _raster(spark, sf_dir)
