@@ -766,6 +766,45 @@ def blocked_composite(spark, sf_dir):
     return rays.select("x", "y", F.round("colour", 6).alias("colour"), F.round("opacity", 6).alias("opacity"))
 
 
+# views of the plane of all vectors (u: position, v: vector) on a finer and on a coarser grid than the samples
+_GRIDS = {"fine": (40, 50, (0.25, 0.5), (0.375, 0.3)), "coarse": (20, 60, (1.0, 0.75), (3.0, 2.5))}
+_NEAREST = "CASE WHEN {t} > -0.5 AND {t} <= 0.5 THEN 1.0 ELSE 0.0 END"
+_LINEAR = "greatest(1 - abs({t}), 0)"
+_CUBIC = "CASE WHEN abs({t}) <= 1 THEN 1.5 * abs({t}) ** 3 - 2.5 * abs({t}) ** 2 + 1 WHEN abs({t}) < 2 THEN -0.5 * abs({t}) ** 3 + 2.5 * abs({t}) ** 2 - 4 * abs({t}) + 2 ELSE 0 END"
+
+
+def _view_sql(weight: str) -> str:
+    grids = " UNION ALL ".join(
+        f"SELECT '{name}' AS grid, a.i::INT AS i, b.j::INT AS j, {u0}::DOUBLE + a.i * {du}::DOUBLE AS pu, {v0}::DOUBLE + b.j * {dv}::DOUBLE AS pv FROM range({w}) a(i), range({h}) b(j)" for name, (w, h, (u0, v0), (du, dv)) in _GRIDS.items()
+    )
+    kernel = lambda t: "(" + weight.format(t=f"({t})") + ")"
+    return (
+        f"WITH {RASTER}, g AS ({grids}), s AS (SELECT grid, i, j, v, {kernel('pu - pos')} * {kernel('pv - vec_id')} AS w FROM g JOIN r ON pos > pu - 2 AND pos < pu + 2 AND vec_id > pv - 2 AND vec_id < pv + 2) "
+        "SELECT grid, i, j, round(sum(w * v) / sum(w), 6) AS value FROM s GROUP BY ALL"
+    )
+
+
+def _views(spark, sf_dir, mode: str) -> DataFrame:
+    plane = _raster(spark, sf_dir).select(L(0).cast("long").alias("image_id"), F.col("pos").alias("u"), F.col("vec_id").cast("int").alias("v"), F.col("v").alias("value"))
+    views = [selection.resampled(plane, w, h, first, step, mode).select(L(name).alias("grid"), F.col("u").alias("i"), F.col("v").alias("j"), F.round("value", 6).alias("value")) for name, (w, h, first, step) in _GRIDS.items()]
+    return views[0].unionByName(views[1])
+
+
+@_query(_view_sql(_NEAREST))
+def view_nearest(spark, sf_dir):
+    return _views(spark, sf_dir, "Nearest")
+
+
+@_query(_view_sql(_LINEAR))
+def view_linear(spark, sf_dir):
+    return _views(spark, sf_dir, "Linear")
+
+
+@_query(_view_sql(_CUBIC))
+def view_cubic(spark, sf_dir):
+    return _views(spark, sf_dir, "Cubic")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranges, shift and scale, mapped samples, baseline window and opacity of a raster, end to end."""
     r = _raster(spark, sf_dir)
