@@ -1,0 +1,91 @@
+import os
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from voxlake.streaming import registry
+
+SCHEMA = "event_id long, s long, frame long, kind string, image_id long, link_mode string, window double, level double"
+SHORT = 100
+
+
+def rows(seed=1, n=400):
+    rng = random.Random(seed)
+    out, s = [], 1_000_000
+    for i in range(n):
+        s += rng.choice([0, 0, 1, 5, 20, 60])
+        kind = rng.choice(["register", "register", "edit", "edit", "edit", "unregister"])
+        out.append((i, s, rng.randrange(8), kind, rng.choice([1, 1, 1, 2, None]), rng.choice(["Live", "Live", "EndOnly", "Disabled", None]), float(i), -float(i)))
+    return out
+
+
+def plain(data, expire):
+    """The bus, event by event."""
+    frames, told = {}, []
+    for i, s, frame, kind, image, mode, w, level in sorted(data, key=lambda r: (r[1], r[0])):
+        frames = {f: r for f, r in frames.items() if s < r[2] + expire}
+        if kind == "register":
+            frames[frame] = (image, mode, s)
+        elif kind == "unregister":
+            frames.pop(frame, None)
+        elif mode not in (None, "Disabled"):
+            told.append((i, frame, w, level))
+            told += [(i, f, w, level) for f, (other, m, _) in frames.items() if f != frame and image is not None and other == image and m not in (None, "Disabled")]
+    return sorted(told)
+
+
+def table(spark, data):
+    return spark.createDataFrame(data, SCHEMA).withColumn("ts", F.timestamp_seconds("s")).drop("s")
+
+
+@pytest.mark.parametrize("expire", [SHORT, 30, 100_000])
+def test_batch_equals_the_bus(spark, expire):
+    e = table(spark, rows()).repartition(4)
+    assert sorted(map(tuple, registry.broadcast(e, registry.intervals(e, expire), expire).collect())) == plain(rows(), expire)
+
+
+def test_registered_twice_is_told_once(spark):
+    data = [(1, 0, 1, "register", 5, "Live", None, None), (2, 1, 1, "register", 5, "Live", None, None), (3, 1, 2, "register", 5, "Live", None, None), (4, 2, 2, "edit", 5, "Live", 7.0, 8.0)]
+    e = table(spark, data)
+    assert sorted(map(tuple, registry.broadcast(e, registry.intervals(e)).collect())) == [(4, 1, 7.0, 8.0), (4, 2, 7.0, 8.0)]
+
+
+def test_stream_equals_batch_and_a_trigger_can_run_again(spark, tmp_path):
+    data = rows(3)
+    path, told, kept = (str(tmp_path / x) for x in ("in", "told", "registry"))
+    e = table(spark, data)
+    for n in range(5):
+        e.where(F.floor(F.col("event_id") / 80) == n).coalesce(1).write.mode("append").parquet(path)
+        for f in (os.path.join(path, f) for f in os.listdir(path) if f.startswith("part-")):
+            if os.path.getmtime(f) > 1_700_500_000:
+                os.utime(f, (1_700_000_000 + n, 1_700_000_000 + n))
+    step, failed = registry.on_trigger(kept, told, SHORT), []
+
+    def falling(batch, n):
+        step(batch, n)
+        if n == 2 and not failed:  # after all is written, before the trigger is noted as done
+            failed.append(n)
+            raise RuntimeError("the driver is lost")
+
+    def start():
+        s = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        s.writeStream.foreachBatch(falling).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+
+    with pytest.raises(Exception, match="driver is lost"):
+        start()
+    start()
+    assert sorted(map(tuple, spark.read.parquet(told).select("event_id", "target", "window", "level").collect())) == plain(data, SHORT)
+    assert len(registry._versions(spark, kept)) == 2
+    last = {r.frame for r in registry.live(spark, kept).collect()}
+    s = max(r[1] for r in data)
+    at = {}
+    for r in sorted(data, key=lambda r: (r[1], r[0])):
+        if r[3] != "edit":
+            at[r[2]] = r
+    assert last == {f for f, r in at.items() if r[3] == "register" and s < r[1] + SHORT}
+
+
+def test_nothing(spark):
+    e = table(spark, [])
+    assert registry.broadcast(e, registry.intervals(e)).count() == 0

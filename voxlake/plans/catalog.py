@@ -13,6 +13,7 @@ from ..model import INTERPOLATIONS, PLANE_AXES
 from ..operators import blocked, geometry, mapping, selection, transfer
 from ..sources import blocks, paths, shared, synthetic, volume_files
 from ..streaming import events as ev
+from ..streaming import registry, timers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -721,6 +722,48 @@ def brick_round_trip(spark, sf_dir):
     return back.select(F.col("image_id").alias("vec_id"), F.md5(text).alias("md5"))
 
 
+_CONTROL = "e AS (SELECT event_id, user_id, ts, CASE event_type WHEN 'click' THEN 'window' WHEN 'view' THEN 'level' WHEN 'error' THEN 'interactive' WHEN 'purchase' THEN 'commit' ELSE event_type END AS kind, CASE WHEN event_type = 'error' THEN event_id % 3 ELSE value END::DOUBLE AS value FROM events)"
+
+
+@_query(
+    f"WITH {_CONTROL}, g AS (SELECT *, kind IN ('window', 'level') AND value IS NOT NULL AND coalesce(last_value(CASE WHEN kind = 'interactive' THEN value <> 0 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), true) AS starts FROM e), "
+    "n AS (SELECT *, first_value(CASE WHEN starts THEN ts END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM g), "
+    "b AS (SELECT event_id, user_id, ts, kind, value FROM e UNION ALL SELECT event_id, user_id, ts + INTERVAL 5 HOUR, 'fire', NULL FROM n WHERE starts AND (after IS NULL OR after >= ts + INTERVAL 5 HOUR)), "
+    "v AS (SELECT *, last_value(CASE WHEN kind = 'window' THEN value END IGNORE NULLS) OVER w AS win, last_value(CASE WHEN kind = 'level' THEN value END IGNORE NULLS) OVER w AS level FROM b WINDOW w AS (PARTITION BY user_id ORDER BY ts, kind <> 'fire', event_id ROWS UNBOUNDED PRECEDING)) "
+    "SELECT user_id, event_id, epoch_us(ts) AS micros, CASE kind WHEN 'fire' THEN 'changed' ELSE 'committed' END AS told, win, level FROM v WHERE kind IN ('fire', 'commit') AND win IS NOT NULL AND level IS NOT NULL"
+)
+def wl_controller(spark, sf_dir):
+    """Edits behind a restartable timer and a gate, and commits."""
+    t = F.col("event_type")
+    kind = F.when(t == "click", "window").when(t == "view", "level").when(t == "error", "interactive").when(t == "purchase", "commit").otherwise(t)
+    value = F.when(t == "error", (F.col("event_id") % 3).cast("double")).otherwise(F.col("value"))
+    e = _events(spark, sf_dir).select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"), value.alias("value"))
+    out = timers.controller(e, "user_id", 5 * 3600 * 1000)
+    return out.select("user_id", "event_id", F.unix_micros("ts").alias("micros"), "told", F.col("window").alias("win"), "level")
+
+
+_BUS = (
+    "e AS (SELECT event_id, ts, user_id AS frame, CASE event_type WHEN 'click' THEN 'register' WHEN 'view' THEN 'register' WHEN 'error' THEN 'unregister' ELSE 'edit' END AS kind, (user_id + event_id % 2) % 40 AS image_id, "
+    "CASE event_id % 5 WHEN 0 THEN 'Disabled' WHEN 1 THEN 'EndOnly' ELSE 'Live' END AS link_mode, value FROM events)"
+)
+
+
+@_query(
+    f"WITH {_BUS}, c AS (SELECT *, lead((ts, event_id)) OVER (PARTITION BY frame ORDER BY ts, event_id) AS until FROM e WHERE kind <> 'edit'), d AS (SELECT * FROM e WHERE kind = 'edit' AND link_mode <> 'Disabled') "
+    "SELECT event_id, frame AS target, value AS win, -value AS level FROM d UNION ALL SELECT d.event_id, c.frame, d.value, -d.value FROM d JOIN c ON c.kind = 'register' AND c.link_mode <> 'Disabled' AND c.image_id = d.image_id AND c.frame <> d.frame "
+    "AND (d.ts, d.event_id) > (c.ts, c.event_id) AND (c.until IS NULL OR (d.ts, d.event_id) < c.until) AND d.ts < c.ts + INTERVAL 5 DAY"
+)
+def bus_broadcast(spark, sf_dir):
+    """Edits told to the frames of the same image that are registered at that moment, the sender among them."""
+    t, k = F.col("event_type"), F.col("event_id") % 5
+    kind = F.when(t.isin("click", "view"), "register").when(t == "error", "unregister").otherwise("edit")
+    mode = F.when(k == 0, "Disabled").when(k == 1, "EndOnly").otherwise("Live")
+    image = (F.col("user_id") + F.col("event_id") % 2) % 40
+    e = _events(spark, sf_dir).select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("frame"), kind.alias("kind"), image.alias("image_id"), mode.alias("link_mode"), F.col("value").alias("window"), (-F.col("value")).alias("level"))
+    expire = 5 * 24 * 3600
+    return registry.broadcast(e, registry.intervals(e, expire), expire).select("event_id", "target", F.col("window").alias("win"), "level")
+
+
 # the embeddings as one volume of 8 by 8 samples a plane, a plane for each vector
 _VOLUME = "c AS (SELECT u.pos::INT % 8 AS x, u.pos::INT // 8 AS y, vec_id::INT AS z, embedding[u.pos + 1]::DOUBLE AS v FROM embeddings, unnest(range(0, len(embedding))) AS u(pos))"
 
