@@ -1,0 +1,79 @@
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tests.conftest import DATA
+from voxlake.streaming import events as ev
+from voxlake.streaming import scan
+
+W = ["ts", "event_id"]
+
+
+@pytest.fixture(scope="module")
+def events(spark):
+    """Most events are one user's, some have none; values and the kinds of events have nulls, and some times are the same."""
+    user = F.when(F.col("event_id") % 10 < 7, 1).when(F.col("event_id") % 10 == 7, None).otherwise(F.col("user_id") % 3 + 2)
+    k = F.col("event_id") % 20
+    kind = F.when(k.isin(0, 7), "link").when(k == 11, "unlink").otherwise("edit")
+    view = F.get(F.array(*map(F.lit, ("VOLUME", "YZ", "XZ", "XY"))), (F.col("event_id") % 4).cast("int"))
+    e = spark.read.parquet(f"{DATA}/events.parquet").where("event_id < 700")
+    ts = F.date_trunc("hour", F.col("ts").cast("timestamp"))
+    return e.select("event_id", user.cast("long").alias("user_id"), ts.alias("ts"), "event_type", F.when(F.col("event_id") % 9 != 0, F.floor(F.col("value") / 20)).cast("double").alias("value"), kind.alias("kind"), view.alias("view")).cache()
+
+
+def cases(e):
+    wl = e.select("*", F.col("value").alias("window"), (-F.col("value")).alias("level"), (F.col("event_id") % 30).cast("int").alias("lo"), (F.col("event_id") % 5).cast("int").alias("hi"))
+    return {
+        "debounce": lambda: ev.debounce(e, ["user_id"], 7200),
+        "dedupe": lambda: ev.dedupe_consecutive(e, ["user_id"], ["value"], W),
+        "baseline": lambda: ev.baseline_retained(e, ["user_id"], "value", W),
+        "combine": lambda: ev.combine_latest(e, ["user_id"], {"click": "x", "view": "y"}, "value", W, "event_type"),
+        "toggled": lambda: ev.toggled(e, ["user_id"], F.col("event_type") == "click", W),
+        "linked": lambda: ev.linked(wl, ["user_id"], W),
+        "positions": lambda: ev.positions(wl, ["user_id"], W, "lo", "hi", (2, 25), F.col("event_id") % 3 > 0, (3, 9)),
+        "two keys": lambda: ev.dedupe_consecutive(e.withColumn("half", F.col("event_id") % 2), ["user_id", "half"], ["event_type"], W),
+    }
+
+
+@pytest.mark.parametrize("name", ["debounce", "dedupe", "baseline", "combine", "toggled", "linked", "positions", "two keys"])
+def test_blocks_change_nothing(spark, events, monkeypatch, name):
+    make = cases(events)[name]
+    whole = make()
+    monkeypatch.setattr(scan, "BLOCK_ROWS", 40)
+    cut = make()
+    assert "_block" in cut._jdf.queryExecution().optimizedPlan().toString() and "_block" not in whole._jdf.queryExecution().optimizedPlan().toString()
+    assert cut.columns == whole.columns
+    key = lambda df: sorted(repr(tuple(r)) for r in df.collect())
+    assert key(cut) == key(whole)
+
+
+def test_a_hot_key_is_many_tasks(spark, events, monkeypatch):
+    monkeypatch.setattr(scan, "BLOCK_ROWS", 40)
+    one = events.withColumn("user_id", F.lit(1).cast("long"))
+    blocks = scan.blocks_of(one, ["user_id"], W)
+    sizes = [r["count"] for r in blocks.numbered(one).groupBy("_block").count().collect()]
+    assert len(sizes) >= 10 and max(sizes) <= 60
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        rows = scan.scanned(one, ["user_id"], W, {"n": scan.total(F.lit(1))})
+        tasks = rows.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("count"), F.sum("n")).collect()
+        assert len(tasks) >= 8 and max(r["count"] for r in tasks) <= 200
+        plain = one.withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy(*W)))
+        assert rows.select("event_id", "n").exceptAll(plain.select("event_id", "n")).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_many_events_of_one_moment(spark, monkeypatch):
+    monkeypatch.setattr(scan, "BLOCK_ROWS", 10)
+    e = spark.range(200).selectExpr("id AS event_id", "1L AS user_id", "timestamp_seconds(1000) AS ts", "double(id) AS value")
+    assert [r.baseline for r in ev.baseline_retained(e, ["user_id"], "value", W).collect()] == [0.0] * 200
+
+
+def test_numbers_and_nulls_order_too(spark, monkeypatch):
+    monkeypatch.setattr(scan, "BLOCK_ROWS", 10)
+    e = spark.range(100).selectExpr("id AS event_id", "1L AS user_id", "CASE WHEN id % 7 = 0 THEN NULL ELSE int(id % 50) END AS at", "double(id) AS value")
+    got = {r.event_id: r.n for r in scan.scanned(e, ["user_id"], ["at", "event_id"], {"n": scan.total(F.lit(1))}).collect()}
+    assert [i for i, _ in sorted(got.items(), key=lambda x: x[1])] == sorted(range(100), key=lambda i: (i % 7 > 0, (i % 50) if i % 7 else 0, i))

@@ -13,7 +13,7 @@ from ..model import INTERPOLATIONS, PLANE_AXES
 from ..operators import blocked, geometry, mapping, selection, transfer
 from ..sources import blocks, paths, shared, synthetic, volume_files
 from ..streaming import events as ev
-from ..streaming import registry, timers
+from ..streaming import registry, scan, timers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -722,6 +722,19 @@ def brick_round_trip(spark, sf_dir):
     return back.select(F.col("image_id").alias("vec_id"), F.md5(text).alias("md5"))
 
 
+@_query(
+    "SELECT event_id, row_number() OVER w AS n, last_value(CASE WHEN event_type = 'click' THEN value END IGNORE NULLS) OVER w AS click, first_value(value) OVER w AS baseline, lag(event_type) OVER (ORDER BY ts, event_id) AS before "
+    "FROM events WINDOW w AS (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"
+)
+def one_key_scan(spark, sf_dir):
+    """All events as those of one image, in blocks of about 500 that are scanned by different tasks."""
+    e = _events(spark, sf_dir).select("event_id", L(1).alias("image_id"), F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    key, order = ["image_id"], ["ts", "event_id"]
+    columns = {"n": scan.total(L(1)), "click": scan.last(F.when(F.col("event_type") == "click", F.col("value"))), "baseline": scan.first(F.col("value")), "before": scan.before(F.col("event_type"))}
+    out = scan.scanned(e, key, order, columns, scan.blocks_of(e, key, order, 500))
+    return out.select("event_id", "n", "click", "baseline", F.col("before.v").alias("before"))
+
+
 _CONTROL = "e AS (SELECT event_id, user_id, ts, CASE event_type WHEN 'click' THEN 'window' WHEN 'view' THEN 'level' WHEN 'error' THEN 'interactive' WHEN 'purchase' THEN 'commit' ELSE event_type END AS kind, CASE WHEN event_type = 'error' THEN event_id % 3 ELSE value END::DOUBLE AS value FROM events)"
 
 

@@ -1,4 +1,7 @@
-"""Interaction behaviours over event tables, as window and join plans. Every one is partitioned by a key, and ordered by time and event id."""
+"""Interaction behaviours over event tables, as scans, aggregates and joins.
+
+Every one is by a key, in the order of time and event id. Scans cut a key with very many events into blocks of time (``scan``).
+"""
 
 from __future__ import annotations
 
@@ -6,17 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import LINKED_LEVEL, LINKED_WINDOW, RECENT, VIEWS
-
-
-def _in_order(key: list[str], order: list[str]):
-    return Window.partitionBy(*key).orderBy(*order)
+from . import scan
 
 
 def debounce(events: DataFrame, key: list[str], gap_seconds: float, ts: str = "ts", tie: str = "event_id") -> DataFrame:
     """The events after which nothing comes for ``gap_seconds``: what a restartable single-shot timer lets through."""
-    later = F.lead(ts).over(_in_order(key, [ts, tie]))
-    quiet = F.unix_micros(later.cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp")) >= int(gap_seconds * 1_000_000)
-    return events.withColumn("_quiet", F.coalesce(quiet, F.lit(True))).where("_quiet").drop("_quiet")
+    rows = scan.scanned(events, key, [ts, tie], {"_later": scan.after(F.col(ts))})
+    quiet = F.unix_micros(F.col("_later.v").cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp")) >= int(gap_seconds * 1_000_000)
+    return rows.where(F.coalesce(quiet, F.lit(True))).drop("_later")
 
 
 def committed(events: DataFrame, kind: str = "commit", column: str = "kind") -> DataFrame:
@@ -26,10 +26,8 @@ def committed(events: DataFrame, kind: str = "commit", column: str = "kind") ->
 
 def dedupe_consecutive(events: DataFrame, key: list[str], values: list[str], order: list[str]) -> DataFrame:
     """Events whose values differ from those of the event before (the first is kept). A-B-A stays three events."""
-    w = _in_order(key, order)
-    now, before = F.struct(*values), F.lag(F.struct(*values)).over(w)
-    first = F.row_number().over(w) == 1
-    return events.withColumn("_new", first | ~now.eqNullSafe(before)).where("_new").drop("_new")
+    rows = scan.scanned(events, key, order, {"_before": scan.before(F.struct(*values))})
+    return rows.where(F.col("_before").isNull() | ~F.struct(*values).eqNullSafe(F.col("_before.v"))).drop("_before")
 
 
 def user_only(events: DataFrame) -> DataFrame:
@@ -51,7 +49,7 @@ def broadcast_peers(events: DataFrame, frames: DataFrame, key: str = "image_id",
 
 def baseline_retained(events: DataFrame, key: list[str], value: str, order: list[str]) -> DataFrame:
     """Each event with its image's first value as ``baseline``."""
-    return events.withColumn("baseline", F.first(value).over(_in_order(key, order).rowsBetween(Window.unboundedPreceding, 0)))
+    return scan.scanned(events, key, order, {"baseline": scan.first(F.col(value))})
 
 
 def reset_to_baseline(events: DataFrame, value: str, baseline: str = "baseline", kind: str = "kind") -> DataFrame:
@@ -61,8 +59,7 @@ def reset_to_baseline(events: DataFrame, value: str, baseline: str = "baseline",
 
 def combine_latest(events: DataFrame, key: list[str], kinds: dict[str, str], value: str, order: list[str], kind: str = "kind") -> DataFrame:
     """Each event with the latest value of every kind so far, in the columns ``kinds`` names."""
-    w = _in_order(key, order).rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumns({name: F.last(F.when(F.col(kind) == k, F.col(value)), ignorenulls=True).over(w) for k, name in kinds.items()})
+    return scan.scanned(events, key, order, {name: scan.last(F.when(F.col(kind) == k, F.col(value))) for k, name in kinds.items()})
 
 
 def exclusive_selection(events: DataFrame, key: list[str], view: str, order: list[str]) -> DataFrame:
@@ -83,8 +80,7 @@ def last_of_batch(events: DataFrame, key: list[str], order: list[str]) -> DataFr
 
 def toggled(events: DataFrame, key: list[str], press: Column, order: list[str]) -> DataFrame:
     """A switch that every press turns over, off at first."""
-    count = F.sum(press.cast("int")).over(_in_order(key, order).rowsBetween(Window.unboundedPreceding, 0))
-    return events.withColumn("on", count % 2 == 1)
+    return scan.scanned(events, key, order, {"on": scan.total(press.cast("int"))}).withColumn("on", F.col("on") % 2 == 1)
 
 
 def key_command(key: Column, modified: Column) -> Column:
@@ -110,15 +106,15 @@ def linked(events: DataFrame, key: list[str], order: list[str], view: str = "vie
     follows the edits of any of them; at 'unlink' each goes on from it. Linking what is linked changes nothing. Edits of other views are of no account.
     """
     slices = [v for v in VIEWS if v != "VOLUME"]
-    w = _in_order(key, order)
-    state = F.last(F.when(F.col(kind).isin("link", "unlink"), F.col(kind) == "link"), ignorenulls=True)
-    before = F.coalesce(state.over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
-    e = events.withColumn("_linked", before).withColumn("target", F.explode(F.array(*map(F.lit, slices))))
+    blocks = scan.blocks_of(events, key, order)
+    state = scan.last(F.when(F.col(kind).isin("link", "unlink"), F.col(kind) == "link"), inclusive=False)
+    e = scan.scanned(events, key, order, {"_linked": state}, blocks).withColumn("_linked", F.coalesce("_linked", F.lit(False)))
+    e = e.withColumn("target", F.explode(F.array(*map(F.lit, slices))))
     own = F.col(view).isin(*slices) & (F.col("_linked") | (F.col(view) == F.col("target")))
     setting = F.when((F.col(kind) == "link") & ~F.col("_linked"), F.struct(F.lit(LINKED_WINDOW).alias("w"), F.lit(LINKED_LEVEL).alias("l")))
     setting = setting.when((F.col(kind) == "edit") & own, F.struct(F.col(window).cast("double").alias("w"), F.col(level).cast("double").alias("l")))
-    shown = F.last(setting, ignorenulls=True).over(_in_order([*key, "target"], order).rowsBetween(Window.unboundedPreceding, 0))
-    return e.withColumn("_shown", shown).withColumns({"shown_window": F.col("_shown.w"), "shown_level": F.col("_shown.l")}).drop("_linked", "_shown")
+    shown = scan.scanned(e, [*key, "target"], order, {"_shown": scan.last(setting)}, blocks)
+    return shown.withColumns({"shown_window": F.col("_shown.w"), "shown_level": F.col("_shown.l")}).drop("_linked", "_shown")
 
 
 def positions(events: DataFrame, key: list[str], order: list[str], lo: str, hi: str, bounds: tuple[int, int], tracking: Column, start: tuple[int, int]) -> DataFrame:
@@ -126,14 +122,14 @@ def positions(events: DataFrame, key: list[str], order: list[str], lo: str, hi:
 
     An event that leaves both positions as they were is none. Values follow positions while ``tracking``, and stay otherwise.
     """
-    w = _in_order(key, order)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    blocks = scan.blocks_of(events, key, order)
     a, b = (F.least(F.greatest(F.col(c), F.lit(bounds[0])), F.lit(bounds[1])) for c in (lo, hi))
     now, first = F.struct(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")), F.struct(F.lit(start[0]).alias("lo"), F.lit(start[1]).alias("hi"))
-    e = events.withColumn("_now", now).withColumn("_moved", ~F.coalesce(F.lag("_now").over(w), first).eqNullSafe(F.col("_now")))
-    values = F.coalesce(F.last(F.when(F.col("_moved") & tracking, F.col("_now")), ignorenulls=True).over(upto), first)
-    out = e.withColumn("_values", values).where("_moved")
-    return out.withColumns({f"{n}_{end}": F.col(f"_{c}.{end}") for n, c in (("position", "now"), ("value", "values")) for end in ("lo", "hi")}).drop("_now", "_moved", "_values")
+    e = scan.scanned(events.withColumn("_now", now), key, order, {"_before": scan.before(F.col("_now"))}, blocks)
+    e = e.withColumn("_moved", ~F.coalesce("_before.v", first).eqNullSafe(F.col("_now")))
+    values = scan.scanned(e, key, order, {"_values": scan.last(F.when(F.col("_moved") & tracking, F.col("_now")))}, blocks)
+    out = values.withColumn("_values", F.coalesce("_values", first)).where("_moved")
+    return out.withColumns({f"{n}_{end}": F.col(f"_{c}.{end}") for n, c in (("position", "now"), ("value", "values")) for end in ("lo", "hi")}).drop("_now", "_before", "_moved", "_values")
 
 
 def mru_topk(opened: DataFrame, key: list[str], item: str, order: list[str], k: int = RECENT) -> DataFrame:
