@@ -1,4 +1,4 @@
-"""Volume files: Scanco ISQ, and uncompressed little-endian DICOM series.
+"""Volume files: Scanco ISQ, and DICOM series (see ``dicom`` for the forms that are read).
 
 Paths become files, files headers, headers planes (``planes``); each step is a table, so files of a directory are opened by many tasks and a series is a window.
 Headers are read alone (``headers``), and samples plane by plane (``bricks``): a plane is a task's unit, and only its bytes are read. Both take the table of
@@ -6,12 +6,14 @@ planes in place of paths, so that it is made once. Files are opened on the execu
 local path on a shared disk.
 
 Definitions: an ISQ file has a header of 512 bytes, the samples (16-bit, x fastest, then y, z) follow ``(data_offset + 1) * 512`` bytes from the start; spacing is the physical size over the number of samples. Rows
-stay in the file's order; nothing is flipped. A directory is its first series by UID; a single DICOM file stands for its own series.
+stay in the file's order; nothing is flipped. A directory is its first series by UID; a single DICOM file stands for its own series. The planes of a series are in the order of their
+positions along the normal (of instance numbers where a plane has no position), and lie as far apart as most of them do (``series_geometry`` tells whether all do).
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,13 +22,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import BRICK, VOLUME
+from . import dicom
 from .paths import DICOM, SCANCO
 
 ISQ_MAGIC = b"CTDATA-HEADER_V1"
 IDENTITY = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
-#: Value representations whose explicit form has a 4-byte length.
-LONG_VR = {b"OB", b"OW", b"OF", b"OD", b"SQ", b"UT", b"UN", b"UC", b"UR", b"OL"}
-EXPLICIT, IMPLICIT = "1.2.840.10008.1.2.1", "1.2.840.10008.1.2"
 
 
 def _open(path: str):
@@ -46,81 +46,6 @@ def isq_header(data: bytes) -> dict:
     return {"n": (nx, ny, nz), "spacing": tuple(u / 1000 / max(n, 1) for u, n in zip((ux, uy, uz), (nx, ny, nz), strict=True)), "at": (offset + 1) * 512}
 
 
-def dicom_elements(f, until: int = 0x7FE00010) -> Iterator[tuple[int, int, int, bytes | None]]:
-    """(tag, offset, length, value) of top-level elements up to the pixel data, whose value isn't read."""
-    f.seek(128)
-    if f.read(4) != b"DICM":
-        raise ValueError("not a DICOM file")
-    explicit, syntax = True, EXPLICIT
-    while len(head := f.read(4)) == 4:
-        group, element = struct.unpack("<HH", head)
-        tag = group << 16 | element
-        if group != 2 and syntax == IMPLICIT:
-            explicit = False
-        vr = b""
-        if explicit:
-            vr = f.read(2)
-            if vr in LONG_VR:
-                f.read(2)
-                (length,) = struct.unpack("<I", f.read(4))
-            else:
-                (length,) = struct.unpack("<H", f.read(2))
-        else:
-            (length,) = struct.unpack("<I", f.read(4))
-        if tag == until:
-            yield tag, f.tell(), length, None
-            return
-        if length == 0xFFFFFFFF:
-            _skip_undefined(f)
-            continue
-        value = f.read(length)
-        if tag == 0x00020010:
-            syntax = value.rstrip(b"\0 ").decode()
-            if syntax not in (EXPLICIT, IMPLICIT):
-                raise ValueError(f"transfer syntax {syntax} isn't supported")
-        yield tag, f.tell() - length, length, value
-
-
-def _skip_undefined(f) -> None:
-    """Past the end of a sequence of undefined length."""
-    depth, window = 1, b""
-    while depth:
-        one = f.read(2)
-        if len(one) < 2:
-            raise ValueError("a sequence has no end")
-        window = (window + one)[-8:]
-        if window[-4:] == b"\xfe\xff\xdd\xe0" if len(window) >= 4 else False:
-            f.read(4)
-            depth -= 1
-
-
-def dicom_header(f) -> dict:
-    """What is needed of one file: series, instance, size, spacing, position, orientation and the place of the samples."""
-    text, out = {}, {"pixels": None}
-    for tag, at, length, value in dicom_elements(f):
-        if value is None:
-            out["pixels"] = (at, length)
-        else:
-            text[tag] = value
-    word = lambda tag, default=0: struct.unpack("<H", text[tag][:2])[0] if len(text.get(tag, b"")) >= 2 else default
-    said = lambda tag: text.get(tag, b"").rstrip(b"\0 ").decode("latin-1")
-    numbers = lambda tag, default: [float(x) for x in said(tag).split("\\")] if said(tag) else default
-    rows, columns = numbers(0x00280030, [1.0, 1.0])
-    thick = numbers(0x00180088, numbers(0x00180050, [1.0]))[0]
-    return out | {
-        "series": said(0x0020000E),
-        "instance": int(said(0x00200013) or 0),
-        "n": (word(0x00280011), word(0x00280010)),
-        "spacing": (columns, rows, thick),
-        "origin": tuple(numbers(0x00200032, [0.0, 0.0, 0.0])),
-        "orientation": numbers(0x00200037, IDENTITY[:3] + IDENTITY[3:6]),
-        "bits": word(0x00280100, 16),
-        "signed": word(0x00280103) == 1,
-        "slope": numbers(0x00281053, [1.0])[0],
-        "intercept": numbers(0x00281052, [0.0])[0],
-    }
-
-
 def can_read(path: str) -> bool:
     """Whether the path is a directory, a Scanco file with a good header, or a file with a DICOM ending. Errors count as no."""
     try:
@@ -160,31 +85,35 @@ def _listed(image_id: int | None, path: str, explicit: str | None) -> Iterator[t
         raise ValueError(f"{path}: no series")
 
 
-def _header(format: str, file: str, alone: bool) -> tuple | None:
-    """(series, instance, nx, ny, nz, spacing, origin, direction, scalar_type, at, slope, intercept) of a file; none where a directory's file is no image, a null place where it has no samples."""
+def _planes_of(format: str, file: str, alone: bool) -> list[tuple]:
+    """The planes of a file, without their samples, as rows of ``_FACTS``; none where a directory's file isn't DICOM, or has no samples. Any other fault is an error that names the file."""
     where, name = _open(file)
-    with where.open_input_file(name) as f:
-        if format == "ISQ":
-            h = isq_header(f.read(512))
-            return ("", 0, *h["n"], list(h["spacing"]), [0.0, 0.0, 0.0], IDENTITY, "short", h["at"], 1.0, 0.0)
-        try:
-            h = dicom_header(f)
-        except ValueError:
-            if alone:
-                raise
-            return None
-    a, b = h["orientation"][:3], h["orientation"][3:]
-    normal = [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
-    kind = {(8, False): "uchar", (8, True): "schar", (16, False): "ushort", (16, True): "short"}.get((h["bits"], h["signed"]))
-    if kind is None:
-        raise ValueError(f"{file}: {h['bits']} bits")
-    direction = [v for i in range(3) for v in (a[i], b[i], normal[i])]
-    return (h["series"], h["instance"], *h["n"], 1, list(h["spacing"]), list(h["origin"]), direction, kind, h["pixels"][0] if h["pixels"] else None, h["slope"], h["intercept"])
+    try:
+        with where.open_input_file(name) as f:
+            if format == "ISQ":
+                h = isq_header(f.read(512))
+                nx, ny, nz = h["n"]
+                same = ("", 0, nx, ny, list(h["spacing"]), [0.0, 0.0, 0.0], None, IDENTITY, "short", "raw", 16, 15, 1.0, 0.0)
+                return [(z, *same, [(h["at"] + 2 * z * nx * ny, 2 * nx * ny)]) for z in range(nz)]
+            return [tuple(x[k] for k in _NAMES) for x in dicom.frames(f)]
+    except dicom.NotDicom:
+        if alone:
+            raise
+        return []
+    except ValueError as e:
+        raise ValueError(f"{file}: {e}") from e
 
 
 _FILE = "image_id long, path string, format string, file string, alone boolean"
-_FACTS = "series string, instance int, nx int, ny int, nz int, spacing array<double>, origin array<double>, direction array<double>, scalar_type string, at long, slope double, intercept double"
-_KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
+_FACTS = (
+    "frame int, series string, instance int, nx int, ny int, spacing array<double>, origin array<double>, along double, direction array<double>, scalar_type string, encoding string, "
+    "stored int, high int, slope double, intercept double, parts array<struct<at:long,length:long>>"
+)
+_NAMES = [x.split()[0] for x in _FACTS.split(", ")]
+_PART = pa.struct([("at", pa.int64()), ("length", pa.int64())])
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "array<double>": pa.list_(pa.float64()), "array<struct<at:long,length:long>>": pa.list_(_PART)}
+#: Of the least distance that most planes have: what a gap may differ from it, or a number of times it.
+EVEN = 0.01
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -213,7 +142,7 @@ def planes(spark: SparkSession, paths: list[str] | DataFrame, explicit: str | No
 
     def opened(batches):
         for batch in batches:
-            rows = [(*x, *(_header(x[2], x[3], x[4]) or [None] * 12)) for x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            rows = [(*x, *p) for x in zip(*(c.to_pylist() for c in batch.columns), strict=True) for p in _planes_of(*x[2:]) or [[None] * len(_NAMES)]]
             if rows:
                 yield _batch(rows, f"{_FILE}, {_FACTS}")
 
@@ -221,22 +150,22 @@ def planes(spark: SparkSession, paths: list[str] | DataFrame, explicit: str | No
     listing = paths.select(F.col("image_id").cast("long"), "path").repartition(tasks).mapInArrow(listed, _FILE).repartition(tasks)
     files = listing.mapInArrow(opened, f"{_FILE}, {_FACTS}")
     volume = Window.partitionBy("image_id", "path")
-    wanted = F.coalesce(F.max(F.when(F.col("alone") & F.col("at").isNotNull(), F.col("series"))).over(volume), F.min(F.when(F.col("at").isNotNull(), F.col("series"))).over(volume))
+    there = F.col("parts").isNotNull()
+    wanted = F.coalesce(F.max(F.when(F.col("alone") & there, F.col("series"))).over(volume), F.min(F.when(there, F.col("series"))).over(volume))
     files = files.withColumn("wanted", wanted)
-    files = files.where(F.when(F.col("wanted").isNull(), F.raise_error(F.concat("path", F.lit(": no series"))).cast("boolean")).otherwise((F.col("series") == F.col("wanted")) & F.col("at").isNotNull()))
-    order = volume.orderBy("instance", "file")
+    files = files.where(F.when(F.col("wanted").isNull(), F.raise_error(F.concat("path", F.lit(": no series"))).cast("boolean")).otherwise((F.col("series") == F.col("wanted")) & there))
+    # by position, unless a plane has none
+    files = files.withColumn("along", F.when(F.count("along").over(volume) == F.count("*").over(volume), F.col("along")))
+    order = volume.orderBy("along", "instance", "file", "frame")
     shared = ["scalar_type", "spacing", "origin", "direction"]
-    is_isq = F.col("format") == "ISQ"
-    files = files.withColumns({"nth": F.row_number().over(order) - 1, "files": F.count("*").over(volume).cast("int"), **{c: F.first(c).over(order) for c in shared}})
-    # an ISQ file has all planes of its volume, a DICOM file one
-    z = F.when(is_isq, F.when(F.col("nz") > 0, F.sequence(F.lit(0), F.col("nz") - 1))).otherwise(F.array("nth"))
-    files = files.withColumn("z", F.explode(z)).withColumn("nz", F.when(is_isq, F.col("nz")).otherwise(F.col("files")))
-    at = F.col("at") + F.when(is_isq, 2 * F.col("z").cast("long") * F.col("nx") * F.col("ny")).otherwise(0)
-    return files.withColumn("at", at).select("image_id", "path", "format", "scalar_type", "z", "file", "at", "nx", "ny", "nz", "spacing", "origin", "direction", "slope", "intercept")
+    files = files.withColumns({"z": F.row_number().over(order) - 1, "nz": F.count("*").over(volume).cast("int"), "gap": F.col("along") - F.lag("along").over(order), **{c: F.first(c).over(order) for c in shared}})
+    apart = F.median(F.when(F.col("gap") > 0, F.col("gap"))).over(volume)
+    spacing = F.transform("spacing", lambda v, i: F.when(i == 2, F.coalesce(apart, v)).otherwise(v))
+    return files.withColumn("spacing", spacing).select("image_id", "path", "format", "scalar_type", "z", "file", "frame", "nx", "ny", "nz", "spacing", "origin", "direction", "gap", "encoding", "stored", "high", "slope", "intercept", "parts")
 
 
 def _made(spark: SparkSession, paths: list[str] | DataFrame, explicit: str | None) -> DataFrame:
-    return paths if isinstance(paths, DataFrame) and "at" in paths.columns else planes(spark, paths, explicit)
+    return paths if isinstance(paths, DataFrame) and "parts" in paths.columns else planes(spark, paths, explicit)
 
 
 def headers(spark: SparkSession, paths: list[str] | DataFrame, explicit: str | None = None) -> DataFrame:
@@ -249,18 +178,35 @@ def headers(spark: SparkSession, paths: list[str] | DataFrame, explicit: str | N
     return out.select(*(F.col(x.name).cast(x.dataType) for x in VOLUME))
 
 
-def _samples(r: dict) -> list[float]:
-    import numpy as np
+def series_geometry(spark: SparkSession, paths: list[str] | DataFrame, explicit: str | None = None) -> DataFrame:
+    """image_id, path, planes, spacing, least_gap, greatest_gap, missing, repeated, even: how the planes of each volume lie along its normal. No sample is read.
 
+    ``spacing`` is the median of the gaps; ``missing`` the planes that would fill gaps of a whole number of spacings; ``repeated`` the planes at the position of the one before;
+    ``even`` says that every gap is a spacing. Gaps are null where a plane has no position, as in an ISQ file, and such a volume counts as even.
+    """
+    p = _made(spark, paths, explicit).withColumn("apart", F.get("spacing", F.lit(2)))
+    times = F.col("gap") / F.col("apart")
+    gaps = F.round(times)
+    hole = F.when((F.abs(times - gaps) <= EVEN * gaps) & (gaps > 1), gaps - 1).otherwise(0)
+    return p.groupBy("image_id", "path").agg(
+        F.count("*").alias("planes"),
+        F.first("apart").alias("spacing"),
+        F.min("gap").alias("least_gap"),
+        F.max("gap").alias("greatest_gap"),
+        F.coalesce(F.sum(hole.cast("long")), F.lit(0)).alias("missing"),
+        F.sum(F.coalesce((times < EVEN).cast("long"), F.lit(0))).alias("repeated"),
+        F.coalesce(F.bool_and(F.abs(times - 1) <= EVEN), F.lit(True)).alias("even"),
+    )
+
+
+def _samples(r: dict) -> list[float]:
     where, name = _open(r["file"])
-    kind = np.dtype({"uchar": "u1", "schar": "i1", "ushort": "<u2", "short": "<i2"}[r["scalar_type"]])
-    with where.open_input_file(name) as f:
-        f.seek(r["at"])
-        raw = f.read(r["nx"] * r["ny"] * kind.itemsize)
-    data = np.frombuffer(raw, dtype=kind)
-    if len(data) != r["nx"] * r["ny"]:
-        raise ValueError(f"{r['file']}: plane {r['z']} is cut short")
-    return data * r["slope"] + r["intercept"]
+    parts = [(p["at"], p["length"]) if isinstance(p, dict) else p for p in r["parts"]]
+    try:
+        with where.open_input_file(name) as f:
+            return dicom.samples(f, r | {"parts": parts}) * r["slope"] + r["intercept"]
+    except ValueError as e:
+        raise ValueError(f"{r['file']}, plane {r['z']}: {e}") from e
 
 
 def bricks(spark: SparkSession, paths: list[str] | DataFrame, explicit: str | None = None, planes: tuple[int, int] | None = None) -> DataFrame:
@@ -274,7 +220,7 @@ def bricks(spark: SparkSession, paths: list[str] | DataFrame, explicit: str | No
             for r in batch.to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array([r["image_id"]], pa.int64()), pa.array([r["z"]], pa.int32()), pa.array([_samples(r)], pa.list_(pa.float64()))], ["image_id", "z", "data"])
 
-    return c.select("image_id", "z", "file", "at", "nx", "ny", "scalar_type", "slope", "intercept").repartition(_tasks(spark)).mapInArrow(load, BRICK)
+    return c.select("image_id", "z", "file", "parts", "encoding", "stored", "high", "nx", "ny", "scalar_type", "slope", "intercept").repartition(_tasks(spark)).mapInArrow(load, BRICK)
 
 
 OUTCOMES = ("loaded", "rejected", "invalid", "error", "unknown")
@@ -293,8 +239,8 @@ def outcomes(spark: SparkSession, paths: list[str] | DataFrame, explicit: str |
         if not (explicit or can_read(path)):
             return "rejected", None
         try:
-            found = [_header(f, file, alone) for _, _, f, file, alone in _listed(None, path, explicit)]
-            return ("loaded", None) if any(h and h[9] is not None for h in found) else ("invalid", None)
+            found = [_planes_of(f, file, alone) for _, _, f, file, alone in _listed(None, path, explicit)]
+            return ("loaded", None) if any(found) else ("invalid", None)
         except (OSError, ValueError) as e:
             return "error", str(e)
         except Exception as e:  # noqa: BLE001 - the class is the result
@@ -312,19 +258,20 @@ def outcomes(spark: SparkSession, paths: list[str] | DataFrame, explicit: str |
 def write_isq(bricks: DataFrame, sizes: DataFrame, folder: str) -> DataFrame:
     """Write volumes (bricks: image_id, z, data of 16-bit samples; sizes: image_id, nx, ny, nz and ux, uy, uz in micrometres) as ISQ files below ``folder``, which all executors can write to; returns image_id, path.
 
-    A volume is written by one task, plane after plane; a file takes its name when it is whole.
+    A volume is written by one task, plane after plane. An attempt of a task writes to a name of its own and gives the file its name when it is whole, so attempts that run again, or side by side, do no harm; each has the same bytes.
+    Writing happens when the returned table is first read; to read it more than once, store it.
     """
 
     def save(batches):
         import numpy as np
 
         where, base = _open(folder)
-        f, own, out = None, None, []
+        f, own, out, attempt = None, None, [], uuid.uuid4().hex
 
         def close():
             if f is not None:
                 f.close()
-                where.move(f"{base}/{own}.part", f"{base}/{own}.isq")
+                where.move(f"{base}/{own}.{attempt}.part", f"{base}/{own}.isq")
                 out.append((own, f"{folder.rstrip('/')}/{own}.isq"))
 
         for batch in batches:
@@ -335,7 +282,7 @@ def write_isq(bricks: DataFrame, sizes: DataFrame, folder: str) -> DataFrame:
                     head = bytearray(512)
                     head[:16] = ISQ_MAGIC
                     struct.pack_into("<6i", head, 44, r["nx"], r["ny"], r["nz"], r["ux"], r["uy"], r["uz"])
-                    f = where.open_output_stream(f"{base}/{own}.part")
+                    f = where.open_output_stream(f"{base}/{own}.{attempt}.part")
                     f.write(bytes(head))
                 f.write(np.array(r["data"]).astype("<i2").tobytes())
         close()
