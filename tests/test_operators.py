@@ -277,3 +277,16 @@ def test_shared_folder(spark):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared.shared_dir(Cluster)
     assert shared.new_dir(spark, "x") != shared.new_dir(spark, "x")
+
+
+def test_known_nodes_evaluate_like_columns_of_nodes(spark):
+    nodes = [(0.0, 1.0, 0.0, 2.0), (5.0, 2.0, 1.0, 0.0), (5.0, 8.0, 4.0, 4.0), (9.0, 4.0, 0.0, 1.0)]
+    rows = spark.createDataFrame([(x,) for x in (-1.0, 0.0, 2.5, 5.0, 6.0, 9.0, 11.0, nan, None)], "x double")
+    opacities = F.array(*(transfer.node(D(x), D(y)) for x, y, *_ in nodes))
+    colours = F.array(*(transfer.colour_node(*map(D, n)) for n in nodes))
+    v = F.col("x")
+    got = rows.select(transfer.evaluate([n[:2] for n in nodes], v), transfer.evaluate(opacities, v), transfer.evaluate_colour(nodes, v), transfer.evaluate_colour(colours, v)).collect()
+    for a, b, c, d in got:
+        assert a == b and (tuple(c) == tuple(d) if d else set(c) == {None})
+    assert [r[0] for r in got] == [1.0, 1.0, 1.5, 8.0, 7.0, 4.0, 4.0, 4.0, None]
+    assert spark.range(1).select(transfer.evaluate([], D(1))).first()[0] is None

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clamp
+from ..functions.vector import bound
 from ..model import U16_MAX
 from .mapping import trimmed
 
@@ -38,9 +39,13 @@ def node(x: Column, y: Column, midpoint: float = 0.5, sharpness: float = 0.0) ->
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), F.lit(midpoint).alias("midpoint"), F.lit(sharpness).alias("sharpness"))
 
 
+#: Opacity 0 to 1, and black to white, over the mapped domain.
+DEFAULT_NODES, DEFAULT_COLOURS = [(0.0, 0.0), (float(U16_MAX), 1.0)], [(0.0, 0.0, 0.0, 0.0), (float(U16_MAX), 1.0, 1.0, 1.0)]
+
+
 def default_nodes() -> Column:
-    """Opacity 0 to 1 over the mapped domain."""
-    return F.array(node(F.lit(0.0), F.lit(0.0)), node(F.lit(float(U16_MAX)), F.lit(1.0)))
+    """``DEFAULT_NODES`` as a column."""
+    return F.array(*(node(F.lit(x), F.lit(y)) for x, y in DEFAULT_NODES))
 
 
 def colour_node(x: Column, red: Column, green: Column, blue: Column, midpoint: float = 0.5, sharpness: float = 0.0) -> Column:
@@ -62,10 +67,11 @@ def range_colours(vmin: Column, vmax: Column) -> Column:
     return _black_to_white(*trimmed(vmin, vmax))
 
 
-def evaluate_colour(nodes: Column, v: Column) -> Column:
-    """Red, green and blue of colour nodes at v, each linear between nodes."""
-    channel = lambda name: evaluate(F.transform(nodes, lambda n: F.struct(n["x"].alias("x"), n[name].alias("y"))), v)
-    return F.struct(*(channel(name).alias(name) for name in ("red", "green", "blue")))
+def evaluate_colour(nodes: Column | list[tuple[float, float, float, float]], v: Column) -> Column:
+    """Red, green and blue of colour nodes at v, each linear between nodes. An empty list gives nulls. Nodes known beforehand may be tuples (x, red, green, blue)."""
+    if isinstance(nodes, list):
+        return F.struct(*(_chain([(n[0], n[k]) for n in nodes], v).alias(name) for k, name in ((1, "red"), (2, "green"), (3, "blue"))))
+    return _interpolated(nodes, v, lambda at: F.struct(*(at(name).alias(name) for name in ("red", "green", "blue"))))
 
 
 def gray_ramp(v: Column, vmin: Column, vmax: Column) -> Column:
@@ -79,14 +85,42 @@ def tf_remap(nodes: Column, shift: Column, scale: Column) -> Column:
     return F.transform(nodes, lambda n: n.withField("x", (n["x"] + shift) * scale))
 
 
-def evaluate(nodes: Column, v: Column) -> Column:
-    """A node list at v: linear between nodes in order, constant outside. An empty list gives null."""
-    n = F.size(nodes)
-    first, last = F.get(nodes, F.lit(0)), F.element_at(nodes, -1)
-    step = F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: (i < n) & (F.get(nodes, i)["x"] > v) & (F.get(nodes, i - 1)["x"] <= v))
-    i = F.get(step, F.lit(0))
-    a, b = F.get(nodes, i - 1), F.get(nodes, i)
-    return F.when(n > 0, F.when(v < first["x"], first["y"]).when(F.size(step) == 0, last["y"]).otherwise(a["y"] + (b["y"] - a["y"]) * (v - a["x"]) / (b["x"] - a["x"])))
+def _chain(nodes: list[tuple[float, float]], v: Column) -> Column:
+    """Nodes known beforehand as conditions one after the other, which are compiled with the query."""
+    if not nodes:
+        return F.lit(None).cast("double")
+    x = v.cast("double")
+    out = F.when(x.isNull(), F.lit(None).cast("double")).when(x < float(nodes[0][0]), float(nodes[0][1]))
+    for (a, ya), (b, yb) in zip(nodes, nodes[1:], strict=False):
+        out = out.when(x < float(b), float(ya) + float(yb - ya) * (x - float(a)) / float(b - a)) if b > a else out
+    return out.otherwise(float(nodes[-1][1]))
+
+
+def evaluate(nodes: Column | list[tuple[float, float]], v: Column) -> Column:
+    """A node list at v: linear between nodes in order, constant outside. An empty list gives null, NaN the last node's value, a null v null.
+
+    Nodes that come from columns are bound once and searched for each value; nodes known beforehand may be tuples (x, y), and become compiled conditions.
+    """
+    if isinstance(nodes, list):
+        return _chain(nodes, v)
+    return _interpolated(nodes, v, lambda at: at("y"))
+
+
+def _interpolated(nodes: Column, v: Column, use) -> Column:
+    """``use(at)``, where ``at(name)`` is a field of ``nodes`` at v. Nodes, v and the segment are evaluated once, for however many fields."""
+
+    def between(s: Column, x: Column, name: str) -> Column:
+        a, b = s["a"], s["b"]  # the same node before the first and after the last
+        return F.when(b["x"] > a["x"], a[name] + (b[name] - a[name]) * (x - a["x"]) / (b["x"] - a["x"])).otherwise(a[name])
+
+    def segment(n: Column, i: Column) -> Column:
+        return F.struct(F.get(n, F.greatest(i - 1, F.lit(0))).alias("a"), F.coalesce(F.get(n, i), F.element_at(n, -1)).alias("b"))
+
+    def on(n: Column, x: Column) -> Column:
+        return bound(F.size(F.filter(n, lambda k: k["x"] <= x)), lambda i: bound(segment(n, i), lambda s: use(lambda name: between(s, x, name))))
+
+    both = F.struct(nodes.alias("n"), v.cast("double").alias("v"))
+    return bound(both, lambda s: F.when((F.size(s["n"]) > 0) & s["v"].isNotNull(), on(s["n"], s["v"])))
 
 
 #: Samples of a ray that are gathered at once.
@@ -111,5 +145,5 @@ def composite(voxels: DataFrame, opacity_column: str, colour_column: str, axis:
     return rays.select("image_id", *others, "ray.colour", (1.0 - F.col("ray.clear")).alias("opacity"))
 
 
-def mapped_opacity(nodes: Column, v: Column) -> Column:
+def mapped_opacity(nodes: Column | list[tuple[float, float]], v: Column) -> Column:
     return clamp(evaluate(nodes, v), F.lit(0.0), F.lit(1.0))

@@ -140,7 +140,7 @@ def tf_remap(spark, sf_dir):
 def default_functions(spark, sf_dir):
     """Opacity and colour of the default nodes over the mapped domain."""
     v = F.col("l_extendedprice")
-    out = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", transfer.mapped_opacity(transfer.default_nodes(), v).alias("opacity"), transfer.evaluate_colour(transfer.default_colours(), v).alias("c"))
+    out = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", transfer.mapped_opacity(transfer.DEFAULT_NODES, v).alias("opacity"), transfer.evaluate_colour(transfer.DEFAULT_COLOURS, v).alias("c"))
     return out.select("l_orderkey", "l_linenumber", "opacity", "c.red", "c.blue")
 
 
