@@ -334,3 +334,13 @@ def test_planning_opens_no_file(spark, tmp_path, source):
     assert [r.data for r in df.where("image_id = 107 and z = 1").collect()] == [[4, 5, 6, 7]]
     with pytest.raises(Exception, match="not an ISQ file"):
         df.where("image_id = 108").collect()
+
+
+@pytest.mark.parametrize("syntax", [dc.EXPLICIT, dc.DEFLATED, dc.RLE])
+@pytest.mark.parametrize("frames", [np.zeros((1, 3, 500)), RNG.integers(-9, 9, (4, 40, 30)) * 100, np.repeat(RNG.integers(-9, 9, (2, 5, 1)), 131, axis=2)])
+def test_written_series_are_read_back(tmp_path, syntax, frames):
+    (tmp_path / "a.dcm").write_bytes(dc.written(frames, "1.2", 3, (0, 0, 4.5), 1.5, syntax))
+    rows = vf._planes_of("DICOM", str(tmp_path / "a.dcm"), False)
+    got = [dict(zip(vf._NAMES, p, strict=True)) | {"file": str(tmp_path / "a.dcm"), "z": z} for z, p in enumerate(rows)]
+    assert [r["along"] for r in got] == [4.5 + 1.5 * k for k in range(len(frames))]
+    assert [list(vf._samples(r)) for r in got] == frames.reshape(len(frames), -1).tolist()

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import scalar, vector
 from ..model import INTERPOLATIONS, PLANE_AXES
 from ..operators import blocked, geometry, mapping, selection, transfer
-from ..sources import blocks, paths, shared, synthetic, volume_files
+from ..sources import blocks, dicom, paths, shared, synthetic, volume_files
 from ..streaming import events as ev
-from ..streaming import registry, scan, timers
+from ..streaming import registry, saved, scan, timers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -481,18 +481,56 @@ def loadable_volumes(spark, sf_dir):
 
 @_query("SELECT r_regionkey::BIGINT AS image_id, ['rejected', 'rejected', 'error', 'invalid', 'loaded'][r_regionkey % 5 + 1] AS outcome, CASE r_regionkey % 5 WHEN 2 THEN 'not a DICOM file' END AS detail FROM region")
 def load_outcomes(spark, sf_dir):
-    """A missing file, an ISQ file with a bad header, a DICOM file that is none, a directory without images, and a good file."""
+    """A missing file, an ISQ file with a bad header, a DICOM file that is none, a directory without images, and a good file: a region's, each written by an executor."""
     folder = shared.new_dir(spark, "outcomes")
-    where, base = volume_files._open(folder)
-    where.create_dir(f"{base}/empty")
-    for name, data in (("bad.isq", b"x" * 600), ("bad.dcm", b"x" * 600), ("empty/note.txt", b"x" * 600), ("good.isq", volume_files.ISQ_MAGIC + bytes(28) + struct.pack("<6i", 1, 1, 1, 20, 20, 20) + bytes(444 + 2))):
-        with where.open_output_stream(f"{base}/{name}") as f:
-            f.write(data)
-    names = F.array(*map(L, ("none.isq", "bad.isq", "bad.dcm", "empty", "good.isq")))
-    regions = _table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("image_id"), F.concat(L(folder + "/"), F.get(names, F.col("r_regionkey") % 5)).alias("path"))
+
+    def write(batches):
+        import pyarrow as pa
+
+        kinds = ("none.isq", "bad.isq", "bad.dcm", "empty/note.txt", "good.isq")
+        good = volume_files.ISQ_MAGIC + bytes(28) + struct.pack("<6i", 1, 1, 1, 20, 20, 20) + bytes(444 + 2)
+        where, base = volume_files._open(folder)
+        for batch in batches:
+            paths = []
+            for k in batch.column(0).to_pylist():
+                name = kinds[k % 5]
+                where.create_dir(f"{base}/{k}/empty")
+                if k % 5:
+                    with where.open_output_stream(f"{base}/{k}/{name}") as f:
+                        f.write(good if k % 5 == 4 else b"x" * 600)
+                paths.append(f"{folder}/{k}/{name.removesuffix('/note.txt')}")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths)], ["image_id", "path"])
+
+    regions = _table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("image_id")).mapInArrow(write, "image_id long, path string")
     return volume_files.outcomes(spark, regions).select("image_id", "outcome", "detail")
 
 
+# series of 50 vectors, a frame of 8 by 8 samples each, five frames a file; instance numbers run backwards, and every seventh frame's file isn't there
+_SERIES = "f AS (SELECT vec_id // 50 AS image_id, vec_id % 50 AS k, embedding FROM embeddings WHERE vec_id % 50 // 5 <> 7), s AS (SELECT *, dense_rank() OVER (PARTITION BY image_id ORDER BY k) - 1 AS z FROM f)"
+
+
+def _dicom_series(spark, sf_dir) -> DataFrame:
+    k, file = F.col("vec_id") % 50, F.floor(F.col("vec_id") % 50 / 5)
+    frame = F.transform("embedding", lambda v: F.round(v.cast("double") * 1000).cast("int"))
+    rows = _table(spark, sf_dir, "embeddings").where(file != 7).groupBy(F.floor(F.col("vec_id") / 50).alias("image_id"), file.alias("file")).agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), frame.alias("data")))).alias("frames"))
+    first = F.get("frames", L(0))["k"]
+    files = rows.select("image_id", "file", (1000 - first).cast("int").alias("instance"), (first * 2.0).alias("along"), F.transform("frames", lambda f: f["data"]).alias("frames"))
+    compressed = files.withColumn("syntax", F.when(F.col("image_id") % 3 == 0, dicom.RLE).when(F.col("image_id") % 3 == 1, dicom.DEFLATED).otherwise(dicom.EXPLICIT))
+    return volume_files.write_dicom(compressed, 8, 8, 2.0, shared.new_dir(spark, "dicom"))
+
+
+@_query(f"WITH {_SERIES} SELECT image_id::BIGINT AS image_id, z::INT AS z, u.i::INT AS i, round(embedding[u.i + 1]::DOUBLE * 1000)::INT::DOUBLE AS v FROM s, unnest(range(0, 64)) AS u(i)")
+def dicom_scan(spark, sf_dir):
+    """DICOM files of five frames, in three syntaxes, back as planes in the order of their positions."""
+    return volume_files.bricks(spark, _dicom_series(spark, sf_dir)).select("image_id", "z", F.posexplode("data").alias("i", "v"))
+
+
+@_query(f"WITH {_SERIES} SELECT image_id::BIGINT AS image_id, count(*) AS planes, 2.0::DOUBLE AS spacing, CASE WHEN max(k) > 39 THEN 5 ELSE 0 END::BIGINT AS missing, max(k) <= 39 AS even FROM s GROUP BY image_id")
+def series_geometry(spark, sf_dir):
+    """The same series: how far apart their planes lie, and how many are missing."""
+    return volume_files.series_geometry(spark, _dicom_series(spark, sf_dir)).select("image_id", "planes", "spacing", "missing", "even")
+
+
 @_query(
     "WITH c AS (SELECT n_nationkey, n_nationkey + 4 AS x1, n_regionkey + 7 AS y1, u.o FROM nation, unnest(['YZ', 'XZ', 'XY']) AS u(o)), "
     "f AS (SELECT *, CASE o WHEN 'YZ' THEN 1.0 ELSE 1 + 0.25 * x1 END::DOUBLE AS fx, CASE o WHEN 'XZ' THEN 2 + 0.25 * y1 ELSE 2 + 0.125 * (2 + y1) END::DOUBLE AS fy, CASE o WHEN 'XY' THEN -3 ELSE 5 END::DOUBLE AS fz FROM c), "
@@ -564,6 +602,20 @@ def recent_files(spark, sf_dir):
     return ev.mru_topk(_table(spark, sf_dir, "pages"), [], "url", ["page_id"]).select(scalar.basename(F.col("url")).alias("name"), "url")
 
 
+@_query(
+    "WITH l AS (SELECT url, max(page_id) AS last, max(page_id % 2) AS late FROM pages GROUP BY url), o AS (SELECT url, max(page_id) AS last FROM pages WHERE page_id % 2 = 1 GROUP BY url) "
+    "SELECT url, row_number() OVER (ORDER BY late DESC, coalesce(o.last, l.last) DESC)::INT AS rank FROM l LEFT JOIN o USING (url) ORDER BY rank LIMIT 10"
+)
+def saved_recent(spark, sf_dir):
+    """A list that is restored, merged and saved twice: the pages of even ids are opened in one session, those of odd ids in the next."""
+    folder, pages = shared.new_dir(spark, "recent"), _table(spark, sf_dir, "pages").select("page_id", "url")
+    for session in (0, 1):
+        before = saved.current(spark, folder)
+        kept = saved.restore(spark, folder, "url string, rank int")
+        saved.save(saved.merged(kept, pages.where(F.col("page_id") % 2 == session), "url", ["page_id"]), folder, before)
+    return saved.restore(spark, folder)
+
+
 @_query("SELECT event_id FROM (SELECT event_id, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) - ts AS gap FROM events) WHERE gap IS NULL OR gap >= INTERVAL 1 HOUR")
 def debounce(spark, sf_dir):
     return ev.debounce(_events(spark, sf_dir), ["user_id"], 3600).select("event_id")

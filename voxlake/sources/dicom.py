@@ -281,3 +281,70 @@ def samples(f, r: dict) -> np.ndarray:
         return values
     whole = values.view(f"<u{kind.itemsize}").astype(np.int64) >> low & ((1 << stored) - 1)
     return np.where(whole >> (stored - 1) & 1, whole - (1 << stored), whole) if kind.kind == "i" else whole
+
+
+def _element(tag: int, vr: bytes, value: bytes) -> bytes:
+    value += (b"\0" if vr == b"UI" or vr in LONG_VR else b" ") * (len(value) % 2)
+    head = struct.pack("<HH", tag >> 16, tag & 0xFFFF) + vr
+    return head + (b"\0\0" + struct.pack("<I", len(value)) if vr in LONG_VR else struct.pack("<H", len(value))) + value
+
+
+def _packed(data: np.ndarray) -> bytes:
+    """PackBits of bytes: runs of three and more as runs, the rest as they are."""
+    starts = np.append(np.flatnonzero(np.append(True, data[1:] != data[:-1])), len(data))
+    out, plain = bytearray(), bytearray()
+
+    def flush():
+        for k in range(0, len(plain), 128):
+            part = plain[k : k + 128]
+            out.extend(bytes([len(part) - 1]) + part)
+        plain.clear()
+
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        if b - a < 3:
+            plain += data[a:b].tobytes()
+            continue
+        flush()
+        for k in range(a, b, 128):
+            n = min(128, b - k)
+            out += bytes([257 - n, data[a]]) if n > 1 else bytes([0, data[a]])
+    flush()
+    return bytes(out) + b"\0" * (len(out) % 2)
+
+
+def _to_rle(frame: np.ndarray) -> bytes:
+    width = frame.dtype.itemsize
+    planes = [_packed(np.ascontiguousarray(frame.reshape(-1).view(np.uint8).reshape(-1, width)[:, k])) for k in reversed(range(width))]
+    starts = np.cumsum([64, *map(len, planes)])[:-1].tolist()
+    return struct.pack("<16I", width, *starts, *[0] * (15 - width)) + b"".join(planes)
+
+
+def written(frames_: np.ndarray, series: str, instance: int, origin: tuple[float, float, float], thickness: float, syntax: str = EXPLICIT) -> bytes:
+    """A file of 16-bit signed frames (along the first axis), a slice thickness apart from ``origin`` along z."""
+    n, ny, nx = frames_.shape
+    data, word = frames_.astype("<i2"), lambda x: struct.pack("<H", x)
+    body = b"".join(
+        _element(tag, vr, value)
+        for tag, vr, value in (
+            (THICKNESS, b"DS", f"{thickness:.10g}".encode()),
+            (SERIES, b"UI", series.encode()),
+            (INSTANCE, b"IS", str(instance).encode()),
+            (POSITION, b"DS", "\\".join(f"{x:.10g}" for x in origin).encode()),
+            (FRAMES, b"IS", str(n).encode()),
+            (ROWS, b"US", word(ny)),
+            (COLUMNS, b"US", word(nx)),
+            (ALLOCATED, b"US", word(16)),
+            (SIGNED, b"US", word(1)),
+        )
+    )
+    if syntax == RLE:
+        item = lambda x: struct.pack("<HHI", 0xFFFE, 0xE000, len(x)) + x
+        parts = [item(_to_rle(f)) for f in data]
+        table = np.cumsum([0, *map(len, parts)])[:-1].astype("<u4").tobytes()
+        body += struct.pack("<HH", PIXELS >> 16, PIXELS & 0xFFFF) + b"OB\0\0" + struct.pack("<I", UNDEFINED) + item(table) + b"".join(parts) + struct.pack("<HHI", 0xFFFE, 0xE0DD, 0)
+    else:
+        body += _element(PIXELS, b"OW", data.tobytes())
+    if syntax == DEFLATED:
+        z = zlib.compressobj(wbits=-zlib.MAX_WBITS)
+        body = z.compress(body) + z.flush()
+    return b"\0" * 128 + b"DICM" + _element(SYNTAX, b"UI", syntax.encode()) + body

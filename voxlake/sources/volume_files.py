@@ -291,3 +291,30 @@ def write_isq(bricks: DataFrame, sizes: DataFrame, folder: str) -> DataFrame:
 
     rows = bricks.join(sizes, "image_id").repartition(_tasks(bricks.sparkSession), "image_id").sortWithinPartitions("image_id", "z")
     return rows.select("image_id", "z", "nx", "ny", "nz", "ux", "uy", "uz", "data").mapInArrow(save, "image_id long, path string")
+
+
+def write_dicom(files: DataFrame, nx: int, ny: int, thickness: float, folder: str) -> DataFrame:
+    """Write series of 16-bit samples as DICOM files below ``folder``, a directory for each; returns image_id, path.
+
+    A row is a file: image_id, file (a number), instance, along (the position of its first frame), frames (arrays of nx * ny samples, a thickness apart), syntax. Attempts write to names
+    of their own, as in ``write_isq``, which tells when writing happens.
+    """
+
+    def save(batches):
+        import numpy as np
+
+        where, base = _open(folder)
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                where.create_dir(f"{base}/{r['image_id']}")
+                name, part = f"{base}/{r['image_id']}/{r['file']}.dcm", f"{base}/{r['image_id']}-{r['file']}.{uuid.uuid4().hex}.part"
+                with where.open_output_stream(part) as f:
+                    f.write(dicom.written(np.array(r["frames"]).reshape(-1, ny, nx), f"1.2.{r['image_id']}", r["instance"], (0.0, 0.0, r["along"]), thickness, r["syntax"]))
+                where.move(part, name)
+                out.append((r["image_id"], f"{folder.rstrip('/')}/{r['image_id']}"))
+            if out:
+                yield _batch(out, "image_id long, path string")
+
+    rows = files.select(F.col("image_id").cast("long"), F.col("file").cast("long"), "instance", F.col("along").cast("double"), "frames", "syntax")
+    return rows.mapInArrow(save, "image_id long, path string").distinct()

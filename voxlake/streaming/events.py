@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import LINKED_LEVEL, LINKED_WINDOW, RECENT, VIEWS
-from . import scan
+from . import saved, scan
 
 
 def debounce(events: DataFrame, key: list[str], gap_seconds: float, ts: str = "ts", tie: str = "event_id") -> DataFrame:
@@ -142,14 +142,14 @@ def mru_topk(opened: DataFrame, key: list[str], item: str, order: list[str], k:
 
 
 def save_recent(spark, items: DataFrame, path: str) -> None:
-    """Keep a recent list (a few rows)."""
-    items.coalesce(1).write.mode("overwrite").parquet(path)
+    """Keep a recent list (a few rows), which may come from the one kept there (see ``saved``)."""
+    saved.save(items, path)
 
 
 def restore_recent(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return saved.restore(spark, path)
 
 
 def clear_recent(spark, path: str) -> None:
     """Keep an empty list, with the columns it has."""
-    spark.createDataFrame([], restore_recent(spark, path).schema).write.mode("overwrite").parquet(path)
+    saved.cleared(spark, path)
