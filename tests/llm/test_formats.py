@@ -175,3 +175,43 @@ def test_the_shared_folder(spark, monkeypatch):
     scratch.clear(spark, mark)
     with pytest.raises(Exception, match="(?i)exist"):
         table_.collect()
+
+
+class _Kept(io.BytesIO):
+    """A file whose bytes stay after it is closed, and that knows where each record begins."""
+
+    def close(self):
+        self.data = self.getvalue()
+
+
+def test_cut_archives_are_errors():
+    """Cut at every byte of the last two records: between them the archive is whole but short, anywhere else it is an error."""
+    ends, out = [], _Kept()
+    w = warc.Writer(out)
+    for i in range(30):
+        payload = prose(rng(i), 40).encode()
+        w.add(warc.record(i, "u", payload, hashlib.sha1(payload).hexdigest(), len(payload), None, False, "2024-01-01T00:00:00Z", f"a:{i}"))
+    w.close()
+    at = 0
+    for k in range(len(out.data)):
+        if out.data[k : k + 4] == b"\x28\xb5\x2f\xfd" and k > 8 + int.from_bytes(out.data[4:8], "little") - 1:
+            ends.append(k)
+    assert len(ends) == 30
+    for at in range(ends[-2] + 1, len(out.data)):
+        if at == ends[-1]:
+            assert len(list(warc.read_records(io.BytesIO(out.data[:at])))) == 29
+            continue
+        with pytest.raises(ValueError, match="ends inside a record"):
+            list(warc.read_records(io.BytesIO(out.data[:at])))
+    for at in (0, 5, 8, 20):
+        with pytest.raises(ValueError):
+            list(warc.read_records(io.BytesIO(out.data[:at])))
+
+
+def test_an_archive_with_fewer_records_than_counted_is_an_error(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    pages = spark.createDataFrame([(i, "u", prose(rng(i), 30)) for i in range(5)], "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write(pages, f"file://{tmp_path}")
+    with pytest.raises(Exception, match="5 records of 6"):
+        warc.read(manifest.withColumn("n_records", F.col("n_records") + 1), f"file://{tmp_path}").collect()

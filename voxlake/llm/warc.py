@@ -109,26 +109,30 @@ class Writer:
 
 def read_records(f) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields and block of each record of an archive, one record in memory at a time."""
-    magic, size = struct.unpack("<II", f.read(8))
+    head = f.read(8)
+    magic, size = struct.unpack("<II", head) if len(head) == 8 else (0, 0)
     if magic != DICT_MAGIC:
         raise ValueError("no dictionary frame leads the archive")
     raw = f.read(size)
+    if len(raw) < size:
+        raise ValueError("the archive ends inside its dictionary")
     if raw[:4] == struct.pack("<I", ZSTD_MAGIC):
         raw = zstandard.ZstdDecompressor().decompress(raw)
     unpack = zstandard.ZstdDecompressor(dict_data=_load(raw))
     rest, more = b"", True
     while True:
-        one, parts = unpack.decompressobj(), []
+        one, parts, begun = unpack.decompressobj(), [], False
         while not one.eof:
             if not rest:
                 rest = f.read(CHUNK)
                 if not rest:
                     more = False
                     break
+            begun = True
             parts.append(one.decompress(rest))
             rest = one.unused_data
         if not more:
-            if any(parts):
+            if begun:
                 raise ValueError("the archive ends inside a record")
             return
         head, _, tail = b"".join(parts).partition(b"\r\n\r\n")
@@ -190,7 +194,7 @@ def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", archi
 def read(manifest: DataFrame, path: str) -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits) of every record of the manifest's archives.
 
-    A response whose payload hasn't its digest is an error.
+    A response whose payload hasn't its digest is an error, as is an archive that ends inside a record or hasn't the records that the manifest (path, n_records) counts.
     """
 
     small_batches(manifest.sparkSession)
@@ -201,10 +205,11 @@ def read(manifest: DataFrame, path: str) -> DataFrame:
         names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
         pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
         for batch in batches:
-            for name in batch.column("path").to_pylist():
-                rows, size = [], 0
+            for name, n_records in zip(batch.column("path").to_pylist(), batch.column("n_records").to_pylist(), strict=True):
+                rows, size, n = [], 0, 0
                 with where.open_input_stream(name) as f:
                     for fields, block in read_records(f):
+                        n += 1
                         digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
                         payload = block.partition(b"\r\n\r\n")[2] if fields["WARC-Type"] == "response" else None
                         if payload is not None and hashlib.sha1(payload).hexdigest() != digest:
@@ -215,12 +220,14 @@ def read(manifest: DataFrame, path: str) -> DataFrame:
                         if size > CHUNK * 4:
                             yield pack(rows)
                             rows, size = [], 0
+                if n != n_records:
+                    raise ValueError(f"{name}: {n} records of {n_records}")
                 if rows:
                     yield pack(rows)
 
     # a path is few bytes, an archive is many: the number keeps Spark from merging the partitions by the paths' size
     tasks = max(1, min(manifest.count(), MOST_TASKS))
-    return manifest.select("path").repartition(tasks).mapInArrow(load, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return manifest.select("path", "n_records").repartition(tasks).mapInArrow(load, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
