@@ -29,6 +29,14 @@ FEMALE = ["Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mademoiselle",
 EITHER = ["Dr", "Prof", "Mx", "Доктор", "DR", "PROF"]
 PARTICLES = ["von", "van", "der", "den", "de", "del", "la", "le", "di", "da", "dos", "du", "zu", "zum", "bin", "al"]
 NO_NAMES = ["And", "Or", "The", "Of", "In", "On", "At", "To", "For", "With", "By", "Is", "Was", "Und", "Oder", "Der", "Die", "Das", "Et", "Ou", "Le", "La", "Les", "El", "Los"]
+#: Country codes by length; those of three digits by their first two and the last ones.
+ONE_DIGIT = ["1", "7"]
+TWO_DIGITS = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+THREE_DIGITS = {
+    "21": "12368", "22": "0123456789", "23": "0123456789", "24": "0123456789", "25": "012345678", "26": "012345689", "29": "01789", "35": "0123456789", "37": "01234567",
+    "38": "01235679", "42": "013", "50": "0123456789", "59": "0123456789", "67": "023456789", "68": "012356789", "69": "012", "80": "08", "85": "02356", "88": "06",
+    "96": "012345678", "97": "012345679", "99": "234568",
+}
 PHONE_WORDS = ["phone", "telephone", "telefon", "teléfono", "téléphone", "tel", "tél", "fax", "mobile", "mobil", "móvil", "cell", "call", "handy", "portable"]
 # End of the fixed values.
 
@@ -156,6 +164,24 @@ def _national(m: Column) -> Column:
     return F.regexp_replace(_digits(F.regexp_replace(m, _COUNTRY, "")), "^0", "")
 
 
+def _groups(m: Column) -> Column:
+    """The eight groups of an IPv6 address as they are written, '' for those that '::' leaves out."""
+    ends = F.split(m, "::")
+    part = lambda i: F.when((F.size(ends) > i) & (F.get(ends, F.lit(i)) != ""), F.split(F.get(ends, F.lit(i)), ":")).otherwise(F.array().cast("array<string>"))
+    return _bound(F.struct(part(0).alias("head"), part(1).alias("tail")), lambda x: F.concat(x["head"], F.array_repeat(F.lit(""), F.greatest(8 - F.size(x["head"]) - F.size(x["tail"]), F.lit(0))), x["tail"]))
+
+
+def _ipv6(m: Column) -> Column:
+    """All groups of an address, lower case, without leading zeros: the same for all its spellings."""
+    return F.array_join(F.transform(_groups(F.lower(m)), lambda g: F.coalesce(F.nullif(F.regexp_replace(g, "^0+", ""), F.lit("")), F.lit("0"))), ":")
+
+
+def _like_address(m: Column, made: Column) -> Column:
+    """An address's surrogate (all groups) in the spelling of ``m``: groups of zeros are zeros in both, so '::' stays, and groups keep their leading zeros."""
+    group = lambda g, new: F.when(F.length(g) > F.length(new), F.lpad(new, F.length(g), "0")).otherwise(new)
+    return _bound(F.struct(_groups(m).alias("own"), F.split(made, ":").alias("new")), lambda x: F.regexp_replace(F.array_join(F.zip_with(x["own"], x["new"], lambda g, new: F.when(g == "", "").otherwise(group(g, new))), ":"), ":{2,}", "::"))
+
+
 def _name_words(m: Column) -> Column:
     return F.split(F.substring(m, F.length(_title(m)) + 1, F.length(m)), " ")
 
@@ -163,13 +189,14 @@ def _name_words(m: Column) -> Column:
 def keys(m: Column) -> Column:
     """The entities that a match stands for, as an array of 'type|normal form'.
 
-    A name is one entity for each of its words: the last is a surname, the others are given names of a gender; a word's entity is the
-    same with and without the others, so "Mr John Smith" and "Mr Smith" agree. Particles and initials are none (null). A phone number is one for the
+    A name is one entity for each of its words: the last is a surname, the others are given names of the gender that the title tells, if any (see ``same_names`` for those
+    without); a word's entity is the same with and without the others, so "Mr John Smith" and "Mr Smith" agree. Particles and initials are none (null). A phone number is one for the
     number and one for its country code, if it has any, so spellings with and without agree and those with different codes don't.
     """
     k = kind(m)
     plain = (
-        F.when(k.isin("email", "ipv6"), F.lower(m))
+        F.when(k == "email", F.lower(m))
+        .when(k == "ipv6", _ipv6(m))
         .when(k == "secret", F.when(_is_hex(_secret_value(m)), F.lower(_secret_value(m))).otherwise(_secret_value(m)))
         .when(k.isin("ssn", "card"), _digits(m))
         .otherwise(F.regexp_replace(m, " ", ""))
@@ -191,6 +218,16 @@ def key_table(spark: SparkSession, secret: str) -> DataFrame:
     return spark.createDataFrame(rows, "group string, inner binary, outer binary")
 
 
+def country_codes(secret: str) -> dict[str, str]:
+    """A country code's surrogate: another assigned code of as many digits. Codes are put in an order that the secret makes, and each gets the next, so no two get one and none keeps its own."""
+    key = hmac.new(secret.encode(), b"code", hashlib.sha256).digest()
+    out = {}
+    for codes in (ONE_DIGIT, TWO_DIGITS, [a + b for a, ends in THREE_DIGITS.items() for b in ends]):
+        order = sorted(codes, key=lambda c: hmac.new(key, c.encode(), hashlib.sha256).digest())
+        out |= dict(zip(order, [*order[1:], order[0]], strict=True))
+    return out
+
+
 def _hmac(inner: Column, outer: Column, message: Column) -> Column:
     """HMAC-SHA256 as hexadecimal digits."""
     return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
@@ -281,6 +318,17 @@ def _iban(value: Column, stream: Column) -> Column:
     return _bound(_shape(body, stream), lambda made: F.concat(country, check(made), made))
 
 
+def _address(value: Column, stream: Column, attempt: Column) -> Column:
+    """Groups of zeros stay; others keep their width, which grows a digit every eight attempts, and don't begin with 0."""
+
+    def group(x, g, i):
+        width = F.least(F.length(g) + F.floor(x["attempt"] / 8).cast("int"), F.lit(4))
+        digit = lambda k: F.lower(F.hex((F.when(k == 0, _number(x["stream"], i * 4 + k) % 15 + 1).otherwise(_number(x["stream"], i * 4 + k) % 16)).cast("long")))
+        return F.when(g == "0", g).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), width - 1), digit), ""))
+
+    return _bound(F.struct(stream.alias("stream"), attempt.alias("attempt"), value.alias("value")), lambda x: F.array_join(F.transform(F.split(x["value"], ":"), lambda g, i: group(x, g, i)), ":"))
+
+
 def surrogate(inner: Column, outer: Column, key: Column, attempt: Column) -> Column:
     """The normal form that stands in for an entity ('type|normal form') at an attempt."""
     made = lambda x: _surrogate(x["group"], x["value"], x["stream"], attempt)
@@ -303,7 +351,7 @@ def _surrogate(group: Column, value: Column, s: Column, attempt: Column) -> Colu
     return (
         F.when(group == "email", F.concat(_shape(local, s), F.lit("@"), made_host))
         .when(group == "ip", F.concat_ws(".", F.when(value.startswith("10.") | value.startswith("192.168."), "10").otherwise(public.cast("string")), octet(1), octet(2), octet(3)))
-        .when(group == "ipv6", _shape(value, s, F.lit(True)))
+        .when(group == "ipv6", _address(value, s, attempt))
         .when(group == "ssn", F.concat(F.lit("9"), F.substring(number, 2, 8)))
         .when(group == "card", F.when(F.call_function("luhn_check", value), checked).otherwise(number))
         .when(group.isin("phone", "code"), number)
@@ -342,7 +390,8 @@ def rendered(m: Column, known: Column) -> Column:
         .when(k == "secret", F.concat(F.substring(m, F.lit(1), F.length(m) - F.length(value)), F.when(_is_hex(value) & (F.upper(value) == value), F.upper(made)).otherwise(made)))
         .when(k.isin("card", "ssn", "phone"), numeric)
         .when(k == "iban", grouped)
-        .when(k.isin("email", "ipv6") & (F.upper(m) == m), F.upper(made))
+        .when(k == "ipv6", F.when((F.upper(m) == m) & m.rlike("[A-F]"), F.upper(_like_address(m, made))).otherwise(_like_address(m, made)))
+        .when((k == "email") & (F.upper(m) == m), F.upper(made))
         .otherwise(made)
     )
 
@@ -364,13 +413,15 @@ def mentions(found: Column, known: Column) -> Column:
 
 def _without_mentions(piece: Column, told: Column) -> Column:
     word = lambda p: F.concat(F.lit(r"(?<![\p{L}\p{N}\-])"), p["word"], F.lit(r"(?![\p{L}\p{N}]|-\p{L})"))
-    return F.when(F.size(told) > 0, F.aggregate(told, piece, lambda text, p: F.regexp_replace(text, word(p), p["made"]))).otherwise(piece)
+    there = F.filter(told, lambda p: piece.contains(p["word"]))
+    return F.when(F.size(told) > 0, F.aggregate(there, piece, lambda text, p: F.regexp_replace(text, word(p), p["made"]))).otherwise(piece)
 
 
 def assigned(entities: DataFrame, secret: str) -> DataFrame:
     """key, made: distinct surrogates for the distinct column ``key`` of entities.
 
     A surrogate is taken by the first of its claimants (settled ones before others, then by key); it may not be an entity itself (a country code: not its own). The others go on to the next attempt.
+    Assigned country codes have theirs from ``country_codes``.
     A type that has fewer surrogates than entities (some 16 million private addresses, a hundred million social security numbers) is an error after ``ATTEMPTS`` attempts.
     """
     spark = entities.sparkSession
@@ -379,7 +430,9 @@ def assigned(entities: DataFrame, secret: str) -> DataFrame:
     own = F.regexp_replace("key", r"^[^|]*\|", "")
     real = entities.select(field.alias("field"), own.alias("made")).where("field <> 'code'").distinct()
     blocks = F.broadcast(key_table(spark, secret))  # a row for each of ``GROUPS``
-    open_keys, done = entities.select("key"), None
+    codes = F.broadcast(spark.createDataFrame([(f"code|{c}", made) for c, made in country_codes(secret).items()], "key string, made string"))
+    done = entities.select("key").join(codes, "key").select("key", F.lit("code").alias("field"), "made")
+    open_keys = entities.select("key").join(codes, "key", "left_anti")
     for attempt in range(ATTEMPTS):
         # a surrogate costs more than its bytes tell, so the number of tasks is that of entities, and Spark doesn't merge them
         tasks = min(10_000, open_keys.count() // TASK_ENTITIES + 1)
@@ -387,19 +440,35 @@ def assigned(entities: DataFrame, secret: str) -> DataFrame:
         tried = keyed.select("key", field.alias("field"), surrogate(F.col("inner"), F.col("outer"), F.col("key"), F.lit(attempt)).alias("made"))
         first = F.row_number().over(Window.partitionBy("field", "made").orderBy("key")) == 1
         free = tried.withColumn("first", first & ((F.col("field") != "code") | (F.col("made") != own))).join(real.withColumn("taken", F.lit(True)), ["field", "made"], "left")
-        if done is not None:
-            free = free.join(done.select("field", "made", F.lit(True).alias("held")), ["field", "made"], "left")
-        else:
-            free = free.withColumn("held", F.lit(None).cast("boolean"))
+        free = free.join(done.select("field", "made", F.lit(True).alias("held")), ["field", "made"], "left")
         round_ = stored(free.select("key", "field", "made", (F.col("first") & F.col("taken").isNull() & F.col("held").isNull()).alias("good")), "surrogates")
         settled = round_.where("good").select("key", "field", "made")
-        done = settled if done is None else done.unionAll(settled)
+        done = done.unionAll(settled)
         open_keys = round_.where(~F.col("good")).select("key")
         if open_keys.isEmpty():
             return done.select("key", "made")
     raise ValueError(f"some entities have no surrogate after {ATTEMPTS} attempts")
 
 
+def same_names(entities: DataFrame) -> DataFrame:
+    """key, to: given names of no told gender ('Dr. Anna ...') that the corpus tells one gender of ('Mrs. Anna ...') are that name. Where it tells both, a text may still tell one (``_told_in_text``)."""
+    word = F.regexp_replace("key", r"^[^|]*\|", "").alias("word")
+    told = entities.where("key LIKE 'given_m|%' OR key LIKE 'given_f|%'").groupBy(word).agg(F.min("key").alias("to"), F.count("*").alias("genders")).where("genders = 1")
+    return entities.where("key LIKE 'given_x|%'").select("key", word).join(told, "word").select("key", "to")
+
+
+def _told_in_text(known: Column) -> Column:
+    """A text's map of entities, in which a given name of no told gender is that of the gender which the text tells elsewhere, if it tells one."""
+
+    def one(key, made):
+        word = F.substring(key, F.lit(len("given_x|") + 1), F.length(key))
+        m, f = (F.try_element_at(known, F.concat(F.lit(f"given_{g}|"), word)) for g in "mf")
+        told = F.when(f.isNull(), m).when(m.isNull(), f)
+        return F.when(key.startswith("given_x|"), F.coalesce(told, made)).otherwise(made)
+
+    return F.transform_values(known, one)
+
+
 def with_surrogates(docs: DataFrame, secret: str, count: str | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, with the entities in ``text`` replaced; ``count`` names a column for their number (mentions without a title not counted).
 
@@ -413,15 +482,22 @@ def with_surrogates(docs: DataFrame, secret: str, count: str | None = None) -> D
     found = some.select(digest.alias("digest"), matches(F.col("text")).alias("found")).where(F.size("found") > 0)
     found = stored(found.groupBy("digest").agg(F.first("found").alias("found")), "found")
     uses = found.select("digest", F.explode(F.array_compact(F.array_distinct(F.flatten(F.transform("found", keys))))).alias("key"))
-    known = assigned(stored(uses.select("key").distinct(), "entities"), secret)
-    maps = uses.join(known, "key").groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("key", "made"))).alias("known")).join(found, "digest")
+    entities = stored(uses.select("key").distinct(), "entities")
+    same = stored(same_names(entities), "same")
+    known = assigned(entities.join(same, "key", "left_anti"), secret)
+    known = known.unionByName(same.join(known.withColumnRenamed("key", "to"), "to").select("key", "made"))
+    maps = uses.join(known, "key").groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("key", "made"))).alias("known")).withColumn("known", _told_in_text(F.col("known"))).join(found, "digest")
     pieces, n = F.split("text", ENTITY, -1), F.size("found")
 
+    def rest(x):
+        # names that are nowhere else in the text needn't be looked for piece by piece
+        return _bound(F.array_join(x["pieces"], "\n"), lambda text: F.filter(mentions(F.col("found"), F.col("known")), lambda p: text.contains(p["word"])))
+
     def told(x):
         parts = F.zip_with(F.slice(x["pieces"], F.lit(1), n), F.col("found"), lambda p, m: F.concat(_without_mentions(p, x["told"]), rendered(m, F.col("known"))))
         return F.concat(F.array_join(parts, ""), _without_mentions(F.element_at(x["pieces"], -1), x["told"]))
 
-    replaced = F.when(n > 0, _bound(F.struct(pieces.alias("pieces"), mentions(F.col("found"), F.col("known")).alias("told")), told)).otherwise(F.col("text"))
+    replaced = F.when(n > 0, _bound(_bound(F.struct(pieces.alias("pieces")), lambda x: F.struct(x["pieces"].alias("pieces"), rest(x).alias("told"))), told)).otherwise(F.col("text"))
     names = docs.columns
 
     def out(df: DataFrame, text: Column, found: Column) -> DataFrame:
