@@ -251,8 +251,12 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = CONTAI
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, threshold: float = CONTAINMENT, permutations: int = PERMUTATIONS, k: int = WORD_K) -> DataFrame:
-    """The rows of ``docs``, all columns, that contain no item. Rows with null texts or ids stay."""
+    """The rows of ``docs``, all columns, that contain no item. Rows with null texts or ids stay. With several blocks of items, what one leaves is written before the next is made."""
+    held = None
     for block in _blocks(items, permutations, threshold, k):
+        if held is not None:
+            docs = stored(docs, "decontaminate")
+            held.destroy()
         held = docs.sparkSession.sparkContext.broadcast(block)
 
         def keep(batches, held=held):

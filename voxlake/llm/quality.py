@@ -98,7 +98,7 @@ def votes(s: dict[str, np.ndarray]) -> np.ndarray:
     """Texts by rules: 1 keep, -1 drop, 0 abstain. A share of nothing abstains."""
     out = np.zeros((len(s["n_words"]), len(RULES)), dtype=np.int8)
     for j, (_, top, bottom, keep, drop) in enumerate(RULES):
-        below = np.ones(len(out)) if bottom == "one" else s[bottom].astype(float)
+        below = s[bottom].astype(float)
         x = np.divide(s[top], below, out=np.full(len(out), np.nan), where=below > 0)
         with np.errstate(invalid="ignore"):
             good, bad = (x <= keep, x >= drop) if keep < drop else (x >= keep, x <= drop)

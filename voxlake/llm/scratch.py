@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,26 +22,41 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, BATCH_BYTES)
 
 
-_made: list[str] = []
+#: What has been made by the run that is on, see ``run``; without one, by the session.
+_made: ContextVar[list[str]] = ContextVar("made", default=[])  # noqa: B039 - one list for all that is outside a run
+
+
+@contextmanager
+def run() -> Iterator[None]:
+    """Folders made inside are those of this run alone: ``mark`` and ``clear`` know of no other's, such as those of a run in another thread. What is left at the end becomes the surrounding run's."""
+    outer, token = _made.get(), _made.set([])
+    try:
+        yield
+    finally:
+        left = _made.get()
+        _made.reset(token)
+        outer.extend(left)
 
 
 def mark() -> int:
-    """How many folders have been made so far: what ``clear`` can go back to."""
-    return len(_made)
+    """How many folders the run has made so far: what ``clear`` can go back to."""
+    return len(_made.get())
 
 
 def clear(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
-    """Remove what operators have written to the shared folder in this session, or since a mark, but for the last ``keep`` folders. Tables read from removed ones can't be read any more."""
-    for path in _made[since : len(_made) - keep]:
+    """Remove what operators have written to the shared folder in this run, or since a mark, but for the last ``keep`` folders. Tables read from removed ones can't be read any more."""
+    made = _made.get()
+    for path in made[since : len(made) - keep]:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    del _made[since : len(_made) - keep]
+    del made[since : len(made) - keep]
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no other call gets; it is removed by ``clear``, or when the driver ends."""
-    _made.append(shared.new_dir(spark, name))
-    return _made[-1]
+    path = shared.new_dir(spark, name)
+    _made.get().append(path)
+    return path
 
 
 #: Spark's own removal of a query's shuffle files at its end.
