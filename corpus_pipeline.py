@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlake.llm import decontaminate, jaccard, language_id, packing, pii
-from voxlake.llm.scratch import clear, mark, stored
+from voxlake.llm import decontaminate, jaccard, language_id, packing, pii, scratch
 
 #: Texts less like any known language than this go; running text scores 0.4 and more.
 LEAST_LANGUAGE_SCORE = 0.2
@@ -58,8 +57,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, since = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark()
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
-        clear(spark, since, keep=1)  # what the stage had written on its way, and the stage before it
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    with scratch.run():
+        for name, stage in STAGES[:-1]:
+            docs = scratch.stored(stage(spark, docs, sf_dir), name)
+            scratch.clear(spark, keep=1)  # what the stage had written on its way, and the stage before it
+        return STAGES[-1][1](spark, docs, sf_dir)
