@@ -130,3 +130,27 @@ def test_composite_shuffles_a_row_a_block(table):
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "MapInArrow" in plan.split("Exchange")[1]
+
+
+def test_mapped_ranges(table, grid):
+    from math import floor
+
+    mapped = lambda v: floor(min(max((v + 1) * 30_000, 0), 65535)) if v == v else 65535
+    for lo, hi in ((20_000, 40_000), (0, 10_000), (60_000, 65535), (0, 65535)):
+        got = {(r.x, r.y, r.z) for r in blocked.mapped_between(table.where("image_id = 7"), lo, hi, 1.0, 30_000.0).collect()}
+        want = {(x, y, z) for z in range(NZ) for y in range(NY) for x in range(NX) if lo <= mapped(grid[z, y, x]) <= hi}
+        # samples that aren't numbers are in no zone map
+        odd = {(1, 2, 3), (0, 0, 0)}
+        assert got - odd == want - odd
+    assert "vmax,-0.33" in scanned(blocked.mapped_between(table, 20_000, 40_000, 1.0, 30_000.0))[1]
+
+
+def test_files_become_blocks(spark, tmp_path):
+    from tests.test_volume_files import isq
+    from voxlake.sources import volume_files
+
+    for k, n in enumerate(((11, 7, 6), (5, 9, 3))):
+        isq(tmp_path / f"{k}.isq", n, np.arange(np.prod(n), dtype=np.int16))
+    paths = [str(tmp_path / f"{k}.isq") for k in (0, 1)]
+    got = {tuple(r) for r in blocked.samples(volume_files.blocks(spark, paths, edge=(4, 4, 4))).collect()}
+    assert got == {(k, i % nx, i // nx % ny, i // nx // ny, float(i)) for k, (nx, ny, nz) in enumerate(((11, 7, 6), (5, 9, 3))) for i in range(nx * ny * nz)}

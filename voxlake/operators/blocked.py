@@ -6,13 +6,14 @@ becomes a row before the result is asked for as samples.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import AXES, PLANE_AXES
+from ..model import AXES, PLANE_AXES, U16_MAX
+from . import mapping
 
 
 def crop(blocks: DataFrame, bounds: dict[str, tuple[int, int]]) -> DataFrame:
@@ -57,10 +58,23 @@ def samples(blocks: DataFrame) -> DataFrame:
 
 def valued_between(blocks: DataFrame, lo: float, hi: float) -> DataFrame:
     """The samples with values from lo to hi (inclusive). Blocks whose zone map excludes them are not read, and samples are dropped before they become rows."""
-    kept = blocks.where((F.col("vmin") <= hi) & (F.col("vmax") >= lo))
+    return _hits(blocks.where((F.col("vmin") <= hi) & (F.col("vmax") >= lo)), lambda v: v.between(lo, hi))
+
+
+def mapped_between(blocks: DataFrame, lo: int, hi: int, shift: float, scale: float) -> DataFrame:
+    """The samples whose 16-bit mapped value is from lo to hi, as a range of native values, which the zone map prunes by. At the ends of the domain it holds what saturates there."""
+    low, high = lo / scale - shift, (hi + 1) / scale - shift
+    if lo > 0:
+        blocks = blocks.where(F.col("vmax") >= low)
+    if hi < U16_MAX:
+        blocks = blocks.where(F.col("vmin") < high)
+    return _hits(blocks, lambda v: mapping.mapped_between(v, lo, hi, shift, scale))
+
+
+def _hits(blocks: DataFrame, test: Callable[[Column], Column]) -> DataFrame:
     nx, ny = (F.col(f"{a}1") - F.col(f"{a}0") + 1 for a in "xy")
     numbered = F.transform("data", lambda v, i: F.struct(i.alias("i"), v.alias("v")))
-    hits = kept.select("*", F.explode(F.filter(numbered, lambda s: s["v"].between(lo, hi))).alias("s"))
+    hits = blocks.select("*", F.explode(F.filter(numbered, lambda s: test(s["v"]))).alias("s"))
     i = F.col("s.i")
     at = [F.col("x0") + i % nx, F.col("y0") + F.floor(i / nx) % ny, F.col("z0") + F.floor(i / nx / ny)]
     return hits.select("image_id", *(c.cast("int").alias(a) for c, a in zip(at, AXES, strict=True)), F.col("s.v").alias("v"))

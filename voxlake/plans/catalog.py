@@ -858,6 +858,12 @@ def blocked_values(spark, sf_dir):
     return blocked.valued_between(_blocked(spark, sf_dir), 0.25, 9.0).select("x", "y", "z", "v")
 
 
+@_query(f"WITH {_VOLUME} SELECT x, y, z, v FROM c WHERE floor(least(greatest((v + 0.5) * 20000, 0), 65535)) BETWEEN 12000 AND 14999")
+def blocked_mapped(spark, sf_dir):
+    """A range of mapped values on the blocked volume."""
+    return blocked.mapped_between(_blocked(spark, sf_dir), 12000, 14999, 0.5, 20000.0).select("x", "y", "z", "v")
+
+
 @_query(f"WITH {_VOLUME} SELECT z // 32 AS block, min(v) AS vmin, max(v) AS vmax FROM c GROUP BY ALL")
 def blocked_ranges(spark, sf_dir):
     """Ranges from the zone map; no sample is read."""

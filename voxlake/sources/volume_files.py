@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..model import BRICK, VOLUME
 from . import dicom
+from .blocks import EDGE, from_planes
 from .paths import DICOM, SCANCO
 
 ISQ_MAGIC = b"CTDATA-HEADER_V1"
@@ -223,6 +224,13 @@ def bricks(spark: SparkSession, paths: list[str] | DataFrame, explicit: str | No
     return c.select("image_id", "z", "file", "parts", "encoding", "stored", "high", "nx", "ny", "scalar_type", "slope", "intercept").repartition(_tasks(spark)).mapInArrow(load, BRICK)
 
 
+def blocks(spark: SparkSession, paths: list[str] | DataFrame, explicit: str | None = None, edge: tuple[int, int, int] = EDGE) -> DataFrame:
+    """The volumes in the blocked layout (see ``blocks``). ``paths`` may be the table of ``planes``."""
+    c = _made(spark, paths, explicit)
+    width = c.where("z = 0").select("image_id", F.col("nx").alias("width"))
+    return from_planes(bricks(spark, c).join(width, "image_id"), F.col("width"), edge)
+
+
 OUTCOMES = ("loaded", "rejected", "invalid", "error", "unknown")
 
 
