@@ -1,0 +1,57 @@
+import numpy as np
+import pytest
+
+from voxlake.operators import transfer
+from voxlake.sources import synthetic
+
+NX, NY, NZ = 7, 6, 9
+OPACITY, COLOUR = [(-2.0, 0.0), (2.0, 0.6)], [(-2.0, 0.0), (2.0, 1.0)]
+
+
+def cells(spark, grid):
+    planes = spark.createDataFrame([(3, z, grid[z].reshape(-1).tolist()) for z in range(len(grid))], "image_id long, z int, data array<double>")
+    return synthetic.to_voxels(planes, grid.shape[2])
+
+
+@pytest.mark.parametrize("axis", "xyz")
+@pytest.mark.parametrize("shear", [(0.0, 0.0), (0.3, -0.2)])
+def test_rays(spark, axis, shear):
+    grid = np.random.default_rng(1).normal(size=(NZ, NY, NX))
+    size, first, step = (9, 8), (-0.8, 0.4), 1.3
+    df = transfer.oblique(cells(spark, grid), size, OPACITY, COLOUR, shear, first, axis, step)
+    got = {(r.u, r.v): (r.colour, r.opacity) for r in df.collect()}
+    # planes along the axis, then the two others in their order, the first of them last
+    planes = np.moveaxis(grid, 2 - "xyz".index(axis), 0)
+    nv, nu = planes.shape[1:]
+    want = {}
+    for u in range(size[0]):
+        for v in range(size[1]):
+            colour, clear, met = 0.0, 1.0, False
+            for w, plane in enumerate(planes):
+                a, b = first[0] + u + shear[0] * w, first[1] + v + shear[1] * w
+                if not (-0.5 - 1e-9 < a <= nu - 0.5 + 1e-9 and -0.5 - 1e-9 < b <= nv - 0.5 + 1e-9):
+                    continue
+                met = True
+                weights = {(i, j): max(1 - abs(a - i), 0) * max(1 - abs(b - j), 0) for i in range(nu) for j in range(nv)}
+                value = sum(x * plane[j, i] for (i, j), x in weights.items()) / sum(weights.values())
+                o = 1 - (1 - np.interp(value, [-2, 2], [0, 0.6])) ** step
+                colour += clear * o * np.interp(value, [-2, 2], [0, 1])
+                clear *= 1 - o
+            if met:
+                want[u, v] = (colour, 1 - clear)
+    assert got.keys() == want.keys()
+    for k in want:
+        assert got[k] == pytest.approx(want[k], abs=1e-9)
+
+
+def test_straight_rays_are_those_of_an_axis(spark):
+    grid = np.random.default_rng(2).normal(size=(4, 3, 3))
+    a = {(r.u, r.v): r.colour for r in transfer.oblique(cells(spark, grid), (3, 3), OPACITY, COLOUR).collect()}
+    v = cells(spark, grid)
+    b = transfer.composite(v.withColumns({"o": transfer.evaluate(OPACITY, v.v), "c": transfer.evaluate(COLOUR, v.v)}), "o", "c")
+    assert a == pytest.approx({(r.x, r.y): r.colour for r in b.collect()})
+
+
+def test_steps():
+    assert transfer.ray_step((0, 0), (1, 1, 1)) == 1
+    assert transfer.ray_step((0.5, 1), (2, 1, 3)) == pytest.approx(11**0.5 / 2)

@@ -139,17 +139,17 @@ def kernel(mode: str, t: Column) -> Column:
     return F.when(d <= 1, (1.5 * d - 2.5) * d * d + 1.0).when(d < 2, ((-0.5 * d + 2.5) * d - 4.0) * d + 2.0).otherwise(0.0)
 
 
-def _scattered(rows: DataFrame, along: str, across: list[str], values: list[str], first: float, step: float, pixels: int, mode: str) -> DataFrame:
-    """``values`` summed at the pixels along one axis, each sample weighted by its kernel. A sample goes to the pixels in its reach only.
+def scattered(rows: DataFrame, along: str, across: list[str], values: list[str], first: float | Column, step: float, pixels: int, mode: str) -> DataFrame:
+    """``values`` summed at the pixels along one axis, each sample weighted by its kernel. A sample goes to the pixels in its reach only. ``first`` may differ by what ``across`` has.
 
     A pixel outside the samples by more than half of one gets nothing; ``_near`` says whether one was near enough.
     """
-    at = F.col(along).cast("double")
+    at, first = F.col(along).cast("double"), first if isinstance(first, Column) else F.lit(first)
     lo, hi = ((at + sign * REACH[mode] - first) / step for sign in (-1, 1))
     # a touch wider than the reach, so that no rounding drops a pixel; weights are exact
     pixel = F.sequence(F.greatest(F.ceil(lo - 1e-9), F.lit(0)).cast("int"), F.least(F.floor(hi + 1e-9), F.lit(pixels - 1)).cast("int"))
     some = F.greatest(F.ceil(lo - 1e-9), F.lit(0)) <= F.least(F.floor(hi + 1e-9), F.lit(pixels - 1))
-    t = F.lit(first) + F.col("_pixel") * step - at
+    t = first + F.col("_pixel") * step - at
     spread = rows.where(some).withColumn("_pixel", F.explode(F.when(some, pixel)))
     near = (t > -0.5 - 1e-9) & (t <= 0.5 + 1e-9)
     sums = [F.sum(kernel(mode, t) * F.col(v)).alias(v) for v in values]
@@ -164,6 +164,6 @@ def resampled(plane: DataFrame, width: int, height: int, first: tuple[float, flo
     Samples that aren't there, at the rim or in holes, have no weight. Pixels further than half a sample from every sample have no row.
     """
     rows = plane.where(F.col("value").isNotNull()).select("image_id", "u", "v", F.col("value").cast("double").alias("_top"), F.lit(1.0).alias("_weight"), F.lit(True).alias("_near"))
-    rows = _scattered(rows, "u", ["image_id", "v"], ["_top", "_weight"], first[0], step[0], width, mode)
-    rows = _scattered(rows, "v", ["image_id", "u"], ["_top", "_weight"], first[1], step[1], height, mode)
+    rows = scattered(rows, "u", ["image_id", "v"], ["_top", "_weight"], first[0], step[0], width, mode)
+    rows = scattered(rows, "v", ["image_id", "u"], ["_top", "_weight"], first[1], step[1], height, mode)
     return rows.where("_near").select("image_id", "u", "v", (F.col("_top") / F.col("_weight")).alias("value"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import clamp
+from ..functions.scalar import clamp, is_finite
 from ..functions.vector import bound
 from ..model import U16_MAX
+from . import selection
 from .mapping import trimmed
 
 
@@ -145,5 +146,37 @@ def composite(voxels: DataFrame, opacity_column: str, colour_column: str, axis:
     return rays.select("image_id", *others, "ray.colour", (1.0 - F.col("ray.clear")).alias("opacity"))
 
 
+def oblique(
+    voxels: DataFrame,
+    size: tuple[int, int],
+    opacity: Column | list[tuple[float, float]],
+    colour: Column | list[tuple[float, float]],
+    shear: tuple[float, float] = (0.0, 0.0),
+    first: tuple[float, float] = (0.0, 0.0),
+    axis: str = "z",
+    step_over_unit: float = 1.0,
+    mode: str = "Linear",
+) -> DataFrame:
+    """Rays that aren't along an axis: image_id, u, v, colour, opacity for a view of ``size`` rays (u and v are the two other axes, in their order).
+
+    Ray (u, v) crosses plane w of the ``axis`` that it is nearest to at ``first + (u, v) + shear * w``. In each plane samples scatter to the rays in their reach (see ``selection.resampled``), so
+    values are interpolated before they get opacity and colour from nodes; then rays are composited in the order of planes. A step is as long as
+    the ray's way from plane to plane: ``step_over_unit`` is that over the unit distance (see ``ray_step``). Planes that a ray passes outside of are clear to it.
+    """
+    u, v = (a for a in ("x", "y", "z") if a != axis)
+    rows = voxels.where(is_finite(F.col("v"))).select("image_id", F.col(axis).alias("w"), F.col(u).alias("a"), F.col(v).alias("b"), F.col("v").cast("double").alias("_top"), F.lit(1.0).alias("_weight"), F.lit(True).alias("_near"))
+    rows = selection.scattered(rows, "a", ["image_id", "w", "b"], ["_top", "_weight"], F.lit(first[0]) + F.col("w") * shear[0], 1.0, size[0], mode)
+    rows = selection.scattered(rows, "b", ["image_id", "w", "a"], ["_top", "_weight"], F.lit(first[1]) + F.col("w") * shear[1], 1.0, size[1], mode)
+    value = F.col("_top") / F.col("_weight")
+    cells = rows.where("_near").select("image_id", F.col("a").alias("x"), F.col("b").alias("y"), F.col("w").alias("z"), clamp(evaluate(opacity, value), F.lit(0.0), F.lit(1.0)).alias("o"), evaluate(colour, value).alias("c"))
+    return composite(cells, "o", "c", "z", step_over_unit).select("image_id", F.col("x").alias("u"), F.col("y").alias("v"), "colour", "opacity")
+
+
+def ray_step(shear: tuple[float, float], spacing: tuple[float, float, float]) -> float:
+    """The way of a ray from plane to plane over the unit distance; ``spacing`` is that of the two in-plane axes, and between planes."""
+    a, b, c = (shear[0] * spacing[0], shear[1] * spacing[1], spacing[2])
+    return (a * a + b * b + c * c) ** 0.5 / (sum(spacing) / 3)
+
+
 def mapped_opacity(nodes: Column | list[tuple[float, float]], v: Column) -> Column:
     return clamp(evaluate(nodes, v), F.lit(0.0), F.lit(1.0))

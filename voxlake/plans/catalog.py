@@ -880,6 +880,19 @@ def blocked_composite(spark, sf_dir):
     return rays.select("x", "y", F.round("colour", 6).alias("colour"), F.round("opacity", 6).alias("opacity"))
 
 
+@_query(
+    f"WITH {_VOLUME}, g AS (SELECT i::INT AS u, j::INT AS v, z, -1.5::DOUBLE + i + 0.01::DOUBLE * z AS pu, 0.25::DOUBLE + j - 0.005::DOUBLE * z AS pv FROM range(9) a(i), range(8) b(j), (SELECT DISTINCT z FROM c)), "
+    "s AS (SELECT u, g.v AS j, g.z, sum(c.v * (1 - abs(pu - x)) * (1 - abs(pv - y))) / sum((1 - abs(pu - x)) * (1 - abs(pv - y))) AS value FROM g JOIN c ON c.z = g.z AND abs(pu - x) < 1 AND abs(pv - y) < 1 WHERE pu > -0.5000001 AND pu <= 7.5000001 AND pv > -0.5000001 AND pv <= 7.5000001 GROUP BY ALL), "
+    "o AS (SELECT u, j, z, 1 - pow(1 - least(abs(value), 0.95::DOUBLE) * 0.2::DOUBLE, 0.75::DOUBLE) AS o, value AS k FROM s), t AS (SELECT *, exp(sum(ln(1 - o)) OVER w) / (1 - o) AS clear FROM o WINDOW w AS (PARTITION BY u, j ORDER BY z ROWS UNBOUNDED PRECEDING)) "
+    "SELECT u, j AS v, round(sum(clear * o * k), 6) AS colour, round(1 - exp(sum(ln(1 - o))), 6) AS opacity FROM t GROUP BY u, j"
+)
+def oblique_composite(spark, sf_dir):
+    """Rays at an angle to all axes, through values interpolated in each plane."""
+    cells = synthetic.to_voxels(_table(spark, sf_dir, "embeddings").select(L(0).alias("image_id"), F.col("vec_id").cast("int").alias("z"), F.col("embedding").alias("data")), 8)
+    rays = transfer.oblique(cells, (9, 8), [(-0.95, 0.19), (0.0, 0.0), (0.95, 0.19)], [(-100.0, -100.0), (100.0, 100.0)], (0.01, -0.005), (-1.5, 0.25), step_over_unit=0.75)
+    return rays.select("u", "v", F.round("colour", 6).alias("colour"), F.round("opacity", 6).alias("opacity"))
+
+
 # views of the plane of all vectors (u: position, v: vector) on a finer and on a coarser grid than the samples
 _GRIDS = {"fine": (40, 50, (0.25, 0.5), (0.375, 0.3)), "coarse": (20, 60, (1.0, 0.75), (3.0, 2.5))}
 _NEAREST = "CASE WHEN {t} > -0.5 AND {t} <= 0.5 THEN 1.0 ELSE 0.0 END"
