@@ -143,6 +143,7 @@ def test_divergence_in_small_runs(monkeypatch):
     whole = pa.Table.from_batches(divergence._partial_runs(batches(1000)))
     monkeypatch.setattr(divergence, "HELD_ROWS", 50)
     monkeypatch.setattr(divergence, "EMIT_ROWS", 40)
+    monkeypatch.setattr(divergence, "SORT_ROWS", 2)
     parts = pa.Table.from_batches(divergence._partial_runs(batches(3)))
     assert len(parts) > len(whole)
     keys = [(k, "ascending") for k in ("lang", "term", "source")]

@@ -26,8 +26,8 @@ LEAST_DOCS = 3
 TOP_TERMS = 200
 #: Rates are in parts of this.
 UNIT = 1_000_000_000
-#: Bytes of text whose terms are sorted at once, and rows of partial runs that a task holds before they are merged or emitted.
-SORT_BYTES, HELD_ROWS, EMIT_ROWS = 1 << 22, 1 << 19, 1 << 18
+#: Bytes of text and rows whose terms are sorted at once, and rows of partial runs that a task holds before they are merged or emitted.
+SORT_BYTES, SORT_ROWS, HELD_ROWS, EMIT_ROWS = 1 << 22, 10_000, 1 << 19, 1 << 18
 
 #: A term's bytes: ASCII letters, in lower case, and all bytes of other characters. Any other byte is a blank.
 _TERM = np.full(256, 32, dtype=np.uint8)
@@ -60,7 +60,7 @@ def _document_runs(batch: pa.RecordBatch) -> pa.Table:
     term, term_names = _codes(terms)
     (lang, lang_names), (source, source_names) = _codes(batch.column("lang")), _codes(batch.column("source"))
     n_docs, n_terms, n_sources = len(batch), max(len(term_names), 1), len(source_names)
-    # at most 10^4 rows and 4 MB a batch (a longer text is alone), so this fits in 63 bits
+    # at most SORT_ROWS rows and SORT_BYTES bytes (a longer text is alone), so this fits in 63 bits
     key = np.sort(((lang[doc] * n_terms + term) * n_sources + source[doc]) * n_docs + doc)
     of_doc = _starts(key)
     runs = key[of_doc] // n_docs
@@ -94,8 +94,9 @@ def _partial_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     rows = 0
     for batch in batches:
         for part in slices(batch, "text", SORT_BYTES):
-            held.append(_document_runs(part))
-            rows += len(held[-1])
+            for at in range(0, len(part), SORT_ROWS):
+                held.append(_document_runs(part.slice(at, SORT_ROWS)))
+                rows += len(held[-1])
             if rows >= HELD_ROWS:
                 held = [_merged(held)]
                 rows = len(held[0])
