@@ -193,7 +193,10 @@ def keys(m: Column) -> Column:
     without); a word's entity is the same with and without the others, so "Mr John Smith" and "Mr Smith" agree. Particles and initials are none (null). A phone number is one for the
     number and one for its country code, if it has any, so spellings with and without agree and those with different codes don't.
     """
-    k = kind(m)
+    return _bound(F.struct(m.alias("m"), kind(m).alias("k")), lambda x: _keys(x["m"], x["k"]))
+
+
+def _keys(m: Column, k: Column) -> Column:
     plain = (
         F.when(k == "email", F.lower(m))
         .when(k == "ipv6", _ipv6(m))
@@ -368,9 +371,13 @@ def _like(word: Column, made: Column) -> Column:
 
 def rendered(m: Column, known: Column) -> Column:
     """A match with its surrogates from the map ``known`` of entities, in the match's own format."""
-    k = kind(m)
-    own = keys(m)
-    made = F.element_at(known, own[0])
+    typed = F.struct(m.alias("m"), kind(m).alias("k"))
+    owned = lambda x: F.struct(x["m"].alias("m"), x["k"].alias("k"), _keys(x["m"], x["k"]).alias("own"))
+    first = lambda x: F.struct(x["m"].alias("m"), x["k"].alias("k"), x["own"].alias("own"), F.element_at(known, F.get(x["own"], F.lit(0))).alias("made"))
+    return _bound(typed, lambda t: _bound(owned(t), lambda o: _bound(first(o), lambda x: _rendered(x["m"], x["k"], x["own"], x["made"], known))))
+
+
+def _rendered(m: Column, k: Column, own: Column, made: Column, known: Column) -> Column:
     # all digits in order: country code, a 0 that isn't part of the number, the number
     code = F.when((k == "phone") & (F.size(own) > 1), F.element_at(known, F.get(own, F.lit(1)))).otherwise("")
     lost = F.length(_digits(m)) - F.length(made) - F.length(code)
@@ -390,7 +397,7 @@ def rendered(m: Column, known: Column) -> Column:
         .when(k == "secret", F.concat(F.substring(m, F.lit(1), F.length(m) - F.length(value)), F.when(_is_hex(value) & (F.upper(value) == value), F.upper(made)).otherwise(made)))
         .when(k.isin("card", "ssn", "phone"), numeric)
         .when(k == "iban", grouped)
-        .when(k == "ipv6", F.when((F.upper(m) == m) & m.rlike("[A-F]"), F.upper(_like_address(m, made))).otherwise(_like_address(m, made)))
+        .when(k == "ipv6", _bound(_like_address(m, made), lambda a: F.when((F.upper(m) == m) & m.rlike("[A-F]"), F.upper(a)).otherwise(a)))
         .when((k == "email") & (F.upper(m) == m), F.upper(made))
         .otherwise(made)
     )
