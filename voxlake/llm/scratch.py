@@ -62,7 +62,7 @@ def new_dir(spark: SparkSession, name: str) -> str:
 #: Spark's own removal of a query's shuffle files at its end.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Seconds between two collections of the driver's garbage, at least: executors hold broadcast tables until the driver has collected what stands for them.
-COLLECT_EVERY = 10.0
+COLLECT_EVERY = 2.0
 _collected = [0.0]
 
 
