@@ -86,6 +86,18 @@ def test_op10_looks_at_no_held_out_label(spark, rows, folder, tmp_path):
     assert {r[1] for r in c.values()} == {"zz", "und"} and {r[1] for r in a.values()} <= {"en", "de", "fr", "und"}
 
 
+def test_op10_rows_without_an_id(spark, folder, tmp_path):
+    """They get a prediction, teach nothing (their label is never predicted), and are neither held out nor not."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    nameless = docs.where("doc_id < 20").withColumn("doc_id", F.lit(None).cast("long")).withColumn("lang", F.lit("zz"))
+    docs.unionByName(nameless).write.parquet(f"{tmp_path}/documents.parquet")
+    got, known = run(spark, "op10_language_id", str(tmp_path)), {r.doc_id: r for r in run(spark, "op10_language_id", folder)}
+    without = [r for r in got if r.doc_id is None]
+    assert {r.doc_id: r for r in got if r.doc_id is not None} == known
+    assert all(r.held_out is None for r in without)
+    assert sorted((r.lang_pred, r.score) for r in without) == sorted((known[i].lang_pred, known[i].score) for i in range(20))
+
+
 def test_scattered_items_are_found(spark):
     """Items in pieces of 5 to 9 words, 150 words apart: a permutation may hit any window, so what the README's bound doesn't cover is found as well."""
     r = rng(40)

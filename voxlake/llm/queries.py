@@ -62,6 +62,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without an id get a prediction, are never learned from, and have a null ``held_out``."""
     docs = _table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     profiles = language_id.learn(docs.where(~held_out).select("doc_id", "text", "lang"))
