@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from voxlake.streaming import registry
+from voxlake.streaming import registry, scan
 
 SCHEMA = "event_id long, s long, frame long, kind string, image_id long, link_mode string, window double, level double"
 SHORT = 100
@@ -45,6 +45,50 @@ def test_batch_equals_the_bus(spark, expire):
     assert sorted(map(tuple, registry.broadcast(e, registry.intervals(e, expire), expire).collect())) == plain(rows(), expire)
 
 
+@pytest.mark.parametrize("block", [1, 3, 50])
+@pytest.mark.parametrize("cut", [40, 1_000_000])
+def test_blocks_change_nothing(spark, monkeypatch, block, cut):
+    monkeypatch.setattr(scan, "BLOCK_ROWS", cut)
+    e = table(spark, rows(2)).repartition(4)
+    assert sorted(map(tuple, registry.broadcast(e, registry.intervals(e, SHORT), SHORT, block).collect())) == plain(rows(2), SHORT)
+
+
+def test_pairs_looked_at_follow_what_is_told(spark, monkeypatch):
+    """Frames that register again and again within ``expire``: most intervals are short, and an edit isn't compared with those of other moments."""
+    n = 30_000
+    data = [(i, i // 2, i // 3 % 2, "edit" if i % 3 == 2 else "register", 5, "Live", 1.0, 2.0) for i in range(n)]
+    e, looked_at = table(spark, data), []
+    kind = type(e)
+    join = kind.join
+
+    def counted(self, *args, **named):
+        out = join(self, *args, **named)
+        looked_at.append(out.count())
+        return out
+
+    monkeypatch.setattr(kind, "join", counted)
+    told = registry.broadcast(e, registry.intervals(e)).count()
+    monkeypatch.undo()
+    assert told == len(plain(data, registry.EXPIRE))
+    assert 0 < sum(looked_at) <= told + 2 * 512 * n
+
+
+def test_ends_and_odd_rows(spark):
+    """A time that ends an interval is out, whatever the ids; the event that renews is of neither interval; rows without a time, an image or a frame are told to their own frame only."""
+    E, R = "edit", "register"
+    data = [
+        (5, 0, 1, R, 7, "Live", None, None), (4, 0, 2, E, 7, "Live", 1.0, 0.0), (5, 0, 2, E, 7, "Live", 2.0, 0.0), (6, 0, 2, E, 7, "Live", 3.0, 0.0),
+        (8, 50, 1, R, 7, "Live", None, None), (8, 50, 2, E, 7, "Live", 4.0, 0.0), (9, 50, 2, E, 7, "Live", 5.0, 0.0),
+        (1, 149, 2, E, 7, "Live", 6.0, 0.0), (2, 150, 2, E, 7, "Live", 7.0, 0.0), (None, 150, 2, E, 7, "Live", 8.0, 0.0),
+        (20, None, 3, R, 7, "Live", None, None), (21, None, 2, E, 7, "Live", 9.0, 0.0), (22, 10, None, R, 7, "Live", None, None), (23, 20, None, E, 7, "Live", 10.0, 0.0), (24, 20, 2, E, None, "Live", 11.0, 0.0),
+    ]
+    e = table(spark, data)
+    told = {}
+    for r in registry.broadcast(e, registry.intervals(e, SHORT), SHORT).collect():
+        told.setdefault(r.window, []).append(r.target)
+    assert {w: sorted(t, key=str) for w, t in told.items()} == {1.0: [2], 2.0: [2], 3.0: [1, 2], 4.0: [2], 5.0: [1, 2], 6.0: [1, 2], 7.0: [2], 8.0: [2], 9.0: [2], 10.0: [None], 11.0: [2]}
+
+
 def test_registered_twice_is_told_once(spark):
     data = [(1, 0, 1, "register", 5, "Live", None, None), (2, 1, 1, "register", 5, "Live", None, None), (3, 1, 2, "register", 5, "Live", None, None), (4, 2, 2, "edit", 5, "Live", 7.0, 8.0)]
     e = table(spark, data)
