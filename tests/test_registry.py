@@ -73,6 +73,42 @@ def test_pairs_looked_at_follow_what_is_told(spark, monkeypatch):
     assert 0 < sum(looked_at) <= told + 2 * 512 * n
 
 
+def test_rows_that_meet_follow_the_events(spark, monkeypatch):
+    """Frames that stay for all edits: what meets grows with edits and frames, not with their product."""
+    frames, edits = 200, 4000
+    data = [(i, 0, i, "register", 5, "Live", None, None) for i in range(frames)] + [(frames + i, 1 + i, i % 2, "edit", 5, "Live", 1.0, 2.0) for i in range(edits)]
+    e, met = table(spark, data), []
+    join = type(e).join
+
+    def counted(self, other, *args, **named):
+        met.append(self.count() + other.count())
+        return join(self, other, *args, **named)
+
+    monkeypatch.setattr(type(e), "join", counted)
+    told = registry.broadcast(e, registry.intervals(e), registry.EXPIRE, 4)
+    monkeypatch.undo()
+    assert told.count() == edits * frames
+    assert 0 < sum(met) <= 10 * (edits + frames)
+
+
+def test_rows_told_are_small_in_files(spark, tmp_path):
+    """Many frames of several images, registered at any time: rows come in an order that files by columns keep in half a byte a row, at most."""
+    rng = random.Random(7)
+    data = [(0, rng.randrange(40_000), f, "register", f % 8, "Live", None, None) for f in range(16_000)] + [(0, rng.randrange(40_000), f % 16_000, "edit", f % 8, "Live", rng.random(), rng.random()) for f in range(10_000)]
+    data = [(i, *r[1:]) for i, r in enumerate(sorted(data, key=lambda r: r[1]))]
+    e, path = table(spark, data), str(tmp_path / "told")
+    registry.broadcast(e, registry.intervals(e)).write.parquet(path)
+    live, told = [0] * 8, 0
+    for _, _, frame, kind, image, *_ in data:
+        if kind == "register":
+            live[image] += 1
+        else:
+            told += live[image]
+    n, size = spark.read.parquet(path).count(), sum(os.path.getsize(os.path.join(path, f)) for f in os.listdir(path) if f.startswith("part-"))
+    assert told <= n <= told + 10_000
+    assert size < n / 2
+
+
 def test_ends_and_odd_rows(spark):
     """A time that ends an interval is out, whatever the ids; the event that renews is of neither interval; rows without a time, an image or a frame are told to their own frame only."""
     E, R = "edit", "register"
